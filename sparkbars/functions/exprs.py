@@ -80,5 +80,12 @@ def two_pi() -> Column:
 
 
 def rnd(c, d: int = 6) -> Column:
-    """Round a double for value comparison; NaN becomes null."""
-    return F.round(no_nan(col(c).cast("double")), d)
+    """Round a double half up to d places for value comparison; NaN becomes null.
+
+    Written as floor(x * 10^d + 0.5) / 10^d, plain IEEE arithmetic that any
+    engine evaluates bit-identically (decimal-based rounding differs at
+    exact half steps).
+    """
+    x = no_nan(col(c).cast("double"))
+    s = F.lit(float(10 ** d))
+    return F.when(F.abs(x) * s < F.lit(9e15), F.floor(x * s + F.lit(0.5)) / s).otherwise(x)

@@ -1,4 +1,4 @@
 """Composed queries. Importing this package registers every named query."""
 
-from . import q_features, q_labels  # noqa: F401
+from . import q_features, q_grid, q_labels  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -12,8 +12,11 @@ K_SQL = r"""TRY_CAST(regexp_extract(props, '"k":\s*(-?\d+)', 1) AS INTEGER)"""
 
 
 def R(expr: str, d: int = 6) -> str:
-    """Rounded double with -0.0 folded to 0.0."""
-    return f"(CASE WHEN round({expr}, {d}) = 0 THEN 0.0 ELSE round({expr}, {d}) END)"
+    """Double rounded half up to d places exactly as ``functions.exprs.rnd``; NaN -> NULL."""
+    s = f"CAST({float(10 ** d)!r} AS DOUBLE)"
+    x = f"CAST(({expr}) AS DOUBLE)"
+    return (f"(CASE WHEN isnan({x}) THEN NULL WHEN abs({x}) * {s} < CAST(9e15 AS DOUBLE) "
+            f"THEN floor({x} * {s} + CAST(0.5 AS DOUBLE)) / {s} ELSE {x} END)")
 
 
 def W(k: int, part: str = "symbol", order: str = "ts") -> str:
