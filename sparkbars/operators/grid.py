@@ -1,13 +1,14 @@
 """Exit-policy grid: every trade re-simulated under 216 alternative entries
 and exits (entry shift x exit mode x take-profit x stop-loss multiplier).
 
-Plan: each bar carries its forward path (``collect_list`` over a fixed frame
-of the shared (symbol, blk) window, exact thanks to the halo); trades are
-equi-joined to their entry bar; the 216-row scenario table (a fixed-size
-parameter table) is broadcast and cross-joined; each (trade, scenario) row
-finds its exit with one ``aggregate`` higher-order function over the path,
-whose accumulator carries the ratcheting trailing stop. Ranking and the best
-policy work on groups of exactly 216 rows per trade.
+Plan: each bar carries its next bars as an array built from ``lead`` over
+the shared (symbol, blk) window (exact thanks to the halo), with the running
+trailing-stop level precomputed; every trade is expanded to its entry shifts
+(hash partitioned by trade); for each distinct (entry bar, side) the first
+offsets at which each take-profit / stop level is touched are found once
+(``exit_table``); the 216-row scenario table (a fixed-size parameter table)
+is broadcast-joined on the shift and each scenario row only compares offsets.
+Ranking and the best policy work on groups of exactly 216 rows per trade.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .labels import barrier_multipliers
 
 SCENARIO_SCHEMA = T.StructType([
     T.StructField("scenario_id", T.LongType()),
-    T.StructField("entry_shift", T.LongType()),
+    T.StructField("entry_shift", T.IntegerType()),
     T.StructField("exit_mode", T.StringType()),
     T.StructField("tp_mult", T.DoubleType()),
     T.StructField("sl_mult", T.DoubleType()),
@@ -61,77 +62,181 @@ def scenarios(spark: SparkSession, p: Params = DEFAULT) -> DataFrame:
     return spark.createDataFrame(scenario_rows(p), SCENARIO_SCHEMA)
 
 
-def path_bounds(p: Params = DEFAULT) -> tuple[int, int]:
-    back = max(0, -min(p.entry_shifts))
-    ahead = max(0, max(p.entry_shifts)) + p.max_horizon()
-    return back, ahead
+def with_forward(panel: Panel, p: Params = DEFAULT) -> Panel:
+    """Each bar gets its next ``max_horizon`` bars as two arrays of structs (h, l, c, m).
+
+    ``fwd_long`` holds the bars as they are, with m = running max of the long
+    trailing level (c - k*atr); ``fwd_short`` holds them mirrored (prices
+    negated, high and low swapped) with m = running max of -(c + k*atr), so a
+    short trade is evaluated as a long one on negated prices, exactly.
+    Built from ``lead`` over the shared (symbol, blk) window: codegen'd, no
+    per-row collections.
+    """
+    H = p.max_horizon()
+    assert H <= p.halo_ahead and max(0, -min(p.entry_shifts)) <= p.halo_back, "halo must cover the grid"
+    w = panel.w
+    atr = F.coalesce(F.col("atr"), F.col("h") - F.col("l")) if "atr" in panel.df.columns else F.col("h") - F.col("l")
+    mult = F.lit(p.trail_atr_mult)
+    df = panel.df.withColumn("_tl", F.col("c") - mult * atr).withColumn("_ts", -(F.col("c") + mult * atr))
+    leads = []
+    for j in range(1, H + 1):
+        leads += [F.lead(c, j).over(w).alias(f"_{c}{j}") for c in ("h", "l", "c", "_tl", "_ts")]
+    df = df.select("*", *leads)
+    longs, shorts = [], []
+    ml = ms = None
+    for j in range(1, H + 1):
+        ml = F.col(f"__tl{j}") if ml is None else F.greatest(ml, F.col(f"__tl{j}"))
+        ms = F.col(f"__ts{j}") if ms is None else F.greatest(ms, F.col(f"__ts{j}"))
+        h, l, c = F.col(f"_h{j}"), F.col(f"_l{j}"), F.col(f"_c{j}")
+        longs.append(F.struct(h.alias("h"), l.alias("l"), c.alias("c"), ml.alias("m")))
+        shorts.append(F.struct((-l).alias("h"), (-h).alias("l"), (-c).alias("c"), ms.alias("m")))
+    keep = [c for c in panel.df.columns]
+    df = df.select(*keep, F.array(*longs).alias("fwd_long"), F.array(*shorts).alias("fwd_short"))
+    return panel.with_df(df)
 
 
-def with_paths(panel: Panel, p: Params = DEFAULT) -> Panel:
-    """Each bar gets ``path``: bars from ``back`` before to ``ahead`` after it (rn, h, l, c, atr)."""
-    back, ahead = path_bounds(p)
-    assert back <= p.halo_back and ahead <= p.halo_ahead, "halo must cover the path"
-    atr = F.col("atr") if "atr" in panel.df.columns else F.lit(None).cast("double")
-    item = F.struct("rn", "h", "l", "c", atr.alias("atr"))
-    return panel.with_df(panel.df.withColumn(
-        "path", F.collect_list(item).over(panel.w.rowsBetween(-back, ahead))))
+def entries(trades: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """One row per (trade, entry shift) with the clamped entry bar index.
+
+    ``trades``: trade_id, symbol, side, e (entry bar rn), n.
+    """
+    shifts = F.array(*[F.lit(int(s)) for s in p.entry_shifts])
+    t = trades.select("trade_id", "symbol", "side", "e", "n", F.explode(shifts).alias("entry_shift"))
+    t = t.withColumn("entry_idx", F.greatest(F.lit(0), F.least(F.col("e") + F.col("entry_shift"), F.col("n") - 2))
+                     .cast("long"))
+    return t
 
 
-def evaluate(trade_paths: DataFrame, scen: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """One row per (trade, scenario).
+def exit_table(entry_rows: DataFrame, bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """First barrier-touch offsets of every distinct (symbol, entry bar, side).
 
-    Input columns: trade_id, side, e (entry bar rn), n (bars of the symbol), path.
+    The barriers of a scenario depend only on the entry bar's close and the
+    side, so trades sharing an entry bar share this work (a hot bar is
+    computed once). ``bars``: symbol, rn, c, fwd_long, fwd_short.
+    For each take-profit level i: ``_T{i}`` (offset of first high >= level);
+    for each stop level: ``_S{i}`` (fixed stop), ``_R{i}`` (ratcheting stop)
+    and ``_Rm{i}`` (trailing level at that bar); ``_C{h}``: close at horizon h.
+    Offsets are 1-based, null when not touched within the path.
     """
     k = p.cost
-    g = trade_paths.crossJoin(F.broadcast(scen))
-    entry = F.greatest(F.lit(0), F.least(F.col("e") + F.col("entry_shift"), F.col("n") - 2))
-    g = g.withColumn("entry_idx", entry)
-    g = g.withColumn("entry_price", F.get(F.filter("path", lambda x: x["rn"] == F.col("entry_idx")), 0)["c"])
+    H = p.max_horizon()
+    tp_levels, sl_levels = list(p.tp_mults), list(p.sl_mults)
+    keys = entry_rows.select("symbol", "entry_idx", "side").distinct()
+    b = bars.select("symbol", F.col("rn").alias("entry_idx"), F.col("c").alias("entry_price"), "fwd_long",
+                    "fwd_short")
+    e = keys.join(b, ["symbol", "entry_idx"])
     long = F.col("side") == "long"
+    sgn = F.when(long, F.lit(1.0)).otherwise(F.lit(-1.0))
     ep = F.col("entry_price")
-    tp_px = ep * F.when(long, F.col("m_tp_long")).otherwise(F.col("m_tp_short"))
-    sl0 = ep * F.when(long, F.col("m_sl_long")).otherwise(F.col("m_sl_short"))
-    g = g.withColumn("_tp", tp_px).withColumn("_sl0", sl0)
-    last = F.col("entry_idx") + F.col("horizon")
-    fwd = F.filter("path", lambda x: (x["rn"] > F.col("entry_idx")) & (x["rn"] <= last))
-    acc_t = "struct<sl:double,rn:bigint,px:double,why:string>"
-    init = F.struct(F.col("_sl0").alias("sl"), F.lit(None).cast("long").alias("rn"),
-                    F.lit(None).cast("double").alias("px"), F.lit(None).cast("string").alias("why")).cast(acc_t)
-    mult = F.lit(p.trail_atr_mult)
+    e = e.withColumn("fwd", F.when(long, F.col("fwd_long")).otherwise(F.col("fwd_short"))).drop(
+        "fwd_long", "fwd_short")
+    fwd = F.col("fwd")
+    cols = []
+    for i, tm in enumerate(tp_levels):
+        ml = barrier_multipliers("long", p.tp_pct * tm, p.sl_pct, k)[0]
+        ms = barrier_multipliers("short", p.tp_pct * tm, p.sl_pct, k)[0]
+        cols.append((sgn * (ep * F.when(long, F.lit(ml)).otherwise(F.lit(ms)))).alias(f"_tp{i}"))
+    for i, sm in enumerate(sl_levels):
+        ml = barrier_multipliers("long", p.tp_pct, p.sl_pct * sm, k)[1]
+        ms = barrier_multipliers("short", p.tp_pct, p.sl_pct * sm, k)[1]
+        cols.append((sgn * (ep * F.when(long, F.lit(ml)).otherwise(F.lit(ms)))).alias(f"_sl{i}"))
+    e = e.select("*", *cols)
+    hits = []
+    for i in range(len(tp_levels)):
+        hits.append(_first(fwd, lambda b, i=i: b["h"] >= F.col(f"_tp{i}"), H).alias(f"_T{i}"))
+    for i in range(len(sl_levels)):
+        hits.append(_first(fwd, lambda b, i=i: b["l"] <= F.col(f"_sl{i}"), H).alias(f"_S{i}"))
+        hits.append(_first(fwd, lambda b, i=i: b["l"] <= F.greatest(F.col(f"_sl{i}"), b["m"]), H)
+                    .alias(f"_R{i}"))
+    e = e.select("*", *hits)
+    horizons = sorted({int(x[5]) for x in scenario_rows(p)})
+    at = [F.get(fwd, F.col(f"_R{i}") - 1)["m"].alias(f"_Rm{i}") for i in range(len(sl_levels))]
+    at += [F.get(fwd, F.lit(hz - 1))["c"].alias(f"_C{hz}") for hz in horizons]
+    return e.select(*[c for c in e.columns if c != "fwd"], *at)
 
-    def step(acc, x):
-        atr = F.coalesce(x["atr"], x["h"] - x["l"])
-        trailed = F.when(long, F.greatest(acc["sl"], x["c"] - mult * atr)).otherwise(
-            F.least(acc["sl"], x["c"] + mult * atr))
-        sl = F.when(F.col("trail"), trailed).otherwise(acc["sl"])
-        tp_hit = F.when(long, x["h"] >= F.col("_tp")).otherwise(x["l"] <= F.col("_tp"))
-        sl_hit = F.when(long, x["l"] <= sl).otherwise(x["h"] >= sl)
-
-        def st(px, why, rn=True):
-            return F.struct(sl.alias("sl"), (x["rn"] if rn else F.lit(None).cast("long")).alias("rn"),
-                            px.cast("double").alias("px"), F.lit(why).cast("string").alias("why"))
-
-        nxt = (
-            F.when(tp_hit, st(F.col("_tp"), "tp"))
-            .when(sl_hit, st(sl, "sl"))
-            .when(x["rn"] == last, st(x["c"], "time"))
-            .otherwise(st(F.lit(None), None, rn=False))
-        )
-        return F.when(acc["why"].isNotNull(), acc).otherwise(nxt.cast(acc_t))
-
-    res = F.aggregate(fwd, init, step)
-    g = g.withColumn("_res", res)
-    hit = F.col("_res.why").isNotNull()
-    exit_idx = F.when(hit, F.col("_res.rn")).otherwise(F.col("entry_idx"))
-    exit_px = F.when(hit, F.col("_res.px")).otherwise(ep)
+
+def _first(fwd, cond, H: int):
+    """1-based offset of the first forward bar satisfying ``cond(bar)``, null if none."""
+    chain = None
+    for j in range(1, H + 1):
+        c = cond(fwd[j - 1])
+        chain = F.when(c, F.lit(j)) if chain is None else chain.when(c, F.lit(j))
+    return chain
+
+
+def evaluate(entry_rows: DataFrame, bars: DataFrame, scen: DataFrame, p: Params = DEFAULT,
+             partitions: int | None = None) -> DataFrame:
+    """One row per (trade, scenario): exit index, price, reason, pnl, bars held.
+
+    Barriers stay live in every mode; the stop ratchets in ``atr_trail``
+    (updated with the bar's close before its low is tested); at the horizon
+    bar the trade exits at the close ('time'); if the bars run out first it
+    exits at the entry price ('timeout', 0 bars); take profit is tested before
+    stop loss, both before the horizon close. Each scenario row only picks
+    its levels' first-touch offsets from ``exit_table`` and compares them.
+    """
+    k = p.cost
+    tp_levels, sl_levels = list(p.tp_mults), list(p.sl_mults)
+    horizons = sorted({int(x[5]) for x in scenario_rows(p)})
+    ex = exit_table(entry_rows, bars, p)
+    sc = scen.select(
+        "*",
+        (F.array_position(F.array(*[F.lit(float(x)) for x in tp_levels]), F.col("tp_mult")) - 1).cast("int")
+        .alias("_ti"),
+        (F.array_position(F.array(*[F.lit(float(x)) for x in sl_levels]), F.col("sl_mult")) - 1).cast("int")
+        .alias("_si"),
+        (F.array_position(F.array(*[F.lit(hz) for hz in horizons]), F.col("horizon")) - 1).cast("int")
+        .alias("_hi"),
+    )
+    g = entry_rows.join(ex, ["symbol", "entry_idx", "side"])
+    # the scenario rows are CPU work: spread them by trade over an explicit
+    # partition count (an explicit count is not coalesced away by AQE); the
+    # per-trade ranking / best policy downstream reuse this partitioning
+    g = g.repartition(partitions, "trade_id") if partitions else g.repartition("trade_id")
+    g = g.join(F.broadcast(sc), "entry_shift")
+    long = F.col("side") == "long"
+    sgn = F.when(long, F.lit(1.0)).otherwise(F.lit(-1.0))
+    ep = F.col("entry_price")
+
+    def pick(prefix, idx, names):
+        return F.get(F.array(*[F.col(f"{prefix}{x}") for x in names]), F.col(idx))
+
+    nt, ns = range(len(tp_levels)), range(len(sl_levels))
+    big = F.lit(1 << 30)
+    trail = F.col("trail")
+    g = g.select(
+        "trade_id", "scenario_id", "entry_shift", "exit_mode", "tp_mult", "sl_mult", "entry_idx", "entry_price",
+        "side",
+        F.coalesce(pick("_T", "_ti", nt), big).alias("_t"),
+        F.coalesce(F.when(trail, pick("_R", "_si", ns)).otherwise(pick("_S", "_si", ns)), big).alias("_s"),
+        F.col("horizon").cast("int").alias("_h"),
+        pick("_tp", "_ti", nt).alias("_tpx"),
+        F.when(trail, F.greatest(pick("_sl", "_si", ns), pick("_Rm", "_si", ns)))
+        .otherwise(pick("_sl", "_si", ns)).alias("_spx"),
+        pick("_C", "_hi", horizons).alias("_hc"),
+    )
+    t, s_, h = F.col("_t"), F.col("_s"), F.col("_h")
+    res_t = "struct<off:int,why:string,px:double>"
+
+    def res(off, why, px):
+        return F.struct(off.alias("off"), F.lit(why).alias("why"), px.cast("double").alias("px"))
+
+    res = (
+        F.when((t <= s_) & (t <= h), res(t, "tp", sgn * F.col("_tpx")))
+        .when(s_ <= h, res(s_, "sl", sgn * F.col("_spx")))
+        .when(F.col("_hc").isNotNull(), res(h, "time", sgn * F.col("_hc")))
+        .otherwise(res(F.lit(0), "timeout", ep))
+        .cast(res_t)
+    )
+    g = g.withColumn("_r", res)
+    exit_px = F.col("_r.px")
     pnl = F.when(long, (exit_px - ep) / ep - F.lit(k)).otherwise((ep - exit_px) / ep - F.lit(k))
+    exit_idx = F.col("entry_idx") + F.col("_r.off")
     return g.select(
         "trade_id", "scenario_id", "entry_shift", "exit_mode", "tp_mult", "sl_mult",
         F.col("entry_idx").cast("long").alias("entry_idx"), "entry_price",
-        exit_idx.cast("long").alias("exit_idx"), exit_px.alias("exit_price"),
-        F.when(hit, F.col("_res.why")).otherwise(F.lit("timeout")).alias("exit_reason"),
-        pnl.alias("pnl_pct"),
-        (exit_idx - F.col("entry_idx")).cast("long").alias("bars_held"),
+        exit_idx.cast("long").alias("exit_idx"), exit_px.alias("exit_price"), F.col("_r.why").alias("exit_reason"),
+        pnl.alias("pnl_pct"), F.col("_r.off").cast("long").alias("bars_held"),
     )
 
 

@@ -1,4 +1,3 @@
-"""Composed queries. Importing this package registers every named query."""
+"""Composed queries (q_* modules), the block layout, and the oracle SQL parts.
 
-from . import q_features, q_grid, q_labels  # noqa: F401
-from .registry import ORACLES, QUERIES  # noqa: F401
+Import ``sparkbars.plans.catalog`` to register every named query."""

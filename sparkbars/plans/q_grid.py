@@ -36,16 +36,25 @@ def trade_paths(spark, sf_dir, p: Params = DEFAULT, with_regime: bool = False):
     pan = features_core.compute(layout(bars, p), p)
     if with_regime:
         pan = regime.classify(pan, p)
-    pan = grid.with_paths(pan, p)
-    core = pan.core()
+    core = grid.with_forward(pan, p).core()
     tr = entry_bars(spark, sf_dir, p)
-    j = tr.join(core.select("symbol", F.col("rn").alias("bar_rn"), "n", "path"), ["symbol", "bar_rn"])
-    return j.select("trade_id", "symbol", "side", F.col("bar_rn").alias("e"), "n", "path"), core
+    j = tr.join(core.select("symbol", F.col("rn").alias("bar_rn"), "n"), ["symbol", "bar_rn"])
+    trades = j.select("trade_id", "symbol", "side", F.col("bar_rn").alias("e"), "n")
+    return trades, core
+
+
+def parallelism(spark) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def entry_rows(spark, sf_dir, p: Params = DEFAULT, with_regime: bool = False):
+    trades, core = trade_paths(spark, sf_dir, p, with_regime)
+    return grid.entries(trades, p), trades, core
 
 
 def grid_results(spark, sf_dir, p: Params = DEFAULT) -> DataFrame:
-    tp, _ = trade_paths(spark, sf_dir, p)
-    return grid.evaluate(tp, grid.scenarios(spark, p), p)
+    ent, _, core = entry_rows(spark, sf_dir, p)
+    return grid.evaluate(ent, core, grid.scenarios(spark, p), p, parallelism(spark))
 
 
 # ---------------------------------------------------------------- oracle SQL
@@ -153,17 +162,17 @@ def q_grid_216(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scenario_eval", lambda: S.with_(*ctes_grid()) + f"SELECT {GRID_COLS_SQL} FROM res WHERE scenario_id = {base_scenario_id()}")
 def q_scenario_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base scenario (actual entry, tp_sl, 1x/1x) of every trade, long and short."""
-    tp, _ = trade_paths(spark, sf_dir)
+    ent, _, core = entry_rows(spark, sf_dir)
     sc = grid.scenarios(spark).filter(F.col("scenario_id") == base_scenario_id())
-    return _grid_select(grid.evaluate(tp, sc))
+    return _grid_select(grid.evaluate(ent, core, sc, partitions=parallelism(spark)))
 
 
 @query("scenario_trail", lambda: S.with_(*ctes_grid()) + f"SELECT {GRID_COLS_SQL} FROM res WHERE exit_mode = 'atr_trail'")
 def q_scenario_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ATR trailing-stop scenarios of every trade."""
-    tp, _ = trade_paths(spark, sf_dir)
+    ent, _, core = entry_rows(spark, sf_dir)
     sc = grid.scenarios(spark).filter(F.col("trail"))
-    return _grid_select(grid.evaluate(tp, sc))
+    return _grid_select(grid.evaluate(ent, core, sc, partitions=parallelism(spark)))
 
 
 @query("best_policy", lambda: S.with_(*ctes_grid()) + f"SELECT {GRID_COLS_SQL} FROM rk WHERE rank = 1")
@@ -226,9 +235,10 @@ FROM nb LEFT JOIN bidx b ON b.symbol = nb.symbol AND b.rn > nb.bar_rn AND b.rn <
 GROUP BY nb.trade_id""")
 def q_trade_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each trade joined to the forward bars of its symbol (next 16): count, high, low."""
-    tp, _ = trade_paths(spark, sf_dir)
+    trades, core = trade_paths(spark, sf_dir)
     H = DEFAULT.timeout_bars
-    fwd = F.filter("path", lambda x: (x["rn"] > F.col("e")) & (x["rn"] <= F.col("e") + H))
+    tp = trades.join(core.select("symbol", F.col("rn").alias("e"), "fwd_long"), ["symbol", "e"])
+    fwd = F.filter(F.slice("fwd_long", 1, H), lambda x: x["c"].isNotNull())
     return tp.select(
         "trade_id", F.size(fwd).cast("long").alias("fwd_bars"),
         rnd(F.array_max(F.transform(fwd, lambda x: x["h"]))).alias("fwd_high"),
@@ -242,8 +252,8 @@ REVIEW_FEATURES = ["vwap_dist", "atr_pct", "volume_ratio_5"]
 
 
 def trade_review_df(spark, sf_dir, p: Params = DEFAULT) -> DataFrame:
-    tp, core = trade_paths(spark, sf_dir, p, with_regime=True)
-    res = grid.evaluate(tp, grid.scenarios(spark, p), p)
+    ent, tp, core = entry_rows(spark, sf_dir, p, with_regime=True)
+    res = grid.evaluate(ent, core, grid.scenarios(spark, p), p, parallelism(spark))
     act = res.filter(F.col("scenario_id") == base_scenario_id(p)).select(
         "trade_id", F.col("pnl_pct").alias("actual_pnl"), F.col("exit_reason").alias("actual_exit"),
         F.col("bars_held").alias("actual_bars_held"))
