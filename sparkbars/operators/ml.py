@@ -85,11 +85,13 @@ def scaling_stats(train: DataFrame, features: list[str]) -> DataFrame:
     return wide.select(F.explode(rows).alias("s")).select("s.*")
 
 
-def logistic(features: list[str], label: str, n_train: int, C: float = 0.1, max_iter: int = 500) -> Pipeline:
-    """L2 logistic regression with sklearn's C: regParam = 1 / (C * n), no standardisation."""
+def logistic(features: list[str], label: str, n_train: int, C: float = 0.1, max_iter: int = 500,
+             tol: float = 1e-4) -> Pipeline:
+    """L2 logistic regression with sklearn's C: regParam = 1 / (C * n), no standardisation,
+    sklearn's default convergence tolerance."""
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
     lr = LogisticRegression(labelCol=label, featuresCol="features", regParam=1.0 / (C * max(n_train, 1)),
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter)
+                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
     return Pipeline(stages=[asm, lr])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import rnd
 from ..operators import features_core, features_wide, labels, ml
 from ..params import DEFAULT
-from ..session import scratch_path
+from ..session import scratch_path, shared_dir
 from ..sources import fixtures
 from ..streaming import bars_stream
 from . import sqlparts as S
@@ -88,9 +88,13 @@ def q_scale_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 WIDE = features_wide.columns()
 
 
-def windows_df(spark, sf_dir) -> DataFrame:
+def windows_df(spark, sf_dir, checkpoint: bool = False) -> DataFrame:
     pan = features_wide.compute(layout(fixtures.bars_calm(spark, sf_dir)))
-    return ml.sequence_windows(pan, WIDE, 60, 30)
+    w = ml.sequence_windows(pan, WIDE, 60, 30)
+    if checkpoint:
+        shared_dir(spark)
+        w = w.checkpoint(eager=True)
+    return w
 
 
 def _seq_sql() -> str:
@@ -112,19 +116,26 @@ def q_sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     rnd(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 2).alias("x_sum"), rnd("y").alias("y"))
 
 
+def split_frame(spark, sf_dir) -> DataFrame:
+    """The split training frame, checkpointed to the shared folder: model fits iterate over it,
+    so its lineage (features, labels) is cut once instead of being recomputed per pass."""
+    shared_dir(spark)
+    return ml.purged_split(train_frame(spark, sf_dir)).checkpoint(eager=True)
+
+
 def _fit_logistic(spark, sf_dir):
-    sp = ml.purged_split(train_frame(spark, sf_dir))
+    sp = split_frame(spark, sf_dir)
     train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
     n = train.count()
     model = ml.logistic(FEATURES, TARGET, n).fit(train)
-    return model, train, test, n
+    return model, train, test, n, sp
 
 
 @query("logistic_meta")
 def q_logistic_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4 + M7: L2 logistic meta-model (C = 0.1, 500 iterations) fitted on the pooled training split;
     test metrics per symbol (rows-only check: a fitted model)."""
-    model, _, test, _ = _fit_logistic(spark, sf_dir)
+    model, _, test, _, _ = _fit_logistic(spark, sf_dir)
     scored = ml.probability(model, test).select("symbol", F.col(TARGET).alias("y"), "p")
     return ml.score_metrics(scored, keys=["symbol"])
 
@@ -132,7 +143,7 @@ def q_logistic_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gbt_meta")
 def q_gbt_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: boosted-tree meta-model (depth 4, 150 rounds, step 0.05, min 30 rows per leaf); test metrics."""
-    sp = ml.purged_split(train_frame(spark, sf_dir))
+    sp = split_frame(spark, sf_dir)
     train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
     model = ml.boosted_trees(FEATURES, TARGET).fit(train)
     return ml.score_metrics(ml.probability(model, test).select(F.col(TARGET).alias("y"), "p"))
@@ -142,11 +153,11 @@ def q_gbt_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8 + M9: fit, save the pipeline model under the shared folder, register it, load it back and
     score every bar; returns the registry row with the scored-row count."""
-    model, train, test, n = _fit_logistic(spark, sf_dir)
+    model, train, test, n, sp = _fit_logistic(spark, sf_dir)
     path = scratch_path(spark, "models/logistic_meta")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    scored = ml.probability(loaded, train_frame(spark, sf_dir))
+    scored = ml.probability(loaded, sp)
     auc = ml.score_metrics(scored.select(F.col(TARGET).alias("y"), "p"))
     reg = ml.registry_row(spark, "logistic_meta", "logistic", FEATURES, n, test.count(), {}, path)
     return reg.crossJoin(auc)
@@ -155,15 +166,15 @@ def q_model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("score_bars")
 def q_score_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: meta-model probability for every bar with complete features."""
-    model, _, _, _ = _fit_logistic(spark, sf_dir)
-    return ml.probability(model, train_frame(spark, sf_dir)).select("symbol", "ts", "p")
+    model, _, _, _, sp = _fit_logistic(spark, sf_dir)
+    return ml.probability(model, sp).select("symbol", "ts", "p")
 
 
 @query("forecast_steps")
 def q_forecast_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """30-step forecast per symbol from its last window, rotating the flat input one element per
     step (closed form, one transform) with a ridge model fitted on all windows."""
-    w = windows_df(spark, sf_dir).withColumn("features", array_to_vector("x"))
+    w = windows_df(spark, sf_dir, checkpoint=True).withColumn("features", array_to_vector("x"))
     model = LinearRegression(regParam=1.0, elasticNetParam=0.0, labelCol="y").fit(w)
     last = w.join(w.groupBy("symbol").agg(F.max("rn").alias("rn")), ["symbol", "rn"])
     rot = ml.rotations(last.select("symbol", "x"), 30).withColumn("features", array_to_vector("x"))
