@@ -326,3 +326,91 @@ def q_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned tuples and entries per log directory (one per symbol)."""
     c = logs.counts(_log_lines(spark, sf_dir), key="source")
     return c.select(F.col("source").alias("symbol"), F.col("scans").cast("long").alias("scans"), F.col("entries").cast("long").alias("entries"))
+
+
+# ------------------------------------------------------------------ review sinks
+
+def _review_rows(spark, sf_dir) -> DataFrame:
+    from ..operators import labels
+    from .q_features import regime_panel
+
+    return labels.meta_labels(regime_panel(fixtures.bars_panel(spark, sf_dir))).core()
+
+
+def _review_ctes() -> list[str]:
+    from .q_labels import ctes_meta
+
+    return [S.ctes_bars_panel(), S.ctes_core_features("bars_panel"), S.ctes_regime(), ctes_meta("reg")]
+
+
+@query("export_bars", lambda: S.with_(*_review_ctes()) + (
+    "SELECT symbol, ts, " + ", ".join(f"{S.R(c)} AS {c}" for c in BAR_D) + ", CAST(v AS BIGINT) AS v, regime FROM ml"))
+def q_export_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with their regime exported as CSV (ts, symbol, o, h, l, c, v, vwap, regime) and read back."""
+    path = scratch_path(spark, "export")
+    files.write_csv(_review_rows(spark, sf_dir).select("ts", "symbol", *["o", "h", "l", "c", "v", "vwap"], "regime"),
+                    path)
+    back = (spark.read.option("header", True).option("timestampNTZFormat", files.TS_TEXT)
+            .schema("ts timestamp_ntz, symbol string, o double, h double, l double, c double, v long, vwap double, "
+                    "regime string").csv(path))
+    return _bars_out(back).join(back.select("symbol", "ts", "regime"), ["symbol", "ts"])
+
+
+@query("sink_trades_review", lambda: S.with_(*_review_ctes()) + (
+    f"SELECT symbol, ts, regime, meta_label, exit_reason, {S.R('realized_return', 8)} AS realized_return, "
+    f"{S.R('atr_pct')} AS atr_pct FROM ml"))
+def q_sink_trades_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review rows (features, regime, labels per bar) written as CSV partitioned by review month, read back."""
+    path = scratch_path(spark, "review")
+    rows = _review_rows(spark, sf_dir).withColumn("review_month", F.date_format("ts", "yyyy-MM"))
+    cols = ["symbol", "ts", "regime", "meta_label", "exit_reason", "realized_return", "atr_pct"]
+    files.write_csv(rows.select(*cols, "review_month"), path, ["review_month"])
+    back = (spark.read.option("header", True).option("timestampNTZFormat", files.TS_TEXT)
+            .schema("symbol string, ts timestamp_ntz, regime string, meta_label long, exit_reason string, "
+                    "realized_return double, atr_pct double, review_month string").csv(path))
+    return back.select("symbol", "ts", "regime", "meta_label", "exit_reason",
+                       rnd("realized_return", 8).alias("realized_return"), rnd("atr_pct").alias("atr_pct"))
+
+
+REGIME_NAMES = ["trend", "chop", "breakout", "unknown"]
+
+
+def _summary_sql() -> str:
+    thr = DEFAULT.signal_threshold
+    pcts = ", ".join(f"{S.R(f'count(*) FILTER (WHERE regime = {chr(39)}{r}{chr(39)}) / count(*) * 100.0')} AS {r}_pct"
+                     for r in REGIME_NAMES)
+    x = "realized_return"
+    return S.with_(*_review_ctes()) + f"""
+SELECT symbol, count(*) AS bars, count(*) FILTER (WHERE base_score > {thr}) AS signals,
+  {S.R(f'coalesce(count(*) FILTER (WHERE base_score > {thr} AND {x} > 0) / nullif(count(*) FILTER (WHERE base_score > {thr}), 0), 0.0)', 8)} AS win_rate,
+  {S.R(f'coalesce(avg({x} / {DEFAULT.risk_per_trade!r}) FILTER (WHERE base_score > {thr}), 0.0)', 8)} AS avg_r,
+  {S.R(f'''CASE WHEN sum({x}) FILTER (WHERE base_score > {thr} AND {x} <= 0) != 0
+       THEN abs(coalesce(sum({x}) FILTER (WHERE base_score > {thr} AND {x} > 0), 0.0) / sum({x}) FILTER (WHERE base_score > {thr} AND {x} <= 0)) ELSE 0.0 END''', 8)} AS profit_factor,
+  {pcts}
+FROM ml GROUP BY symbol"""
+
+
+@query("sink_review_summary", _summary_sql)
+def q_sink_review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-symbol review summary (bars, signals, win rate, avg R, profit factor, regime %),
+    written as a Parquet table and read back."""
+    rows = _review_rows(spark, sf_dir)
+    x, sig = F.col("realized_return"), F.col("base_score") > DEFAULT.signal_threshold
+    n_sig = F.count_if(sig)
+    loss_sum = F.sum(F.when(sig & (x <= 0), x))
+    win_sum = F.coalesce(F.sum(F.when(sig & (x > 0), x)), F.lit(0.0))
+    s = rows.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("bars"), n_sig.alias("signals"),
+        F.coalesce(F.count_if(sig & (x > 0)) / F.nullif(n_sig, F.lit(0)), F.lit(0.0)).alias("win_rate"),
+        F.coalesce(F.avg(F.when(sig, x / F.lit(DEFAULT.risk_per_trade))), F.lit(0.0)).alias("avg_r"),
+        F.when(F.coalesce(loss_sum, F.lit(0.0)) != 0, F.abs(win_sum / loss_sum)).otherwise(F.lit(0.0))
+        .alias("profit_factor"),
+        *[(F.count_if(F.col("regime") == r) / F.count(F.lit(1)) * F.lit(100.0)).alias(f"{r}_pct")
+          for r in REGIME_NAMES],
+    )
+    path = scratch_path(spark, "summary")
+    s.write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path)
+    dbl = ["win_rate", "avg_r", "profit_factor"]
+    return back.select("symbol", "bars", "signals", *[rnd(c, 8).alias(c) for c in dbl],
+                       *[rnd(f"{r}_pct").alias(f"{r}_pct") for r in REGIME_NAMES])
