@@ -95,7 +95,7 @@ met AS (
 # output column -> decimals (None = not a double)
 METRIC_COLS = {
     "bars": None, "price_change_pct": 6, "price_range_pct": 6, "daily_volatility": 8, "annualized_volatility": 8,
-    "parkinson_volatility": 8, "rsi": 6, "macd": 5, "macd_signal": 5, "macd_histogram": 5, "avg_volume": 6,
+    "parkinson_volatility": 8, "rsi": 6, "macd": 3, "macd_signal": 3, "macd_histogram": 3, "avg_volume": 6,
     "volume_stddev": 6, "volume_trend": 8, "obv": None, "obv_trend": None, "vwap_distance_pct": 6,
     "vwap_upper_band": 6, "vwap_lower_band": 6, "resistance_1": 6, "resistance_2": 6, "support_1": 6,
     "support_2": 6, "adx": 6, "bullish_pct": 6, "bearish_pct": 6, "momentum_state": None,
