@@ -166,3 +166,27 @@ def registry_row(spark: SparkSession, name: str, model_type: str, features: list
           json.dumps(metrics), path, dt.datetime.now().isoformat(timespec="seconds"))],
         "name string, model_type string, trained_on string, features string, n_train long, n_test long, "
         "metrics string, path string, created_at string")
+
+
+def walk_forward(bars_idx: DataFrame, train_days: int = 60, test_days: int = 10, purge: int = 5) -> DataFrame:
+    """Rolling folds over the data's date range: fold k trains on [start + k*test_days, +train_days)
+    and tests on the next ``test_days``; the last ``purge`` bars of each symbol's training window
+    are purged (their labels look into the test window). Bars are range-joined to a fold calendar
+    whose size is bounded by the date span; returns (fold, symbol, ts, role)."""
+    d = F.to_date("ts")
+    bounds = bars_idx.agg(F.min(d).alias("s"), F.max(d).alias("e"))
+    folds = bounds.select("s", "e", F.explode(F.sequence(F.lit(0), F.floor(
+        (F.datediff("e", "s") - F.lit(train_days + test_days) + 1) / F.lit(test_days)).cast("int"))).alias("fold"))
+    cal = folds.select(
+        "fold",
+        F.date_add("s", F.col("fold") * test_days).alias("train_start"),
+        F.date_add("s", F.col("fold") * test_days + train_days).alias("test_start"),
+        F.date_add("s", F.col("fold") * test_days + train_days + test_days).alias("test_end"),
+    )
+    j = bars_idx.join(F.broadcast(cal), (d >= F.col("train_start")) & (d < F.col("test_end")))
+    role = F.when(d < F.col("test_start"), F.lit("train")).otherwise(F.lit("test"))
+    j = j.withColumn("role", role)
+    last_train = j.filter(F.col("role") == "train").groupBy("fold", "symbol").agg(F.max("rn").alias("_last"))
+    j = j.join(last_train, ["fold", "symbol"], "left")
+    purged = (F.col("role") == "train") & (F.col("rn") > F.col("_last") - purge)
+    return j.select("fold", "symbol", "ts", F.when(purged, F.lit("purge")).otherwise(F.col("role")).alias("role"))

@@ -210,3 +210,22 @@ def q_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars_stream.run(spark, src, sink, ckpt, 60, "2 hours")
     b = bars_stream.current_bars(spark, sink)
     return b.select("symbol", "ts", *[rnd(c).alias(c) for c in ("o", "h", "l", "c", "vwap", "base_score")], "v")
+
+
+@query("walk_forward_folds", lambda: S.with_(S.ctes_bars_panel(), """bi AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, CAST(ts AS DATE) AS d FROM bars_panel),
+bd AS (SELECT min(d) AS s, max(d) AS e FROM bi),
+cal AS (SELECT k AS fold, s + CAST(k * 10 AS INTEGER) AS train_start, s + CAST(k * 10 + 60 AS INTEGER) AS test_start,
+               s + CAST(k * 10 + 70 AS INTEGER) AS test_end
+        FROM bd, range(0, CAST(floor(((e - s) - 70 + 1) / 10) AS BIGINT) + 1) t(k)),
+j AS (SELECT c.fold, b.symbol, b.ts, b.rn, CASE WHEN b.d < c.test_start THEN 'train' ELSE 'test' END AS role
+      FROM bi b JOIN cal c ON b.d >= c.train_start AND b.d < c.test_end),
+lt AS (SELECT fold, symbol, max(rn) AS last_rn FROM j WHERE role = 'train' GROUP BY fold, symbol),
+r AS (SELECT j.fold, CASE WHEN j.role = 'train' AND j.rn > lt.last_rn - 5 THEN 'purge' ELSE j.role END AS role
+      FROM j LEFT JOIN lt USING (fold, symbol))""") + "SELECT CAST(fold AS BIGINT) AS fold, role, count(*) AS bars FROM r GROUP BY fold, role")
+def q_walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: rolling 60-day train / 10-day test folds with a 5-bar purge; bars per (fold, role)."""
+    from .layout import index
+
+    wf = ml.walk_forward(index(fixtures.bars_panel(spark, sf_dir)))
+    return wf.groupBy(F.col("fold").cast("long").alias("fold"), "role").agg(F.count(F.lit(1)).alias("bars"))
