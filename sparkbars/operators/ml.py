@@ -190,3 +190,23 @@ def walk_forward(bars_idx: DataFrame, train_days: int = 60, test_days: int = 10,
     j = j.join(last_train, ["fold", "symbol"], "left")
     purged = (F.col("role") == "train") & (F.col("rn") > F.col("_last") - purge)
     return j.select("fold", "symbol", "ts", F.when(purged, F.lit("purge")).otherwise(F.col("role")).alias("role"))
+
+
+def isotonic_calibrated(train: DataFrame, test: DataFrame, features: list[str], label: str, folds: int = 3,
+                        keys: tuple = ("symbol", "ts")) -> DataFrame:
+    """Calibrated probabilities on ``test``: for each of ``folds`` held-out folds (by a hash of the
+    row key), fit the logistic model on the other folds and an isotonic map on the held-out fold's
+    probabilities; the test probability is the average of the fold models' calibrated outputs."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    f = train.withColumn("_fold", F.pmod(F.xxhash64(*keys), F.lit(folds)))
+    out = None
+    for k in range(folds):  # a fixed number of folds (parameter), not a loop over data
+        fit_part, cal_part = f.filter(F.col("_fold") != k), f.filter(F.col("_fold") == k)
+        base = logistic(features, label, fit_part.count()).fit(fit_part)
+        iso = IsotonicRegression(featuresCol="p", labelCol=label, predictionCol="p_cal").fit(
+            probability(base, cal_part).select("p", F.col(label).cast("double").alias(label)))
+        pk = iso.transform(probability(base, test).select(*keys, label, "p")).select(
+            *keys, label, F.col("p_cal").alias(f"p{k}"))
+        out = pk if out is None else out.join(pk.drop(label), list(keys))
+    return out.withColumn("p", sum(F.col(f"p{k}") for k in range(folds)) / F.lit(float(folds)))

@@ -229,3 +229,12 @@ def q_walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     wf = ml.walk_forward(index(fixtures.bars_panel(spark, sf_dir)))
     return wf.groupBy(F.col("fold").cast("long").alias("fold"), "role").agg(F.count(F.lit(1)).alias("bars"))
+
+
+@query("isotonic_calibration")
+def q_isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: 3-fold isotonic calibration of the logistic meta-model; test metrics (rows-only: fitted models)."""
+    sp = split_frame(spark, sf_dir)
+    train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
+    cal = ml.isotonic_calibrated(train, test, FEATURES, TARGET)
+    return ml.score_metrics(cal.select(F.col(TARGET).alias("y"), "p"))
