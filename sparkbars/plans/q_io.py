@@ -414,3 +414,20 @@ def q_sink_review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     dbl = ["win_rate", "avg_r", "profit_factor"]
     return back.select("symbol", "bars", "signals", *[rnd(c, 8).alias(c) for c in dbl],
                        *[rnd(f"{r}_pct").alias(f"{r}_pct") for r in REGIME_NAMES])
+
+
+@query("scan_symbol_join", lambda: S.with_(S.ctes_bars_calm(), S.ctes_trades(), """sm AS (
+  SELECT symbol, count(*) AS bars, arg_max(c, ts) AS last_close, max(h) AS high FROM bars_calm GROUP BY symbol)""") + f"""
+SELECT t.symbol, t.qty / 100.0 AS score, {S.R('t.entry_px')} AS ltp, t.qty AS volume, sm.bars, {S.R('sm.last_close')} AS last_close,
+       {S.R('sm.high')} AS high
+FROM trades t JOIN sm ON sm.symbol = t.symbol""")
+def q_scan_symbol_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanner rows parsed from the logs attached to their symbol's bar summary (equi-join on symbol;
+    the per-symbol summary is one aggregate row per symbol)."""
+    scans = logs.scanner_rows(_log_lines(spark, sf_dir))
+    b = fixtures.bars_calm(spark, sf_dir)
+    sm = b.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.max_by("c", "ts").alias("last_close"),
+                                 F.max("h").alias("high"))
+    j = scans.join(sm, "symbol")
+    return j.select("symbol", "score", rnd("ltp").alias("ltp"), "volume", "bars", rnd("last_close").alias("last_close"),
+                    rnd("high").alias("high"))
