@@ -22,6 +22,7 @@ from ..functions.exprs import finite_or_zero
 from ..plans.layout import Panel, index
 
 EPS = 1e-15
+AUC_BUCKETS = 4096
 
 
 def training_frame(featured: DataFrame, features: list[str], target: str = "meta_label") -> DataFrame:
@@ -53,8 +54,16 @@ def score_metrics(scored: DataFrame, y: str = "y", p: str = "p", keys: list[str]
         (-F.avg(yv * F.ln(pc) + (F.lit(1.0) - yv) * F.ln(F.lit(1.0) - pc))).alias("log_loss"),
     )
     g = scored.groupBy(*keys, pv.alias("_p")).agg(F.sum(yv).alias("_pos"), F.sum(F.lit(1.0) - yv).alias("_neg"))
-    w = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("_neg_below", F.coalesce(F.sum("_neg").over(w), F.lit(0.0)))
+    # negatives below each distinct score, two-level: inside score buckets, plus bucket offsets
+    # (a table of at most AUC_BUCKETS rows per group), so no window spans all distinct scores
+    g = g.withColumn("_b", F.least(F.greatest(F.floor(F.col("_p") * AUC_BUCKETS), F.lit(0)),
+                                   F.lit(AUC_BUCKETS - 1)).cast("int"))
+    tot = g.groupBy(*keys, "_b").agg(F.sum("_neg").alias("_bneg"))
+    bw = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*keys, "_b", F.coalesce(F.sum("_bneg").over(bw), F.lit(0.0)).alias("_off"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("_in_b", F.coalesce(F.sum("_neg").over(w), F.lit(0.0))).join(offs, [*keys, "_b"])
+    g = g.withColumn("_neg_below", F.col("_off") + F.col("_in_b"))
     auc = g.groupBy(*keys).agg(
         (F.sum(F.col("_pos") * (F.col("_neg_below") + F.lit(0.5) * F.col("_neg"))) /
          (F.sum("_pos") * F.sum("_neg"))).alias("auc"))

@@ -175,3 +175,14 @@ def test_streaming_late_tick_dropped_allowed_tick_updates(spark):
     got = {r.ts.hour: r for r in bars_stream.current_bars(spark, sink).collect()}
     assert got[10].v == 2 and got[10].h == 7.0  # the 10:15 tick arrived after the watermark: dropped
     assert got[12].v == 2 and got[12].c == 3.0  # the 12:45 tick was in time: close updated
+
+
+def test_auc_mid_ranks_against_pair_count(spark):
+    from sparkbars.operators import ml
+
+    rows = [(1.0, 0.9), (0.0, 0.1), (1.0, 0.5), (0.0, 0.5), (0.0, 0.95), (1.0, 0.0001)]
+    got = ml.score_metrics(spark.createDataFrame(rows, "y double, p double")).collect()[0].auc
+    pos = [p for y, p in rows if y == 1]
+    neg = [p for y, p in rows if y == 0]
+    brute = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a in pos for b in neg) / (len(pos) * len(neg))
+    assert abs(got - brute) < 1e-12
