@@ -2,11 +2,12 @@
 
 ``nearest_bar`` is an as-of join to the nearest bar in time (ties go to the
 earlier bar). It never collects a symbol into one task: trades and bars are
-unioned and scanned inside (symbol, day) partitions; a trade whose nearest
-neighbour lies on another day takes it from a small per-(symbol, day) carry
-table (last bar before the day, first bar after it), computed with a window
-over days and joined back on (symbol, day). One shuffle of the union, no
-cross join, no per-trade candidate lists.
+unioned and scanned inside (symbol, time slot) partitions, once forwards and
+once backwards with running frames, so the cost of a slot is linear in its
+rows; a trade whose nearest neighbour lies in another slot takes it from a
+small per-(symbol, slot) carry table (last bar before the slot, first bar
+after it), computed with windows over slots and joined back on (symbol, slot).
+One shuffle of the union, no cross join, no per-trade candidate lists.
 """
 
 from __future__ import annotations
@@ -15,45 +16,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _micros(c):
-    return F.unix_micros(F.col(c).cast("timestamp"))
+SLOT_SECONDS = 3600
 
 
-def _day(c):
-    return F.unix_date(F.to_date(F.col(c)))
+def _slot(c, seconds: int):
+    return F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / F.lit(seconds)).cast("long")
 
 
 def nearest_bar(bars: DataFrame, trades: DataFrame, t_col: str = "ts_open", key: str = "symbol",
-                bar_cols: tuple = ("ts", "rn")) -> DataFrame:
-    """Trades with ``bar_ts``, ``bar_rn`` (and any other ``bar_cols``) of the nearest bar of the same symbol."""
+                bar_cols: tuple = ("ts", "rn"), slot: int = SLOT_SECONDS) -> DataFrame:
+    """Trades with ``bar_ts``, ``bar_rn`` (and any other ``bar_cols``) of the nearest bar of the same symbol.
+
+    Bars of one time go by ``rn`` if they have it. ``slot`` is the length of a time slot in seconds."""
+    turn = F.col("rn") if "rn" in bars.columns else F.lit(0)
     bar = F.struct(*[F.col(c).alias(c) for c in bar_cols])
     trade = F.struct(*[F.col(c).alias(c) for c in trades.columns])
     bar_t = bars.select(bar.alias("_b")).schema["_b"].dataType
     trade_t = trades.select(trade.alias("_tr")).schema["_tr"].dataType
-    b = bars.select(key, F.col("ts").alias("_t"), F.lit(0).alias("_kind"), bar.alias("_bar"),
+    b = bars.select(key, F.col("ts").alias("_t"), F.lit(0).alias("_kind"), turn.cast("long").alias("_turn"), bar.alias("_bar"),
                     F.lit(None).cast(trade_t).alias("_trade"))
-    t = trades.select(key, F.col(t_col).alias("_t"), F.lit(1).alias("_kind"),
+    t = trades.select(key, F.col(t_col).alias("_t"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_turn"),
                       F.lit(None).cast(bar_t).alias("_bar"), trade.alias("_trade"))
-    u = b.unionByName(t).withColumn("_d", _day("_t"))
-    w = Window.partitionBy(key, "_d").orderBy("_t", "_kind")
+    u = b.unionByName(t).withColumn("_d", _slot("_t", slot))
+    part = Window.partitionBy(key, "_d")
+    onwards = part.orderBy("_t", "_kind", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    # the running frame from the other end; a frame up to the partition's end would be computed again for every row
+    back = part.orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_turn")).rowsBetween(Window.unboundedPreceding, 0)
     u = u.select(
         "*",
-        F.last("_bar", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
-        F.first("_bar", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next"),
+        F.last("_bar", ignorenulls=True).over(onwards).alias("_prev"),
+        F.last("_bar", ignorenulls=True).over(back).alias("_next"),
     ).filter(F.col("_kind") == 1)
-    # carry table: per (symbol, day) the last bar of earlier days and the first bar of later days
-    days = (
-        bars.select(key, _day("ts").alias("_d"), bar.alias("_bar"), F.col("ts").alias("_t"))
+    # carry table: per (symbol, slot) the last bar of earlier slots and the first bar of later slots
+    at = F.struct("_t", "_turn")
+    slots = (
+        b.select(key, _slot("_t", slot).alias("_d"), "_bar", "_t", "_turn")
         .groupBy(key, "_d")
-        .agg(F.max_by("_bar", "_t").alias("_last"), F.min_by("_bar", "_t").alias("_first"))
+        .agg(F.max_by("_bar", at).alias("_last"), F.min_by("_bar", at).alias("_first"))
     )
-    tdays = trades.select(key, _day(t_col).alias("_d")).distinct()
-    allk = days.join(tdays, [key, "_d"], "full")
-    wd = Window.partitionBy(key).orderBy("_d")
+    tslots = trades.select(key, _slot(t_col, slot).alias("_d")).distinct()
+    allk = slots.join(tslots, [key, "_d"], "full")
+    earlier, later = (Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_d"), F.desc("_d")))
     carry = allk.select(
         key, "_d",
-        F.last("_last", ignorenulls=True).over(wd.rowsBetween(Window.unboundedPreceding, -1)).alias("_cprev"),
-        F.first("_first", ignorenulls=True).over(wd.rowsBetween(1, Window.unboundedFollowing)).alias("_cnext"),
+        F.last("_last", ignorenulls=True).over(earlier).alias("_cprev"),
+        F.last("_first", ignorenulls=True).over(later).alias("_cnext"),
     )
     m = u.join(carry, [key, "_d"], "left")
     prev = F.coalesce(F.col("_prev"), F.col("_cprev"))
