@@ -7,7 +7,7 @@ single Exchange + Sort for the whole set.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import full_roll, ieee_div, nan_to_zero, pct_change, two_pi
@@ -46,15 +46,6 @@ def session_phase(hour: Column, minute: Column) -> Column:
     )
 
 
-def ffill(panel: Panel, cols: list[str]) -> DataFrame:
-    """Forward-fill nulls of ``cols`` in time order; leading nulls stay null."""
-    upto = panel.w.rowsBetween(Window.unboundedPreceding, 0)
-    df = panel.df
-    return df.select(
-        *[F.last(F.col(c), ignorenulls=True).over(upto).alias(c) if c in cols else F.col(c) for c in df.columns]
-    )
-
-
 def compute(panel: Panel, p: Params = DEFAULT, fill: bool = True) -> Panel:
     """Append the core features; symbols with fewer than ``p.feature_min_bars`` bars get nulls."""
     w = panel.w
@@ -83,17 +74,10 @@ def compute(panel: Panel, p: Params = DEFAULT, fill: bool = True) -> Panel:
     df = df.select(*base, *[F.when(enough, F.col(c)).alias(c) for c in feats])
     if fill:
         # forward fill, then NaN -> 0, only where the features were computed
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
         dbl = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
-        keep = ("symbol", "ts", "rn", "n", "blk", "core")
-        sel = []
-        for c in df.columns:
-            if c in keep:
-                sel.append(F.col(c))
-                continue
-            filled = F.last(F.col(c), ignorenulls=True).over(upto)
-            if c in dbl:
-                filled = nan_to_zero(filled)
-            sel.append(F.when(enough, filled).otherwise(F.col(c)).alias(c))
-        df = df.select(*sel)
+        cols = [c for c in df.columns if c not in ("symbol", "ts", "rn", "n", "blk", "core")]
+        raw = df.select("*", *[F.col(c).alias(f"_raw_{c}") for c in cols])
+        df = panel.with_df(raw).filled(compute(panel.long_histories(), p, fill=False).df, cols)
+        df = df.select(*[F.when(enough, nan_to_zero(c) if c in dbl else F.col(c)).otherwise(F.col(f"_raw_{c}")).alias(c)
+                         if c in cols else F.col(c) for c in df.columns if not c.startswith("_raw_")])
     return panel.with_df(df)

@@ -5,7 +5,6 @@ NaN -> 0), no minimum-row guard."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip_lower0, full_roll, ieee_div, nan_to_zero, pct_change, two_pi
@@ -92,17 +91,8 @@ def compute(panel: Panel, p: Params = DEFAULT, fill: bool = True) -> Panel:
     base = list(panel.df.columns)
     df = df.select(*base, *columns())
     if fill:
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
         dbl = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
-        keep = ("symbol", "ts", "rn", "n", "blk", "core")
-        sel = []
-        for col_name in df.columns:
-            if col_name in keep:
-                sel.append(F.col(col_name))
-                continue
-            filled = F.last(F.col(col_name), ignorenulls=True).over(upto)
-            if col_name in dbl:
-                filled = nan_to_zero(filled)
-            sel.append(filled.alias(col_name))
-        df = df.select(*sel)
+        cols = [c for c in df.columns if c not in ("symbol", "ts", "rn", "n", "blk", "core")]
+        df = panel.with_df(df).filled(compute(panel.long_histories(), p=p, fill=False).df, cols)
+        df = df.select(*[nan_to_zero(c).alias(c) if c in dbl and c in cols else F.col(c) for c in df.columns])
     return panel.with_df(df)

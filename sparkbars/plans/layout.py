@@ -40,7 +40,8 @@ def index(bars: DataFrame, key: str = "symbol", order: str = "ts", days: int = D
         F.coalesce(F.sum("_cnt").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy(key)).alias("n"),
     )
-    local = Window.partitionBy(key, "_tb").orderBy(order)
+    ties = [c for c in ("o", "h", "l", "c", "v") if c in bars.columns]
+    local = Window.partitionBy(key, "_tb").orderBy(order, *ties)  # equal times: an order of their own, the same on every run
     b = b.withColumn("_r", F.row_number().over(local))
     return (
         b.join(offsets, [key, "_tb"])
@@ -63,11 +64,6 @@ class Panel:
     def w(self) -> Window:
         return Window.partitionBy(self.key, "blk").orderBy(self.order)
 
-    @property
-    def whole(self) -> Window:
-        """Frame over the whole partition, for per-block constants."""
-        return Window.partitionBy(self.key, "blk")
-
     def with_df(self, df: DataFrame) -> "Panel":
         return Panel(df, self.key, self.order, self.params)
 
@@ -75,6 +71,25 @@ class Panel:
         """The bars themselves: halo copies dropped, layout columns removed."""
         return self.df.filter(F.col("core")).drop("blk", "core")
 
+    def long_histories(self) -> "Panel":
+        """The symbols that have more than one block."""
+        return self.with_df(self.df.filter(F.col("n") > F.lit(self.params.block_rows)))
+
+    def filled(self, unfilled_long: DataFrame, cols: list[str]) -> DataFrame:
+        """``df`` with nulls of ``cols`` filled with the last value before them, however far back.
+
+        Inside a partition a running frame finds it; what lies before the halo comes from a carry
+        table, one row per block: the last value of each column in its core rows, taken on from block
+        to block. ``unfilled_long`` is ``df`` of the symbols with more than one block."""
+        upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
+        earlier = Window.partitionBy(self.key).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+        last = unfilled_long.filter("core").groupBy(self.key, "blk").agg(
+            *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("rn"))).alias(c) for c in cols])
+        carry = last.select(self.key, "blk", *[F.last(c, ignorenulls=True).over(earlier).alias(f"_carry_{c}") for c in cols])
+        here = self.df.select(*[F.last(F.col(c), ignorenulls=True).over(upto).alias(c) if c in cols else F.col(c) for c in self.df.columns])
+        joined = here.join(carry, [self.key, "blk"], "left")
+        return joined.select(*[F.coalesce(F.col(c), F.col(f"_carry_{c}")).alias(c) if c in cols else F.col(c) for c in self.df.columns])
+
     def part_start(self):
         """Index (rn) of the first row, halo included, of this row's partition."""
         p = self.params
@@ -95,4 +110,4 @@ def layout(bars: DataFrame, params: Params = DEFAULT, key: str = "symbol", order
         df.withColumn("blk", F.explode(F.sequence(first, last)))
         .withColumn("core", F.col("blk") == own)
     )
-    return Panel(df, key, order, p)
+    return Panel(df, key, "rn", p)
