@@ -58,11 +58,11 @@ def price_action(bars: DataFrame) -> DataFrame:
     cp, lv = F.col("current_price"), F.col("last_vwap")
     return a.select(
         "symbol", "bars",
-        ((cp - F.col("first_c")) / F.col("first_c") * F.lit(100.0)).alias("price_change_pct"),
+        (ieee_div(cp - F.col("first_c"), "first_c") * F.lit(100.0)).alias("price_change_pct"),
         F.when(cp > F.col("recent_first_c"), F.lit("BULLISH")).otherwise(F.lit("BEARISH")).alias("momentum"),
         "volatility",
         F.when(cp > lv, F.lit("ABOVE")).otherwise(F.lit("BELOW")).alias("vwap_position"),
-        ((cp - lv) / lv * F.lit(100.0)).alias("vwap_distance_pct"),
+        (ieee_div(cp - lv, lv) * F.lit(100.0)).alias("vwap_distance_pct"),
         F.when(F.col("recent_volume") > F.col("avg_volume") * F.lit(1.2), F.lit("INCREASING"))
         .when(F.col("recent_volume") < F.col("avg_volume") * F.lit(0.8), F.lit("DECREASING"))
         .otherwise(F.lit("STABLE")).alias("volume_trend"),
@@ -82,8 +82,8 @@ def advanced_metrics(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
         F.max("h").alias("max_h"),
         F.min("l").alias("min_l"),
         F.stddev_samp("returns").alias("daily_volatility"),
-        F.sum(F.pow(F.ln(F.col("h") / F.col("l")), 2)).alias("_ln2"),
-        last("rsi").alias("rsi"),
+        F.sum(F.pow(F.ln(ieee_div("h", "l")), 2)).alias("_ln2"),
+        F.coalesce(last("rsi"), F.lit(50.0)).alias("rsi"),  # none yet: neutral
         last("macd").alias("macd"),
         last("macd_signal").alias("macd_signal"),
         F.avg("v").alias("avg_volume"),
@@ -107,18 +107,18 @@ def advanced_metrics(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     adx = F.when(atr > 0, F.least(F.lit(100.0), tc / atr * F.lit(100.0))).otherwise(F.lit(25.0))
     m = a.select(
         "symbol", "bars",
-        ((F.col("last_c") - F.col("first_c")) / F.col("first_c") * F.lit(100.0)).alias("price_change_pct"),
-        ((F.col("max_h") - F.col("min_l")) / F.col("min_l") * F.lit(100.0)).alias("price_range_pct"),
+        (ieee_div(F.col("last_c") - F.col("first_c"), "first_c") * F.lit(100.0)).alias("price_change_pct"),
+        (ieee_div(F.col("max_h") - F.col("min_l"), "min_l") * F.lit(100.0)).alias("price_range_pct"),
         "daily_volatility",
         (F.col("daily_volatility") * F.lit(math.sqrt(252))).alias("annualized_volatility"),
         F.sqrt(F.lit(1.0) / (F.lit(4.0) * nb * F.lit(math.log(2))) * F.col("_ln2")).alias("parkinson_volatility"),
         "rsi", "macd", "macd_signal",
         (F.col("macd") - F.col("macd_signal")).alias("macd_histogram"),
         "avg_volume", "volume_stddev",
-        (F.col("_recent_v") / F.col("avg_volume") - F.lit(1.0)).alias("volume_trend"),
+        (ieee_div("_recent_v", "avg_volume") - F.lit(1.0)).alias("volume_trend"),
         F.col("obv").cast("long").alias("obv"),
         F.when(F.col("_obv_recent") > 0, F.lit("BULLISH")).otherwise(F.lit("BEARISH")).alias("obv_trend"),
-        ((F.col("last_c") - lv) / lv * F.lit(100.0)).alias("vwap_distance_pct"),
+        (ieee_div(F.col("last_c") - lv, lv) * F.lit(100.0)).alias("vwap_distance_pct"),
         (lv + F.lit(2.0) * F.col("_vwap_std")).alias("vwap_upper_band"),
         (lv - F.lit(2.0) * F.col("_vwap_std")).alias("vwap_lower_band"),
         F.col("_highs")[0].alias("resistance_1"),

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import ieee_div
 from ..params import DEFAULT, Params
 from ..plans.layout import Panel
 from .labels import barrier_multipliers
@@ -230,7 +231,7 @@ def evaluate(entry_rows: DataFrame, bars: DataFrame, scen: DataFrame, p: Params
     )
     g = g.withColumn("_r", res)
     exit_px = F.col("_r.px")
-    pnl = F.when(long, (exit_px - ep) / ep - F.lit(k)).otherwise((ep - exit_px) / ep - F.lit(k))
+    pnl = F.when(long, ieee_div(exit_px - ep, ep) - F.lit(k)).otherwise(ieee_div(ep - exit_px, ep) - F.lit(k))
     exit_idx = F.col("entry_idx") + F.col("_r.off")
     return g.select(
         "trade_id", "scenario_id", "entry_shift", "exit_mode", "tp_mult", "sl_mult",

@@ -41,28 +41,23 @@ def trade_kpis(trades: DataFrame, keys: list[str], pnl: str = "pnl_pct", held: s
     return agg.select(
         *keys,
         F.col("total_trades").cast("long").alias("total_trades"),
-        (F.col("_wins") / F.col("total_trades")).alias("win_rate"),
-        "total_pnl_pct",
-        "avg_pnl_pct",
+        # without keys there is a row for no trades too: all zeros
+        F.coalesce(F.col("_wins") / F.nullif("total_trades", F.lit(0)), F.lit(0.0)).alias("win_rate"),
+        F.coalesce("total_pnl_pct", F.lit(0.0)).alias("total_pnl_pct"),
+        F.coalesce("avg_pnl_pct", F.lit(0.0)).alias("avg_pnl_pct"),
         F.coalesce(F.col("_avg_win"), F.lit(0.0)).alias("avg_win_pct"),
         F.coalesce(F.col("_avg_loss"), F.lit(0.0)).alias("avg_loss_pct"),
         pf.alias("profit_factor"),
-        "avg_r_multiple",
+        F.coalesce("avg_r_multiple", F.lit(0.0)).alias("avg_r_multiple"),
         F.coalesce(F.col("avg_bars_held"), F.lit(0.0)).alias("avg_bars_held"),
     )
 
 
 def exit_breakdown(trades: DataFrame, keys: list[str], reason: str = "exit_reason") -> DataFrame:
-    """Count of trades per exit reason (flat rows; use ``as_map`` for a map column)."""
+    """Count of trades per exit reason."""
     return trades.groupBy(*keys, reason).agg(F.count(F.lit(1)).alias("trades"))
 
 
-def as_map(breakdown: DataFrame, keys: list[str], reason: str = "exit_reason") -> DataFrame:
-    return breakdown.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(reason), F.col("trades")))).alias("exit_breakdown")
-    )
-
-
 def uplift(deltas: DataFrame, keys: list[str], delta: str = "delta_pnl", p: Params = DEFAULT) -> DataFrame:
     """avoidable loss (sum of positive deltas), expected uplift (sum), avg delta R, improvable count."""
     d = F.col(delta)

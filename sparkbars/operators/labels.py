@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.exprs import col
+from ..functions.exprs import col, ieee_div
 from ..params import DEFAULT, Params
 from ..plans.layout import Panel
 
@@ -69,9 +69,9 @@ def triple_barrier(panel: Panel, side: str = "long", p: Params = DEFAULT, entry:
     last_off = F.least(F.lit(H), n - 1 - rn)
     exit_px = F.when(why == "tp", tp_px).when(why == "sl", sl_px).otherwise(F.col("_last_c"))
     if side == "long":
-        ret = (exit_px - e) / e - F.lit(k)
+        ret = ieee_div(exit_px - e, e) - F.lit(k)
     else:
-        ret = (e - exit_px) / e - F.lit(k)
+        ret = ieee_div(e - exit_px, e) - F.lit(k)
     at_end = rn >= n - 1
     df = df.select(
         *panel.df.columns,

@@ -124,15 +124,20 @@ ENSEMBLE = [
     ("gbm", 0.4, lambda: GBTRegressor(maxIter=200, stepSize=0.05, maxDepth=7, seed=42)),
     ("gb", 0.3, lambda: GBTRegressor(maxIter=150, stepSize=0.1, maxDepth=5, seed=7)),
     ("rf", 0.2, lambda: RandomForestRegressor(numTrees=100, maxDepth=10, seed=42)),
-    ("ridge", 0.1, lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0)),
+    ("ridge", 0.1, None),  # made by ridge() from the number of rows
 ]
 
 
+def ridge(n: int, alpha: float = 1.0) -> LinearRegression:
+    """Penalty ``alpha`` on the sum of squares of ``n`` rows: the loss here is their mean."""
+    return LinearRegression(regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False)
+
+
 def fit_ensemble(train: DataFrame, test: DataFrame, x: str = "features", y: str = "y"):
     """Fit the four regressors; return (models, test predictions with the weighted ensemble, RMSEs)."""
     models, pred = {}, test
     for name, weight, make in ENSEMBLE:
-        m = make().setFeaturesCol(x).setLabelCol(y).setPredictionCol(f"pred_{name}").fit(train)
+        m = (make() if make else ridge(train.count())).setFeaturesCol(x).setLabelCol(y).setPredictionCol(f"pred_{name}").fit(train)
         models[name] = m
         pred = m.transform(pred)
     pred = pred.withColumn("pred", sum(F.col(f"pred_{n}") * F.lit(w) for n, w, _ in ENSEMBLE))
@@ -180,20 +185,16 @@ def registry_row(spark: SparkSession, name: str, model_type: str, features: list
 def walk_forward(bars_idx: DataFrame, train_days: int = 60, test_days: int = 10, purge: int = 5) -> DataFrame:
     """Rolling folds over the data's date range: fold k trains on [start + k*test_days, +train_days)
     and tests on the next ``test_days``; the last ``purge`` bars of each symbol's training window
-    are purged (their labels look into the test window). Bars are range-joined to a fold calendar
-    whose size is bounded by the date span; returns (fold, symbol, ts, role)."""
+    are purged (their labels look into the test window). A bar's folds follow from its day by
+    arithmetic; a span too short for one fold has none. Returns (fold, symbol, ts, role)."""
     d = F.to_date("ts")
-    bounds = bars_idx.agg(F.min(d).alias("s"), F.max(d).alias("e"))
-    folds = bounds.select("s", "e", F.explode(F.sequence(F.lit(0), F.floor(
-        (F.datediff("e", "s") - F.lit(train_days + test_days) + 1) / F.lit(test_days)).cast("int"))).alias("fold"))
-    cal = folds.select(
-        "fold",
-        F.date_add("s", F.col("fold") * test_days).alias("train_start"),
-        F.date_add("s", F.col("fold") * test_days + train_days).alias("test_start"),
-        F.date_add("s", F.col("fold") * test_days + train_days + test_days).alias("test_end"),
-    )
-    j = bars_idx.join(F.broadcast(cal), (d >= F.col("train_start")) & (d < F.col("test_end")))
-    role = F.when(d < F.col("test_start"), F.lit("train")).otherwise(F.lit("test"))
+    start, end = bars_idx.agg(F.min(d), F.max(d)).first()
+    folds = ((end - start).days - (train_days + test_days) + 1) // test_days if start else -1
+    day = F.datediff(d, F.lit(start))
+    first = F.greatest(F.floor((day - train_days - test_days) / test_days) + 1, F.lit(0)).cast("int")
+    last = F.least(F.floor(day / test_days), F.lit(folds)).cast("int")
+    j = bars_idx.withColumn("_day", day).filter(first <= last).withColumn("fold", F.explode(F.sequence(first, last)))
+    role = F.when(F.col("_day") < F.col("fold") * test_days + train_days, F.lit("train")).otherwise(F.lit("test"))
     j = j.withColumn("role", role)
     last_train = j.filter(F.col("role") == "train").groupBy("fold", "symbol").agg(F.max("rn").alias("_last"))
     j = j.join(last_train, ["fold", "symbol"], "left")

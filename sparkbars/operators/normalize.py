@@ -23,6 +23,9 @@ ALIASES = {
 }
 # Timestamp formats tried in order.
 TS_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
+#: A clock time that ends with an offset.
+ZONED = r"\d:\d{2}[^+-]*([Zz]|[+-]\d{1,2}(:?\d{2})?)$"
+EXCHANGE_TZ = "Asia/Kolkata"
 DEFAULT_VOLUME = 10000
 SESSION_OPEN_MIN, SESSION_CLOSE_MIN = 9 * 60 + 15, 15 * 60 + 30
 
@@ -41,10 +44,15 @@ def detect(columns: list[str], role: str) -> str | None:
 
 
 def parse_ts(c) -> F.Column:
-    """Timestamp from text (formats tried in order; unparsable -> null) or any datetime type."""
+    """Exchange wall clock from text or any datetime type (unparsable -> null).
+
+    The formats are tried in order, then the general ISO forms (fractions of a second, ``T``);
+    a time with an offset or ``Z`` is converted to the exchange's zone."""
     c = F.col(c) if isinstance(c, str) else c
-    parsed = F.coalesce(*[F.try_to_timestamp(c.cast("string"), F.lit(f)) for f in TS_FORMATS])
-    return parsed.cast("timestamp_ntz")
+    text = F.trim(c.cast("string"))
+    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TS_FORMATS]).cast("timestamp_ntz")
+    zoned = F.from_utc_timestamp(text.try_cast("timestamp"), EXCHANGE_TZ).cast("timestamp_ntz")
+    return F.coalesce(parsed, F.when(F.rlike(text, F.lit(ZONED)), zoned).otherwise(text.try_cast("timestamp_ntz")))
 
 
 def bars(df: DataFrame, symbol: str | None = None) -> DataFrame:
@@ -81,6 +89,13 @@ def bars(df: DataFrame, symbol: str | None = None) -> DataFrame:
     return out.dropna()
 
 
+def load_counts(raw: DataFrame, symbol: str | None = None) -> DataFrame:
+    """One row: ``rows_read``, ``rows_kept`` and ``rows_rejected`` by ``bars`` (a null in any needed column)."""
+    read = raw.agg(F.count("*").alias("rows_read"))
+    kept = bars(raw, symbol).agg(F.count("*").alias("rows_kept"))
+    return read.join(kept).withColumn("rows_rejected", F.col("rows_read") - F.col("rows_kept"))
+
+
 def integrity(bars_df: DataFrame) -> DataFrame:
     """Per symbol: counts of h<l, h<c, l>c, negative prices, zero volume; valid iff no negative price."""
     o, h, l, c, v = (F.col(x) for x in "ohlcv")

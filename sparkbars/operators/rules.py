@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import ieee_div
+
 # Signal rules (rule_id, type, strength, reason, confidence), in order.
 SIGNAL_RULES = [
     (1, "BUY", "STRONG", "RSI Oversold + MACD Bullish Crossover", 85),
@@ -109,8 +111,8 @@ def insights(pa: DataFrame, regime_col: str = "dominant_regime") -> DataFrame:
         (6, ~(vol > 0.02) & (vol < 0.01), _fmt(T[6], x=three(vol))),
         (7, F.col("volume_trend") == "INCREASING", F.lit(T[7])),
         (8, F.col("volume_trend") == "DECREASING", F.lit(T[8])),
-        (9, (res - cur) / cur * F.lit(100.0) < 1, _fmt(T[9], x=two(res))),
-        (10, (cur - sup) / cur * F.lit(100.0) < 1, _fmt(T[10], x=two(sup))),
+        (9, ieee_div(res - cur, cur) * F.lit(100.0) < 1, _fmt(T[9], x=two(res))),
+        (10, ieee_div(cur - sup, cur) * F.lit(100.0) < 1, _fmt(T[10], x=two(sup))),
         (11, reg == "trend", F.lit(T[11])),
         (12, (reg == "trend") & (F.col("momentum") == "BULLISH"), F.lit(T[12])),
         (13, (reg == "trend") & (F.col("momentum") != "BULLISH"), F.lit(T[13])),

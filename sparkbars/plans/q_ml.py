@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,7 +174,7 @@ def q_forecast_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """30-step forecast per symbol from its last window, rotating the flat input one element per
     step (closed form, one transform) with a ridge model fitted on all windows."""
     w = windows_df(spark, sf_dir, checkpoint=True).withColumn("features", array_to_vector("x"))
-    model = LinearRegression(regParam=1.0, elasticNetParam=0.0, labelCol="y").fit(w)
+    model = ml.ridge(w.count()).setLabelCol("y").fit(w)
     last = w.join(w.groupBy("symbol").agg(F.max("rn").alias("rn")), ["symbol", "rn"])
     rot = ml.rotations(last.select("symbol", "x"), 30).withColumn("features", array_to_vector("x"))
     return model.transform(rot).select("symbol", "step", F.col("prediction").alias("pred"))

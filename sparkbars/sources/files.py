@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import normalize
+from ..operators.normalize import EXCHANGE_TZ
 
 TRADES_SCHEMA = T.StructType([
     T.StructField("trade_id", T.LongType()),
@@ -21,7 +22,6 @@ CANDLES_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
     T.StructField("candles", T.ArrayType(T.ArrayType(T.DoubleType()))),
 ])
-EXCHANGE_TZ = "Asia/Kolkata"
 
 
 def symbol_from_path(path_col=None) -> F.Column:
