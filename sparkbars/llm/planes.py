@@ -36,7 +36,7 @@ END_ID = 0
 SHARD_BYTES = 32 << 20
 MAX_SHARDS = 20_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def to_planes(values: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -113,17 +113,21 @@ class ShardReader:
             yield values
 
 
-#: A space next to other white space; without it, every space begins a pre-token.
-_BESIDE = re.compile(r" \s|\s ")
+#: White space next to white space; elsewhere every space begins a pre-token and every line end is one.
+_BESIDE = re.compile(r"\s\s")
 _PARTS = re.compile(r"(?<=\S) (?=\S)")
+#: What is split off the end of a word: a pre-token never goes on from a letter to one of these.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The byte-level pre-tokenizer always begins a new token at a single space
-    between two characters that are none, so texts are encoded part by part
-    there, and the ids of parts are remembered.
+    between two characters that are none, around a single line end, and behind
+    the letters of a word. So texts are encoded part by part there, and the ids
+    of parts are remembered: of parts behind a space (``after``), and of bare
+    ones behind a line end or first in a text (``first``).
     """
 
     def __init__(self, path: str):
@@ -131,24 +135,48 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def part(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.after: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.line_end = self._ids(["\n"])[0]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, known: dict[str, bytes], before: str, parts: set[str]) -> None:
+        ends = {}  # the marks behind a part's letters
+        for p in parts:
+            core = p.rstrip(_MARKS)
+            if len(core) < len(p) and core and core[-1].isalpha():
+                ends[p] = core, p[len(core) :]
+        new = [p for p in {*(parts - ends.keys()), *(core for core, _ in ends.values())} if p not in known]
+        known.update(zip(new, self._ids([before + p for p in new])))
+        new = list({m for _, m in ends.values()} - self.marks.keys())
+        self.marks.update(zip(new, self._ids(new)))
+        known.update((p, known[core] + self.marks[m]) for p, (core, m) in ends.items())
+        if len(self.marks) > REMEMBERED:
+            self.marks.clear()
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        first, *parts = _PARTS.split(text) if _BESIDE.search(text) else text.split(" ")
-        known = self.known
+        if _BESIDE.search(text):  # parts may hold any white space inside
+            first, *parts = _PARTS.split(text)
+            return b"".join(self._ids([first, *(" " + p for p in parts)]))
+        lines = [line.split(" ") for line in text.split("\n")]
         try:
-            return self.part(first) + b"".join([known[p] for p in parts])
+            return self._joined(lines)
         except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list({p for p in parts if p not in known})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-            return self.part(first) + b"".join([known[p] for p in parts])
+            first, after = self.first, self.after
+            for known in (first, after):
+                if len(known) > REMEMBERED:
+                    known.clear()
+            self._learn(first, "", {line[0] for line in lines if line[0] not in first})
+            self._learn(after, " ", {p for line in lines for p in line[1:] if p not in after})
+            return self._joined(lines)
+
+    def _joined(self, lines: list[list[str]]) -> bytes:
+        first, get = self.first, self.after.__getitem__
+        return self.line_end.join([first[line[0]] + b"".join(map(get, line[1:])) for line in lines])
 
 
 _ENCODERS: dict[str, Encoder] = {}
