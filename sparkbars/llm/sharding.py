@@ -41,7 +41,7 @@ def _drawn(expected, salt: str):
 
 
 def _ranged(rows: DataFrame, splits: list[float]) -> DataFrame:
-    cut = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="_key", outputCol="_range")
+    cut = Bucketizer(splits=[-math.inf, *(splits or [0.0]), math.inf], inputCol="_key", outputCol="_range")
     return cut.transform(rows.drop("_range")).withColumn("_range", F.col("_range").cast("int"))
 
 
