@@ -29,8 +29,9 @@ DIM = 8
 #: Labelled documents that are learned from, at most about so many: a share of
 #: them all, told by a hash of the id.
 TRAIN_DOCS = 2000
-#: Passes over them, first step size, and how much larger a step the feature vectors take.
-EPOCHS, RATE, VECTOR_RATE = 6, 0.5, 5.0
+#: Steps of one document (passes over them as many as that takes), size of the
+#: first step, and how much larger a step the feature vectors take.
+STEPS, RATE, VECTOR_RATE = 12_000, 0.5, 5.0
 #: Code points that are turned into features at once (a longer text alone).
 CHARS = 1 << 20
 THRESHOLD = 0.7
@@ -112,18 +113,17 @@ class Model:
         return (self.vectors @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Model:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = DIM, steps: int = STEPS, rate: float = RATE, seed: int = 5) -> Model:
     """Stochastic gradient descent over (buckets, counts, class) of documents.
     Without documents, or with one class alone, the score tends to that class."""
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     w, b = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
-    total, done = max(1, epochs * len(rows)), 0
-    for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
+    epochs = -(-steps // len(rows)) if rows else 0
+    for epoch in range(epochs):
+        for at, k in enumerate(rng.permutation(len(rows))):
             ids, counts, label = rows[k]
-            step = rate * (1 - done / total)
-            done += 1
+            step = rate * (1 - (epoch + at / len(rows)) / epochs)
             share = (counts / max(counts.sum(), 1)).astype(np.float32)
             mean = share @ e[ids]
             z = mean @ w + b
