@@ -208,6 +208,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     that has a link, by rounds of large-star and small-star."""
     e = checkpointed(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     state = None
+    if e.isEmpty():
+        return e.toDF("node", "root")
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = checkpointed(spark, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
