@@ -16,7 +16,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from ..session import scratch_path
 from .common import filesystem
@@ -35,8 +36,10 @@ END_ID = 0
 #: UTF-8 bytes of text for one shard on average, and the most shards.
 SHARD_BYTES = 32 << 20
 MAX_SHARDS = 20_000
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers (and 16 times as many characters).
 REMEMBERED = 1_000_000
+#: Code points of texts that are split at once (a longer text alone).
+GROUP_CHARS = 1 << 18
 
 
 def to_planes(values: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -115,6 +118,8 @@ class ShardReader:
 
 #: White space next to white space; elsewhere every space begins a pre-token and every line end is one.
 _BESIDE = re.compile(r"\s\s")
+#: With one space in front, one pre-token (other scripts' letters go the general way).
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _PARTS = re.compile(r"(?<=\S) (?=\S)")
 #: What is split off the end of a word: a pre-token never goes on from a letter to one of these.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -126,57 +131,80 @@ class Encoder:
     The byte-level pre-tokenizer always begins a new token at a single space
     between two characters that are none, around a single line end, and behind
     the letters of a word. So texts are encoded part by part there, and the ids
-    of parts are remembered: of parts behind a space (``after``), and of bare
-    ones behind a line end or first in a text (``first``).
+    of parts are remembered: of parts behind a space by their characters, of
+    those behind a line end with it in front.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.after: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.line_end = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], before: str, parts: set[str]) -> None:
+        self.known: dict[str, bytes] = {}
+        self.chars = 0
+        self.line_end = len(self._ids(["\n"])[0])
+        self.undivided = Tokenizer.from_file(path)  # for what is one pre-token anyway
+        self.undivided.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def _ids(self, words: list[str], tokenizer: Tokenizer | None = None) -> list[bytes]:
+        """Ids of every word for itself; one call, as a call costs more than a word."""
+        if not words:
+            return []
+        found = (tokenizer or self.tokenizer).encode(words, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(found.ids, "<u4").tobytes()
+        ends = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * 4).tolist()
+        return [raw[lo:hi] for lo, hi in zip(ends, ends[1:])]
+
+    def _learn(self, parts: set[str]) -> None:
+        known = self.known
+        if len(known) > REMEMBERED or self.chars > 16 * REMEMBERED:
+            known.clear()
+            self.chars = 0
+        new = parts.difference(known)
         ends = {}  # the marks behind a part's letters
-        for p in parts:
-            core = p.rstrip(_MARKS)
-            if len(core) < len(p) and core and core[-1].isalpha():
-                ends[p] = core, p[len(core) :]
-        new = [p for p in {*(parts - ends.keys()), *(core for core, _ in ends.values())} if p not in known]
-        known.update(zip(new, self._ids([before + p for p in new])))
-        new = list({m for _, m in ends.values()} - self.marks.keys())
-        self.marks.update(zip(new, self._ids(new)))
-        known.update((p, known[core] + self.marks[m]) for p, (core, m) in ends.items())
-        if len(self.marks) > REMEMBERED:
-            self.marks.clear()
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if _BESIDE.search(text):  # parts may hold any white space inside
-            first, *parts = _PARTS.split(text)
-            return b"".join(self._ids([first, *(" " + p for p in parts)]))
-        lines = [line.split(" ") for line in text.split("\n")]
-        try:
-            return self._joined(lines)
-        except KeyError:
-            first, after = self.first, self.after
-            for known in (first, after):
-                if len(known) > REMEMBERED:
-                    known.clear()
-            self._learn(first, "", {line[0] for line in lines if line[0] not in first})
-            self._learn(after, " ", {p for line in lines for p in line[1:] if p not in after})
-            return self._joined(lines)
-
-    def _joined(self, lines: list[list[str]]) -> bytes:
-        first, get = self.first, self.after.__getitem__
-        return self.line_end.join([first[line[0]] + b"".join(map(get, line[1:])) for line in lines])
+        for p in new:
+            if p and p[-1] in _MARKS:
+                core = p.rstrip(_MARKS)
+                if core and core[-1].isalpha():
+                    ends[p] = core, p[len(core) :]
+        bare = new.difference(ends).union(core for core, _ in ends.values() if core not in known)
+        marks = list({m for _, m in ends.values()})
+        letters = list(filter(_LETTERS.fullmatch, bare))
+        known.update(zip(letters, self._ids([" " + p for p in letters], self.undivided)))
+        others = list(bare.difference(letters))
+        ids = self._ids([*(p if p[:1] == "\n" else " " + p for p in others), *marks])
+        known.update(zip(others, ids))
+        of_mark = dict(zip(marks, ids[len(others) :]))
+        known.update((p, known[core] + of_mark[m]) for p, (core, m) in ends.items())
+        self.chars += sum(map(len, bare)) + sum(map(len, ends))
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= GROUP_CHARS:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        # parts of "\n" + text, unless that holds white space next to white space
+        split = [None if _BESIDE.search(t) else t.replace("\n", " \n")[1:].split(" ") for t in map("\n".__add__, texts)]
+        parts = [p for of_text in split if of_text for p in of_text]
+        ids = list(map(self.known.get, parts))
+        unknown = [k for k, i in enumerate(ids) if i is None]
+        if unknown:
+            self._learn({parts[k] for k in unknown})
+            for k in unknown:
+                ids[k] = self.known[parts[k]]
+        at = 0
+        for text, of_text in zip(texts, split):
+            if of_text is None:
+                first, *rest = _PARTS.split(text)
+                yield b"".join(self._ids([first, *(" " + p for p in rest)]))
+            else:
+                yield b"".join(ids[at : at + len(of_text)])[self.line_end :]
+                at += len(of_text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -222,8 +250,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, bits: boo
             ids = batch.column("doc_id")
             out.add("doc", np.array(ids.fill_null(0), "<i8").tobytes())
             out.add("null", np.array(ids.is_null(), "u1").tobytes())
-            for text in batch.column("text"):
-                raw = enc.encode(text.as_py()) + end
+            for raw in enc.encode(text.as_py() for text in batch.column("text")):
+                raw += end
                 out.add("ids", raw)
                 out.add("len", struct.pack("<Q", len(raw) // 4))
                 n[1] += len(raw) // 4

@@ -122,9 +122,12 @@ def test_plane_transposition():
 
 def test_encoder_parts_equal_whole_texts():
     e = planes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    for t in ["", " ", "  a  b", "x \n y", " lead", "trail ", "it's don't 'tis a'b", "a1b2 3c", "\n\nfoo\n", "a b c", "<|endoftext|> hi",
-              "tab\tsep x", "né!?ok... (a) [b]'s", "word.\nNext", "a.b, c's.", "\x1c a", "3.14, 2nd.", "é.\n- x", "\n", "a\n", "'s 's", "x- -y"]:
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+    texts = ["", " ", "  a  b", "\t", "\tlead", "\nlead", "x \n y", " lead", "trail ", "it's don't 'tis a'b", "a1b2 3c", "\n\nfoo\n", "a b c", "<|endoftext|> hi",
+              "tab\tsep x", "né!?ok... (a) [b]'s", "word.\nNext", "a.b, c's.", "\x1c a", "3.14, 2nd.", "é.\n- x", "\n", "a\n", "'s 's", "x- -y"]
+    whole = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for group in (texts, texts, texts[::-1]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(group)] == whole[:: 1 if group is texts else -1]
+    assert list(e.encode([])) == []
 
 
 # --- chat
