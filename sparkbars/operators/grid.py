@@ -1,14 +1,15 @@
 """Exit-policy grid: every trade re-simulated under 216 alternative entries
 and exits (entry shift x exit mode x take-profit x stop-loss multiplier).
 
-Plan: each bar carries its next bars as an array built from ``lead`` over
-the shared (symbol, blk) window (exact thanks to the halo), with the running
-trailing-stop level precomputed; every trade is expanded to its entry shifts
-(hash partitioned by trade); for each distinct (entry bar, side) the first
-offsets at which each take-profit / stop level is touched are found once
-(``exit_table``); the 216-row scenario table (a fixed-size parameter table)
-is broadcast-joined on the shift and each scenario row only compares offsets.
-Ranking and the best policy work on groups of exactly 216 rows per trade.
+Plan: each bar sees its next bars through ``lead`` over the shared
+(symbol, blk) window (exact thanks to the halo), with the running
+trailing-stop level; in the same partition the first offsets at which each
+take-profit / stop level is touched are found once per bar and side
+(``exit_table``), so only these offsets are shuffled, not the paths; every
+trade is expanded to its entry shifts and picks its entry bars' offsets; the
+216-row scenario table (a fixed-size parameter table) is broadcast-joined on
+the shift and each scenario row only compares offsets. Ranking and the best
+policy work on groups of exactly 216 rows per trade.
 """
 
 from __future__ import annotations
@@ -75,45 +76,42 @@ def with_forward(panel: Panel, p: Params = DEFAULT) -> Panel:
     """
     H = p.max_horizon()
     assert H <= p.halo_ahead and max(0, -min(p.entry_shifts)) <= p.halo_back, "halo must cover the grid"
-    w = panel.w
     atr = F.coalesce(F.col("atr"), F.col("h") - F.col("l")) if "atr" in panel.df.columns else F.col("h") - F.col("l")
     mult = F.lit(p.trail_atr_mult)
     df = panel.df.withColumn("_tl", F.col("c") - mult * atr).withColumn("_ts", -(F.col("c") + mult * atr))
-    leads = []
-    for j in range(1, H + 1):
-        leads += [F.lead(c, j).over(w).alias(f"_{c}{j}") for c in ("h", "l", "c", "_tl", "_ts")]
-    df = df.select("*", *leads)
-    longs, shorts = [], []
-    ml = ms = None
-    for j in range(1, H + 1):
-        ml = F.col(f"__tl{j}") if ml is None else F.greatest(ml, F.col(f"__tl{j}"))
-        ms = F.col(f"__ts{j}") if ms is None else F.greatest(ms, F.col(f"__ts{j}"))
-        h, l, c = F.col(f"_h{j}"), F.col(f"_l{j}"), F.col(f"_c{j}")
-        longs.append(F.struct(h.alias("h"), l.alias("l"), c.alias("c"), ml.alias("m")))
-        shorts.append(F.struct((-l).alias("h"), (-h).alias("l"), (-c).alias("c"), ms.alias("m")))
-    keep = [c for c in panel.df.columns]
-    df = df.select(*keep, F.array(*longs).alias("fwd_long"), F.array(*shorts).alias("fwd_short"))
-    return panel.with_df(df)
+    # as SQL text: thousands of Column calls would take the driver longer than the job
+    over = f"OVER (PARTITION BY {panel.key}, blk ORDER BY {panel.order})"
+    steps = range(1, H + 1)
+    df = df.selectExpr("*", *[f"lead({c}, {j}) {over} AS _{c}{j}" for j in steps for c in ("h", "l", "c", "_tl", "_ts")])
+
+    def upto(c: str, j: int) -> str:
+        return f"greatest({', '.join(f'_{c}{i}' for i in range(1, j + 1))})" if j > 1 else f"_{c}1"
+
+    longs = ", ".join(f"struct(_h{j} AS h, _l{j} AS l, _c{j} AS c, {upto('_tl', j)} AS m)" for j in steps)
+    shorts = ", ".join(f"struct(-_l{j} AS h, -_h{j} AS l, -_c{j} AS c, {upto('_ts', j)} AS m)" for j in steps)
+    keep = [F.col(c) for c in panel.df.columns]
+    return panel.with_df(df.select(*keep, F.expr(f"array({longs})").alias("fwd_long"), F.expr(f"array({shorts})").alias("fwd_short")))
 
 
 def entries(trades: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """One row per (trade, entry shift) with the clamped entry bar index.
 
-    ``trades``: trade_id, symbol, side, e (entry bar rn), n.
+    ``trades``: trade_id, symbol, side, e (entry bar rn), n, and any others.
     """
     shifts = F.array(*[F.lit(int(s)) for s in p.entry_shifts])
-    t = trades.select("trade_id", "symbol", "side", "e", "n", F.explode(shifts).alias("entry_shift"))
+    t = trades.select("*", F.explode(shifts).alias("entry_shift"))
     t = t.withColumn("entry_idx", F.greatest(F.lit(0), F.least(F.col("e") + F.col("entry_shift"), F.col("n") - 2))
                      .cast("long"))
     return t
 
 
-def exit_table(entry_rows: DataFrame, bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """First barrier-touch offsets of every distinct (symbol, entry bar, side).
+def exit_table(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """First barrier-touch offsets of every (symbol, entry bar, side).
 
     The barriers of a scenario depend only on the entry bar's close and the
     side, so trades sharing an entry bar share this work (a hot bar is
-    computed once). ``bars``: symbol, rn, c, fwd_long, fwd_short.
+    computed once). ``bars``: symbol, rn, c, fwd_long, fwd_short; nothing is
+    shuffled here, the paths end where the offsets are found.
     For each take-profit level i: ``_T{i}`` (offset of first high >= level);
     for each stop level: ``_S{i}`` (fixed stop), ``_R{i}`` (ratcheting stop)
     and ``_Rm{i}`` (trailing level at that bar); ``_C{h}``: close at horizon h.
@@ -122,15 +120,11 @@ def exit_table(entry_rows: DataFrame, bars: DataFrame, p: Params = DEFAULT) -> D
     k = p.cost
     H = p.max_horizon()
     tp_levels, sl_levels = list(p.tp_mults), list(p.sl_mults)
-    keys = entry_rows.select("symbol", "entry_idx", "side").distinct()
-    b = bars.select("symbol", F.col("rn").alias("entry_idx"), F.col("c").alias("entry_price"), "fwd_long",
-                    "fwd_short")
-    e = keys.join(b, ["symbol", "entry_idx"])
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"fwd_{side}").alias("fwd")) for side in ("long", "short")])
+    e = bars.select("symbol", F.col("rn").alias("entry_idx"), F.col("c").alias("entry_price"), F.inline(sides))
     long = F.col("side") == "long"
     sgn = F.when(long, F.lit(1.0)).otherwise(F.lit(-1.0))
     ep = F.col("entry_price")
-    e = e.withColumn("fwd", F.when(long, F.col("fwd_long")).otherwise(F.col("fwd_short"))).drop(
-        "fwd_long", "fwd_short")
     fwd = F.col("fwd")
     cols = []
     for i, tm in enumerate(tp_levels):
@@ -142,13 +136,10 @@ def exit_table(entry_rows: DataFrame, bars: DataFrame, p: Params = DEFAULT) -> D
         ms = barrier_multipliers("short", p.tp_pct, p.sl_pct * sm, k)[1]
         cols.append((sgn * (ep * F.when(long, F.lit(ml)).otherwise(F.lit(ms)))).alias(f"_sl{i}"))
     e = e.select("*", *cols)
-    hits = []
-    for i in range(len(tp_levels)):
-        hits.append(_first(fwd, lambda b, i=i: b["h"] >= F.col(f"_tp{i}"), H).alias(f"_T{i}"))
+    hits = [_first(f"{{bar}}.h >= _tp{i}", H).alias(f"_T{i}") for i in range(len(tp_levels))]
     for i in range(len(sl_levels)):
-        hits.append(_first(fwd, lambda b, i=i: b["l"] <= F.col(f"_sl{i}"), H).alias(f"_S{i}"))
-        hits.append(_first(fwd, lambda b, i=i: b["l"] <= F.greatest(F.col(f"_sl{i}"), b["m"]), H)
-                    .alias(f"_R{i}"))
+        hits.append(_first(f"{{bar}}.l <= _sl{i}", H).alias(f"_S{i}"))
+        hits.append(_first(f"{{bar}}.l <= greatest(_sl{i}, {{bar}}.m)", H).alias(f"_R{i}"))
     e = e.select("*", *hits)
     horizons = sorted({int(x[5]) for x in scenario_rows(p)})
     at = [F.get(fwd, F.col(f"_R{i}") - 1)["m"].alias(f"_Rm{i}") for i in range(len(sl_levels))]
@@ -156,18 +147,15 @@ def exit_table(entry_rows: DataFrame, bars: DataFrame, p: Params = DEFAULT) -> D
     return e.select(*[c for c in e.columns if c != "fwd"], *at)
 
 
-def _first(fwd, cond, H: int):
-    """1-based offset of the first forward bar satisfying ``cond(bar)``, null if none."""
-    chain = None
-    for j in range(1, H + 1):
-        c = cond(fwd[j - 1])
-        chain = F.when(c, F.lit(j)) if chain is None else chain.when(c, F.lit(j))
-    return chain
+def _first(condition: str, H: int):
+    """1-based offset of the first forward bar satisfying the SQL ``condition`` on ``{bar}``, null if none."""
+    return F.expr("CASE " + " ".join(f"WHEN {condition.format(bar=f'fwd[{j}]')} THEN {j + 1}" for j in range(H)) + " END")
 
 
 def evaluate(entry_rows: DataFrame, bars: DataFrame, scen: DataFrame, p: Params = DEFAULT,
-             partitions: int | None = None) -> DataFrame:
-    """One row per (trade, scenario): exit index, price, reason, pnl, bars held.
+             partitions: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (trade, scenario): exit index, price, reason, pnl, bars held,
+    and the columns ``carry`` of the trade.
 
     Barriers stay live in every mode; the stop ratchets in ``atr_trail``
     (updated with the bar's close before its low is tested); at the horizon
@@ -179,7 +167,7 @@ def evaluate(entry_rows: DataFrame, bars: DataFrame, scen: DataFrame, p: Params
     k = p.cost
     tp_levels, sl_levels = list(p.tp_mults), list(p.sl_mults)
     horizons = sorted({int(x[5]) for x in scenario_rows(p)})
-    ex = exit_table(entry_rows, bars, p)
+    ex = exit_table(bars, p)
     sc = scen.select(
         "*",
         (F.array_position(F.array(*[F.lit(float(x)) for x in tp_levels]), F.col("tp_mult")) - 1).cast("int")
@@ -207,7 +195,7 @@ def evaluate(entry_rows: DataFrame, bars: DataFrame, scen: DataFrame, p: Params
     trail = F.col("trail")
     g = g.select(
         "trade_id", "scenario_id", "entry_shift", "exit_mode", "tp_mult", "sl_mult", "entry_idx", "entry_price",
-        "side",
+        "side", *[c for c in carry if c != "side"],
         F.coalesce(pick("_T", "_ti", nt), big).alias("_t"),
         F.coalesce(F.when(trail, pick("_R", "_si", ns)).otherwise(pick("_S", "_si", ns)), big).alias("_s"),
         F.col("horizon").cast("int").alias("_h"),
@@ -237,7 +225,7 @@ def evaluate(entry_rows: DataFrame, bars: DataFrame, scen: DataFrame, p: Params
         "trade_id", "scenario_id", "entry_shift", "exit_mode", "tp_mult", "sl_mult",
         F.col("entry_idx").cast("long").alias("entry_idx"), "entry_price",
         exit_idx.cast("long").alias("exit_idx"), exit_px.alias("exit_price"), F.col("_r.why").alias("exit_reason"),
-        pnl.alias("pnl_pct"), F.col("_r.off").cast("long").alias("bars_held"),
+        pnl.alias("pnl_pct"), F.col("_r.off").cast("long").alias("bars_held"), *carry,
     )
 
 
@@ -259,6 +247,17 @@ def best(results: DataFrame) -> DataFrame:
     return agg.select("trade_id", *[F.col("_b")[c].alias(c) for c in cols])
 
 
+def actual_and_best(results: DataFrame, base: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per trade, from one aggregate of its scenarios: trade_id, ``carry``, the structs
+    ``actual`` (scenario ``base``) and ``best`` (highest pnl, ties to the first scenario)."""
+    cols = [c for c in results.columns if c not in ("trade_id", *carry)]
+    row = F.struct(*cols)
+    key = F.struct(F.col("pnl_pct"), (-F.col("scenario_id")).alias("neg_id"))
+    agg = results.groupBy("trade_id", *carry).agg(
+        F.max(F.when(F.col("scenario_id") == base, row)).alias("actual"), F.max_by(row, key).alias("best"))
+    return agg.filter("actual is not null")
+
+
 def delta_r(actual_pnl, best_pnl, risk: float = 1.0):
     """best/risk - actual/risk."""
     return best_pnl / F.lit(risk) - actual_pnl / F.lit(risk)

@@ -25,22 +25,20 @@ def base_scenario_id(p: Params = DEFAULT) -> int:
 
 
 def entry_bars(spark, sf_dir, p: Params = DEFAULT) -> DataFrame:
-    """Trades with the index of their nearest bar of bars_calm."""
+    """Trades with the index of their nearest bar of bars_calm, and the number of bars of its symbol."""
     bars = index(fixtures.bars_calm(spark, sf_dir))
-    return joins.nearest_bar(bars, fixtures.trades(spark, sf_dir))
+    return joins.nearest_bar(bars, fixtures.trades(spark, sf_dir), bar_cols=("ts", "rn", "n"))
 
 
 def trade_paths(spark, sf_dir, p: Params = DEFAULT, with_regime: bool = False):
-    """(trades with entry bar, featured bar panel with paths)."""
+    """(trades with entry bar, featured bars with paths)."""
     bars = fixtures.bars_calm(spark, sf_dir)
     pan = features_core.compute(layout(bars, p), p)
     if with_regime:
         pan = regime.classify(pan, p)
     core = grid.with_forward(pan, p).core()
-    tr = entry_bars(spark, sf_dir, p)
-    j = tr.join(core.select("symbol", F.col("rn").alias("bar_rn"), "n"), ["symbol", "bar_rn"])
-    trades = j.select("trade_id", "symbol", "side", F.col("bar_rn").alias("e"), "n")
-    return trades, core
+    trades = entry_bars(spark, sf_dir, p).filter("bar_rn is not null")
+    return trades.withColumnsRenamed({"bar_rn": "e", "bar_n": "n"}), core
 
 
 def parallelism(spark) -> int:
@@ -52,9 +50,9 @@ def entry_rows(spark, sf_dir, p: Params = DEFAULT, with_regime: bool = False):
     return grid.entries(trades, p), trades, core
 
 
-def grid_results(spark, sf_dir, p: Params = DEFAULT) -> DataFrame:
+def grid_results(spark, sf_dir, p: Params = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
     ent, _, core = entry_rows(spark, sf_dir, p)
-    return grid.evaluate(ent, core, grid.scenarios(spark, p), p, parallelism(spark))
+    return grid.evaluate(ent, core, grid.scenarios(spark, p), p, parallelism(spark), carry)
 
 
 # ---------------------------------------------------------------- oracle SQL
@@ -188,12 +186,10 @@ def q_top_k_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actual_vs_best(spark, sf_dir, p: Params = DEFAULT) -> DataFrame:
-    """Each trade's base-scenario result joined to its best scenario on trade_id."""
-    res = grid_results(spark, sf_dir, p)
-    act = res.filter(F.col("scenario_id") == base_scenario_id(p)).select(
-        "trade_id", F.col("pnl_pct").alias("actual_pnl"), F.col("exit_reason").alias("actual_exit"))
-    b = grid.best(res)
-    return act.join(b, "trade_id")
+    """Each trade's base-scenario result beside its best scenario."""
+    both = grid.actual_and_best(grid_results(spark, sf_dir, p, ("symbol",)), base_scenario_id(p), ("symbol",))
+    return both.select("trade_id", "symbol", F.col("actual.pnl_pct").alias("actual_pnl"),
+                       F.col("actual.exit_reason").alias("actual_exit"), "best.*")
 
 
 def ctes_avb() -> str:
@@ -220,9 +216,7 @@ def q_delta_r(spark: SparkSession, sf_dir: str) -> DataFrame:
     "count(*) FILTER (WHERE best_pnl - actual_pnl > 0) AS improvable_trades FROM avb GROUP BY symbol"))
 def q_counterfactual_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: avoidable loss, expected uplift, avg delta R and improvable trades per symbol."""
-    j = actual_vs_best(spark, sf_dir)
-    t = fixtures.trades(spark, sf_dir).select("trade_id", "symbol")
-    d = j.join(t, "trade_id").withColumn("delta_pnl", F.col("pnl_pct") - F.col("actual_pnl"))
+    d = actual_vs_best(spark, sf_dir).withColumn("delta_pnl", F.col("pnl_pct") - F.col("actual_pnl"))
     u = kpis.uplift(d, ["symbol"])
     return u.select("symbol", rnd("avoidable_loss", 8).alias("avoidable_loss"),
                     rnd("expected_uplift", 8).alias("expected_uplift"), rnd("avg_delta_r", 6).alias("avg_delta_r"),
@@ -252,24 +246,18 @@ REVIEW_FEATURES = ["vwap_dist", "atr_pct", "volume_ratio_5"]
 
 
 def trade_review_df(spark, sf_dir, p: Params = DEFAULT) -> DataFrame:
-    ent, tp, core = entry_rows(spark, sf_dir, p, with_regime=True)
-    res = grid.evaluate(ent, core, grid.scenarios(spark, p), p, parallelism(spark))
-    act = res.filter(F.col("scenario_id") == base_scenario_id(p)).select(
-        "trade_id", F.col("pnl_pct").alias("actual_pnl"), F.col("exit_reason").alias("actual_exit"),
-        F.col("bars_held").alias("actual_bars_held"))
-    b = grid.best(res).select("trade_id", F.col("scenario_id").alias("best_scenario"),
-                              F.col("exit_mode").alias("best_exit_mode"), F.col("entry_shift").alias("best_shift"),
-                              F.col("tp_mult").alias("best_tp_mult"), F.col("sl_mult").alias("best_sl_mult"),
-                              F.col("pnl_pct").alias("best_pnl"))
-    trades = fixtures.trades(spark, sf_dir)
+    ent, _, core = entry_rows(spark, sf_dir, p, with_regime=True)
+    trade = ("symbol", "ts_open", "side", "qty", "e")
+    res = grid.evaluate(ent, core, grid.scenarios(spark, p), p, parallelism(spark), trade)
+    both = grid.actual_and_best(res, base_scenario_id(p), trade).select(
+        "trade_id", *trade,
+        F.col("actual.pnl_pct").alias("actual_pnl"), F.col("actual.exit_reason").alias("actual_exit"),
+        F.col("actual.bars_held").alias("actual_bars_held"),
+        F.col("best.scenario_id").alias("best_scenario"), F.col("best.exit_mode").alias("best_exit_mode"),
+        F.col("best.entry_shift").alias("best_shift"), F.col("best.tp_mult").alias("best_tp_mult"),
+        F.col("best.sl_mult").alias("best_sl_mult"), F.col("best.pnl_pct").alias("best_pnl"))
     feats = core.select("symbol", F.col("rn").alias("e"), *REVIEW_FEATURES, "regime")
-    out = (
-        tp.select("trade_id", "symbol", "e")
-        .join(trades.select("trade_id", "ts_open", "side", "qty"), "trade_id")
-        .join(feats, ["symbol", "e"])
-        .join(act, "trade_id")
-        .join(b, "trade_id")
-    )
+    out = both.join(feats, ["symbol", "e"])
     delta = F.col("best_pnl") - F.col("actual_pnl")
     return out.select(
         "trade_id", "symbol", "ts_open", "side", "qty", F.col("e").alias("entry_idx"),

@@ -233,12 +233,17 @@ def q_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.filter(F.col("rn") >= F.col("n") - 20).select("symbol", "ts", "c")
 
 
-@query("sample_bars")
+@query("sample_bars", lambda: S.with_(S.ctes_bars_panel()) + """
+SELECT symbol, ts, c FROM (
+  SELECT symbol, ts, c, count(*) OVER (PARTITION BY symbol) AS n,
+         row_number() OVER (PARTITION BY symbol ORDER BY md5(symbol || '|' || CAST(epoch_us(ts) AS VARCHAR))) AS k FROM bars_panel)
+WHERE k <= least(10, n // 10)""")
 def q_sample_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: deterministic sample of min(10, n // 10) bars per symbol, ordered by a hash of (symbol, ts).
 
     The constant bound 10 lets Spark limit each group before the shuffle."""
-    b = index(fixtures.bars_panel(spark, sf_dir)).withColumn("_h", F.xxhash64("symbol", "ts"))
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("string")
+    b = index(fixtures.bars_panel(spark, sf_dir)).withColumn("_h", F.md5(F.concat_ws("|", "symbol", at)))
     w = Window.partitionBy("symbol").orderBy("_h")
     s = b.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= 10)
     return s.filter(F.col("_k") <= F.least(F.lit(10), F.floor(F.col("n") / 10))).select("symbol", "ts", "c")
