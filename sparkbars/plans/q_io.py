@@ -62,15 +62,22 @@ def q_src_candle_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars_out(files.read_candles(spark, path))
 
 
-@query("src_trades_csv", lambda: S.with_(S.ctes_events(), S.ctes_trades()) + (
-    f"SELECT trade_id, symbol, ts_open, side, qty, {S.R('entry_px')} AS entry_px FROM trades"))
+@query("src_trades_csv", lambda: S.with_(S.ctes_events(), S.ctes_trades()) + f"""
+SELECT trade_id, ts_open, ts_open + INTERVAL 75 MINUTES AS ts_close, symbol, side, qty, {S.R('entry_px')} AS entry_px,
+       {S.R('entry_px + 1.5')} AS exit_px, {S.R('entry_px + 2.0')} AS tp, {S.R('entry_px - 1.0')} AS sl,
+       {S.R('qty / 100.0')} AS base_score, CASE WHEN qty > 50 THEN 'tp' END AS reason, symbol || ', "' || side || '"' AS notes
+FROM trades""")
 def q_src_trades_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades written as CSV and read back with an explicit schema."""
+    """Trades with all columns of a trades file, written as CSV in another order and read back by header name."""
     path = scratch_path(spark, "trades")
     t = fixtures.trades(spark, sf_dir)
-    files.write_csv(t.select(*[f.name for f in files.TRADES_SCHEMA.fields]), path)
-    r = files.read_trades(spark, path)
-    return r.select("trade_id", "symbol", "ts_open", "side", "qty", rnd("entry_px").alias("entry_px"))
+    px = F.col("entry_px")
+    files.write_csv(t.select(
+        "ts_open", (F.col("ts_open") + F.expr("INTERVAL 75 MINUTES")).alias("ts_close"), "symbol", "side", "qty", "entry_px",
+        (px + 1.5).alias("exit_px"), (px + 2.0).alias("tp"), (px - 1.0).alias("SL"), (F.col("qty") / 100.0).alias("base_score"),
+        F.when(F.col("qty") > 50, "tp").alias("reason"), F.concat("symbol", F.lit(', "'), "side", F.lit('"')).alias("notes"), "trade_id"), path)
+    prices = ("entry_px", "exit_px", "tp", "sl", "base_score")
+    return files.read_trades(spark, path).withColumns({c: rnd(c) for c in prices})
 
 
 def _store(spark, sf_dir):

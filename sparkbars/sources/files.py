@@ -10,13 +10,21 @@ from pyspark.sql import types as T
 from ..operators import normalize
 from ..operators.normalize import EXCHANGE_TZ
 
+#: Columns of a trades file; a file may leave some out and have them in any order.
 TRADES_SCHEMA = T.StructType([
     T.StructField("trade_id", T.LongType()),
-    T.StructField("symbol", T.StringType()),
     T.StructField("ts_open", T.TimestampNTZType()),
+    T.StructField("ts_close", T.TimestampNTZType()),
+    T.StructField("symbol", T.StringType()),
     T.StructField("side", T.StringType()),
     T.StructField("qty", T.LongType()),
     T.StructField("entry_px", T.DoubleType()),
+    T.StructField("exit_px", T.DoubleType()),
+    T.StructField("tp", T.DoubleType()),
+    T.StructField("sl", T.DoubleType()),
+    T.StructField("base_score", T.DoubleType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("notes", T.StringType()),
 ])
 CANDLES_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
@@ -75,8 +83,19 @@ TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("header", True).option("timestampNTZFormat", TS_TEXT)
-            .schema(TRADES_SCHEMA).csv(path))
+    """Trades from CSV files, columns found by their name in the header (any case, any order);
+    a column that the file lacks, and a value that does not parse, is null."""
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    found = {c.strip().lower(): F.col(f"`{c}`") for c in raw.columns}
+
+    def column(field: T.StructField):
+        if field.name not in found:
+            return F.lit(None).cast(field.dataType)
+        if isinstance(field.dataType, T.TimestampNTZType):
+            return normalize.parse_ts(found[field.name])
+        return found[field.name].try_cast(field.dataType)
+
+    return raw.select(*[column(f).alias(f.name) for f in TRADES_SCHEMA.fields])
 
 
 def store_write(bars_df: DataFrame, path: str) -> None:
@@ -104,7 +123,7 @@ def catalog(stored: DataFrame, registry: DataFrame | None = None) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", TS_TEXT)
+    w = df.write.mode("overwrite").option("header", True).option("escape", '"').option("timestampNTZFormat", TS_TEXT)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)

@@ -88,3 +88,13 @@ def test_zero_prices_and_empty_kpis(spark):
     none = spark.createDataFrame([], "pnl_pct double, bars_held long")
     row = kpis.trade_kpis(none, []).first().asDict()
     assert set(row.values()) == {0}
+
+
+def test_trades_file_by_header_name(spark, tmp_path):
+    path = tmp_path / "trades.csv"
+    path.write_text("ts_open,ts_close,Symbol,side,qty,entry_px,exit_px,tp,sl,base_score,reason,notes\n"
+                    '2025-03-04 10:30:00,2025-03-04 11:45:00,ABC,long,100,2500.00,2537.50,,oops,0.75,tp,"a, ""b"""\n')
+    [r] = files.read_trades(spark, str(path)).collect()
+    assert r.asDict() == dict(trade_id=None, ts_open=dt.datetime(2025, 3, 4, 10, 30), ts_close=dt.datetime(2025, 3, 4, 11, 45),
+                              symbol="ABC", side="long", qty=100, entry_px=2500.0, exit_px=2537.5, tp=None, sl=None,
+                              base_score=0.75, reason="tp", notes='a, "b"')
