@@ -13,8 +13,9 @@ import json
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +81,43 @@ def sequence_windows(panel: Panel, features: list[str], lookback: int = 60, hori
     df = panel.df.withColumn("x", F.flatten(F.collect_list(row).over(prev)))
     df = panel.with_df(df).core()
     keep = (F.col("rn") >= lookback) & (F.col("rn") < F.col("n") - horizon_skip)
-    return df.filter(keep).select("symbol", "ts", "rn", "x", F.col(target).alias("y"))
+    return df.filter(keep).select("symbol", "ts", "rn", "n", "x", F.col(target).alias("y"))
+
+
+def last_windows(panel: Panel, features: list[str], lookback: int = 60) -> DataFrame:
+    """Forecast input: x = the features of each symbol's last ``lookback`` bars flattened (NaN/inf -> 0);
+    symbols with fewer bars have none."""
+    assert lookback <= panel.params.halo_back
+    row = F.array(*[finite_or_zero(c) for c in features])
+    df = panel.df.withColumn("x", F.flatten(F.collect_list(row).over(panel.w.rowsBetween(1 - lookback, 0))))
+    last = (F.col("rn") == F.col("n") - 1) & (F.col("n") >= lookback)
+    return panel.with_df(df).core().filter(last).select("symbol", "ts", "x")
+
+
+def split_windows(windows: DataFrame, train_frac: float = 0.8, lookback: int = 60, horizon_skip: int = 30):
+    """(train, test): per symbol the first floor(frac*m) of its m windows, and the rest."""
+    first = F.col("rn") - lookback < F.floor((F.col("n") - lookback - horizon_skip) * F.lit(train_frac))
+    return windows.filter(first), windows.filter(~first)
+
+
+def vector_scale(train: DataFrame, x: str = "x") -> DataFrame:
+    """One row: ``mean`` and ``scale`` (population standard deviation, 1 for a constant) of every element of x."""
+    s = train.select(array_to_vector(x).alias("v")).select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    s = s.select(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("var"), F.col("s.count").alias("n"))
+    n, eps = F.col("n").cast("double"), 2.0 ** -52
+
+    def scale(mean, var):
+        pop = var * (n - 1) / n
+        constant = pop <= n * eps * pop + F.pow(n * mean * eps, F.lit(2.0))
+        return F.when(constant, F.lit(1.0)).otherwise(F.sqrt(pop))
+
+    return s.select("mean", F.zip_with("mean", "var", scale).alias("scale"))
+
+
+def standardised(df: DataFrame, scale: DataFrame, x: str = "x") -> DataFrame:
+    """``df`` with every element of x less the mean, over the scale, of the training windows."""
+    z = F.zip_with(F.zip_with(x, "mean", lambda a, m: a - m), "scale", lambda a, s: a / s)
+    return df.crossJoin(F.broadcast(scale)).withColumn(x, z).drop("mean", "scale")
 
 
 def scaling_stats(train: DataFrame, features: list[str]) -> DataFrame:
@@ -133,14 +170,23 @@ def ridge(n: int, alpha: float = 1.0) -> LinearRegression:
     return LinearRegression(regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False)
 
 
+def fit_models(train: DataFrame, x: str = "features", y: str = "y") -> dict:
+    """The four fitted regressors by name; each reads its input many times, so ``train`` should be checkpointed."""
+    return {name: (make() if make else ridge(train.count())).setFeaturesCol(x).setLabelCol(y).setPredictionCol(f"pred_{name}").fit(train)
+            for name, _, make in ENSEMBLE}
+
+
+def predict_ensemble(models: dict, df: DataFrame) -> DataFrame:
+    """``df`` plus pred_<name> of each regressor and their weighted sum ``pred``."""
+    for m in models.values():
+        df = m.transform(df)
+    return df.withColumn("pred", sum(F.col(f"pred_{n}") * F.lit(w) for n, w, _ in ENSEMBLE))
+
+
 def fit_ensemble(train: DataFrame, test: DataFrame, x: str = "features", y: str = "y"):
     """Fit the four regressors; return (models, test predictions with the weighted ensemble, RMSEs)."""
-    models, pred = {}, test
-    for name, weight, make in ENSEMBLE:
-        m = (make() if make else ridge(train.count())).setFeaturesCol(x).setLabelCol(y).setPredictionCol(f"pred_{name}").fit(train)
-        models[name] = m
-        pred = m.transform(pred)
-    pred = pred.withColumn("pred", sum(F.col(f"pred_{n}") * F.lit(w) for n, w, _ in ENSEMBLE))
+    models = fit_models(train, x, y)
+    pred = predict_ensemble(models, test)
     rmse = pred.agg(*[F.sqrt(F.avg(F.pow(F.col(c) - F.col(y), 2))).alias(f"rmse_{c[5:] if c != 'pred' else 'ensemble'}")
                       for c in [f"pred_{n}" for n, _, _ in ENSEMBLE] + ["pred"]])
     return models, pred, rmse
@@ -156,6 +202,12 @@ def rotations(vectors: DataFrame, steps: int, x: str = "x") -> DataFrame:
     return df.withColumn(x, F.when(F.col("step") % n == 0, F.col(x)).otherwise(rot))
 
 
+def forecast(models: dict, scale: DataFrame, last: DataFrame, steps: int = 30) -> DataFrame:
+    """symbol, step, pred: the ensemble on each symbol's last window, standardised, then rotated by ``step`` elements."""
+    rot = rotations(standardised(last, scale).select("symbol", "x"), steps)
+    return predict_ensemble(models, rot.withColumn("features", array_to_vector("x"))).select("symbol", "step", "pred")
+
+
 def forecast_band(pred: DataFrame, last: DataFrame, band: float = 0.10) -> DataFrame:
     """Forecast dates (last date + step + 1 days), +-band bounds, change % vs last close, direction.
 

@@ -87,13 +87,12 @@ def q_scale_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 WIDE = features_wide.columns()
 
 
-def windows_df(spark, sf_dir, checkpoint: bool = False) -> DataFrame:
-    pan = features_wide.compute(layout(fixtures.bars_calm(spark, sf_dir)))
-    w = ml.sequence_windows(pan, WIDE, 60, 30)
-    if checkpoint:
-        shared_dir(spark)
-        w = w.checkpoint(eager=True)
-    return w
+def wide_panel(spark, sf_dir):
+    return features_wide.compute(layout(fixtures.bars_calm(spark, sf_dir)))
+
+
+def windows_df(spark, sf_dir) -> DataFrame:
+    return ml.sequence_windows(wide_panel(spark, sf_dir), WIDE, 60, 30)
 
 
 def _seq_sql() -> str:
@@ -171,13 +170,14 @@ def q_score_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("forecast_steps")
 def q_forecast_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """30-step forecast per symbol from its last window, rotating the flat input one element per
-    step (closed form, one transform) with a ridge model fitted on all windows."""
-    w = windows_df(spark, sf_dir, checkpoint=True).withColumn("features", array_to_vector("x"))
-    model = ml.ridge(w.count()).setLabelCol("y").fit(w)
-    last = w.join(w.groupBy("symbol").agg(F.max("rn").alias("rn")), ["symbol", "rn"])
-    rot = ml.rotations(last.select("symbol", "x"), 30).withColumn("features", array_to_vector("x"))
-    return model.transform(rot).select("symbol", "step", F.col("prediction").alias("pred"))
+    """30-step forecast per symbol from its last 60 bars, standardised as the training windows (the
+    first 80 % per symbol, pooled) and rotated one element per step (closed form), by the weighted ensemble."""
+    shared_dir(spark)
+    pan = wide_panel(spark, sf_dir)
+    train, _ = ml.split_windows(ml.sequence_windows(pan, WIDE, 60, 30).checkpoint(eager=True))
+    scale = ml.vector_scale(train).checkpoint(eager=True)
+    scaled = ml.standardised(train, scale).select(array_to_vector("x").alias("features"), "y").checkpoint(eager=True)
+    return ml.forecast(ml.fit_models(scaled), scale, ml.last_windows(pan, WIDE, 60))
 
 
 @query("forecast_band", lambda: S.with_(S.ctes_bars_calm(), """lst AS (SELECT symbol, max(ts) AS last_ts, arg_max(c, ts) AS last_close FROM bars_calm GROUP BY symbol),
