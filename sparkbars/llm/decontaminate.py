@@ -34,6 +34,8 @@ WINDOW = 13
 SHARD_BYTES = 8 << 20
 #: UTF-8 bytes of test items in one block.
 BLOCK_BYTES = 16 << 20
+#: Words compared at once (bounds the memory of a comparison, whatever the items' length).
+CELLS = 1 << 20
 
 #: ASCII but digits and letters to spaces, A-Z to a-z; other bytes stay.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -44,7 +46,8 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class TestBlock:
-    """Word numbers, suffixes and windows of a block of test items."""
+    """Words of a block of test items, once and one item behind the other; its
+    suffixes and distinct windows are places and lengths in them."""
 
     __test__ = False
 
@@ -52,23 +55,29 @@ class TestBlock:
         self.items = ["" if i is None else str(i) for i in item_ids]
         self.vocab: dict[bytes, int] = {}
         numbered = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(t)], np.int32) for t in texts]
-        longest = max((len(n) for n in numbered), default=0)
-        self.suffix = np.full((sum(len(n) for n in numbered), longest), -1, np.int32)  # -1: past the end
-        self.item, self.position = np.zeros(len(self.suffix), np.int32), np.zeros(len(self.suffix), np.int32)
-        at, windows = 0, {}
-        for k, n in enumerate(numbered):
-            for p in range(len(n)):
-                self.suffix[at, : len(n) - p], self.item[at], self.position[at], at = n[p:], k, p, at + 1
-            width = min(window, len(n))
-            for p in range(len(n) - width + 1 if width else 0):
-                windows.setdefault(tuple(n[p : p + width].tolist()), set()).add(k)
-        self.length = np.fromiter((len(w) for w in windows), np.int32, len(windows))
-        self.windows = np.full((len(windows), int(self.length.max(initial=0))), -1, np.int32)
-        for row, w in zip(self.windows, windows):
-            row[: len(w)] = w
-        self.owners = [np.fromiter(sorted(s), np.int64) for s in windows.values()]
+        n = np.array([len(x) for x in numbered], np.int64)
+        self.words = np.concatenate([*numbered, np.zeros(0, np.int32)])
+        self.item = np.repeat(np.arange(len(n)), n)
+        self.position = np.arange(len(self.words)) - np.repeat(np.cumsum(n) - n, n)
+        self.left = n[self.item] - self.position  # words of each suffix
+        # windows: equal ones are one, at their first place
+        width = np.minimum(window, n)[self.item]
+        places = np.flatnonzero(self.left >= width)
+        shown = np.zeros((len(places), int(width.max(initial=1))), np.int32)
+        for k in range(shown.shape[1]):
+            inside = k < width[places]
+            shown[inside, k] = self.words[places[inside] + k]
+        _, first, same = np.unique(shown.view(f"V{4 * shown.shape[1]}")[:, 0], return_index=True, return_inverse=True)
+        self.start, self.length = places[first], width[places[first]]
+        pairs = np.unique(same.astype(np.int64) * max(1, len(n)) + self.item[places])
+        self._owner, of = pairs % max(1, len(n)), pairs // max(1, len(n))
+        self._bounds = np.searchsorted(of, np.arange(len(first) + 1))
         self.shortest = int(self.length.min(initial=1 << 30))
 
+    def owners(self, w: int) -> list[int]:
+        """Items that have window ``w``."""
+        return self._owner[self._bounds[w] : self._bounds[w + 1]].tolist()
+
 
 def suffix_array(words: np.ndarray, depth: int, shortest: int) -> np.ndarray:
     """Starts of the suffixes in order of their first ``depth`` words at least
@@ -88,29 +97,39 @@ def suffix_array(words: np.ndarray, depth: int, shortest: int) -> np.ndarray:
     return at[np.argsort(rank[at], kind="stable")]
 
 
-def _compare(words: np.ndarray, at: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sign of (suffix at ``at``) - (row of ``sought``) over the row's words, and their common words."""
-    width = sought.shape[1]
-    took = words[at[:, None] + np.arange(width)]
-    differ = (took != sought)
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    last = np.minimum(common, max(width - 1, 0))
-    a, b = took[np.arange(len(at)), last], sought[np.arange(len(at)), last]
-    return np.where(common == width, 0, np.sign(a.astype(np.int64) - b)), common
-
-
-def _search(words: np.ndarray, array: np.ndarray, sought: np.ndarray, after: bool) -> np.ndarray:
-    """Binary search of all rows at once: how many suffixes are before each row
-    (``after``: or begin with its words). -1 in a row ends it."""
-    lo, hi = np.zeros(len(sought), np.int64), np.full(len(sought), len(array), np.int64)
-    ends = np.where((sought < 0).any(axis=1), (sought < 0).argmax(axis=1), sought.shape[1])
+def _common(words: np.ndarray, at: np.ndarray, sought: np.ndarray, start: np.ndarray, length: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Common words of ``words`` from ``at`` and of the ``length`` words of ``sought``
+    from ``start``, if the first ``known`` are; the last of ``words`` is a separator."""
+    common, step = known.astype(np.int64), 16
+    open_ = np.flatnonzero(common < length)
+    while open_.size:
+        further, batch = [], max(1, CELLS // step)
+        for lo in range(0, len(open_), batch):
+            rows = open_[lo : lo + batch]
+            k = common[rows, None] + np.arange(step)
+            differ = words[np.minimum(at[rows, None] + k, len(words) - 1)] != sought[np.minimum(start[rows, None] + k, len(sought) - 1)]
+            differ |= k >= length[rows, None]
+            ends = differ.any(axis=1)
+            common[rows] += np.where(ends, differ.argmax(axis=1), step)
+            further.append(rows[~ends])
+        open_, step = np.concatenate(further), min(4 * step, 4096)
+    return common
+
+
+def _search(words: np.ndarray, array: np.ndarray, sought: np.ndarray, start: np.ndarray, length: np.ndarray, after: bool) -> np.ndarray:
+    """Binary search of all runs of ``length`` words from ``start`` at once: how many
+    suffixes are before each (``after``: or begin with it)."""
+    lo, hi = np.zeros(len(start), np.int64), np.full(len(start), len(array), np.int64)
+    # words in common with the suffixes at both bounds, so with all between them
+    at_lo, at_hi = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
     while (open_ := np.flatnonzero(lo < hi)).size:
         mid = (lo[open_] + hi[open_]) >> 1
-        sign, common = _compare(words, array[mid], sought[open_])
-        begins = common >= ends[open_]
-        left = np.where(begins, after, sign < 0)
-        lo[open_] = np.where(left, mid + 1, lo[open_])
-        hi[open_] = np.where(left, hi[open_], mid)
+        at, s, n = array[mid], start[open_], length[open_]
+        common = _common(words, at, sought, s, n, np.minimum(at_lo[open_], at_hi[open_]))
+        last = np.minimum(common, n - 1)
+        left = np.where(common == n, after, words[at + last] < sought[s + last])
+        lo[open_[left]], at_lo[open_[left]] = mid[left] + 1, common[left]
+        hi[open_[~left]], at_hi[open_[~left]] = mid[~left], common[~left]
     return lo
 
 
@@ -121,18 +140,18 @@ def scan_shard(texts: list[bytes | None], block: TestBlock):
     n = np.array([len(t) for t in tokens], np.int64)
     start = np.cumsum(n) - n
     get = block.vocab.get
-    depth = max(block.suffix.shape[1] if len(block.suffix) else 0, 1)
-    # a separator behind each document, and room to read past the last one
-    words = np.zeros(int(n.sum()) + len(texts) + depth, np.int32)
+    depth = int(block.left.max(initial=1))
+    # a separator behind each document
+    words = np.zeros(int(n.sum()) + len(texts), np.int32)
     at = start + np.arange(len(texts))
     for a, t in zip(at, tokens):
         words[a : a + len(t)] = [get(w, 0) for w in t]
     hit = np.zeros(len(words) + 1, np.int64)
     items: dict[int, set] = {}
     longest: dict[int, tuple] = {}
-    array = suffix_array(words[: len(words) - depth], depth, block.shortest) if len(block.length) else np.zeros(0, np.int64)
+    array = suffix_array(words, depth, block.shortest) if len(block.length) else np.zeros(0, np.int64)
     if len(array):
-        lo, hi = (_search(words, array, block.windows, after) for after in (False, True))
+        lo, hi = (_search(words, array, block.words, block.start, block.length, after) for after in (False, True))
         found = np.flatnonzero(hi > lo)
         count = (hi - lo)[found]
         which = np.repeat(found, count)
@@ -141,16 +160,17 @@ def scan_shard(texts: list[bytes | None], block: TestBlock):
         np.add.at(hit, place + block.length[which], -1)
         doc = np.searchsorted(at, place, side="right") - 1
         for d, w in set(zip(doc.tolist(), which.tolist())):
-            items.setdefault(d, set()).update(block.owners[w].tolist())
-        goes = _search(words, array, block.suffix, False)
+            items.setdefault(d, set()).update(block.owners(w))
+        every = np.arange(len(block.words))
+        goes = _search(words, array, block.words, every, block.left, False)
         for near in (np.maximum(goes - 1, 0), np.minimum(goes, len(array) - 1)):
-            _, common = _compare(words, array[near], block.suffix)
+            common = _common(words, array[near], block.words, every, block.left, np.zeros(len(every), np.int64))
             for s in np.flatnonzero(common >= block.shortest).tolist():
                 p = int(array[near[s]])
                 d = int(np.searchsorted(at, p, side="right") - 1)
                 match = (int(common[s]), -(p - int(at[d])), -int(block.item[s]), -int(block.position[s]))
                 longest[d] = max(longest.get(d, match), match)
-    mask = np.cumsum(hit[:-1])[: len(words) - depth] > 0
+    mask = np.cumsum(hit[:-1]) > 0
     return n, mask, at, items, longest
 
 

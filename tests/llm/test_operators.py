@@ -220,6 +220,25 @@ def test_longest_match_and_no_items(spark):
     assert decontaminate.scan(spark, df.limit(0), spark.createDataFrame([(7, item)], "item_id long, text string")).count() == 0
 
 
+def test_a_very_long_item_needs_memory_of_its_words_only(spark):
+    import tracemalloc
+
+    rng = random.Random(8)
+    item = [f"w{rng.randrange(300)}" for _ in range(12000)]
+    docs = [" ".join(item[4000:9000]), "x " + " ".join(item) + " y", "w1 w2", " ".join(item[50:62]), "z " + " ".join(item[70:83])]
+    tracemalloc.start()
+    block = decontaminate.TestBlock([7, 8], [" ".join(item).encode(), b"w1 w2"], 13)
+    n, mask, at, items, longest = decontaminate.scan_shard([d.encode() for d in docs], block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # a matrix of all suffixes has 576 MB
+    hits = [int(mask[a : a + k].sum()) for a, k in zip(at, n)]
+    short = sum(item[4000:9000][i : i + 2] == ["w1", "w2"] for i in range(4999))
+    assert hits[:3] == [5000, 12000, 2] and hits[4] == 13
+    assert items[1] >= {0} and items[2] == {1} and (items[0] == {0, 1}) == (short > 0)
+    assert {d: longest[d] for d in (0, 1, 4)} == {0: (5000, 0, 0, -4000), 1: (12000, -1, 0, 0), 4: (13, -1, 0, -70)}
+
+
 # --- sharding
 
 def test_shards_are_even_and_gapless(spark, docs, corpus, monkeypatch):
