@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat, decontaminate, langid, licences, mixing, planes, quality, sharding, simhash, topk
-from .common import checkpointed, read_table, word_count, written
+from . import chat, decontaminate, langid, licences, mixing, planes, quality, runs, sharding, simhash, topk
+from .common import WORD, checkpointed, read_table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +182,33 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(spark, docs.select("doc_id", "text"), langid.fit(spark, docs))
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the periodic tails of the contract: of a tenth of the
+    documents, by crc32 of doc_id, the words from a on repeat those of [a, a + p)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"),
+                       F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    text = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), a), tail), F.lit(1), n), " ")
+    return docs.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, and its text with each run's first period alone."""
+    docs = with_planted_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    better = lambda a, r: a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"])
+    best = F.reduce("runs", none, lambda a, r: F.when(better(a, r), r).otherwise(a))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    found = runs.detect(docs).select("doc_id", "runs", best.alias("best"), "collapsed")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
