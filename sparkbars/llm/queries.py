@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat, decontaminate, langid, licences, mixing, planes, quality, runs, sharding, simhash, topk
+from . import align, chat, decontaminate, langid, licences, mixing, planes, quality, runs, sharding, simhash, topk
 from .common import WORD, checkpointed, read_table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,3 +212,13 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' ids on the bytes of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align.align(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    sha = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    found = found.withColumn("groups_sha256", sha).drop("groups").withColumn("row", F.monotonically_increasing_id())
+    return align.weigh(spark, written(spark, found, "alignment"))
