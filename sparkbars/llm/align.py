@@ -41,12 +41,14 @@ from .common import arrow_schema, filesystem, written
 #: Bytes of a range, and fragments composed at a time.
 CHUNK = 32 << 10
 FAN_IN = 16
-#: Parts (and 16 times as many characters) that a worker remembers.
-REMEMBERED = 500_000
+#: Parts that a worker remembers (and 16 times as many characters); of more, those that come most often stay.
+REMEMBERED = 400_000
 #: Characters of texts that are looked up at once.
 GROUP_CHARS = 1 << 20
 #: Pairs whose counts a worker looks up in a sorted table (17 bytes each); more are joined.
 LOOKED_UP = 4_000_000
+#: Ranges of one encoding task on average, and the most tasks.
+TASK_RANGES, MAX_TASKS = 64, 10_000
 
 _SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _ODD_ASCII = [c for c in _SPACES if c < "\x80" and c not in " \n"]
@@ -120,13 +122,23 @@ class Aligner:
         self.lead = len(self.b.encode("x"))
         self._forget()
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.chars = 0
-        self.texts: list[str] = []
-        self.ids = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)}
-        self.ends = {k: np.zeros(1, np.int64) for k in self.ids}  # of each part's entries in ids
-        self.n_groups, self.bad = np.zeros(0, np.int64), np.zeros(0, bool)
+    def _forget(self, used: int = 0) -> None:
+        """Remembers only the parts that came in ``used`` look-ups (0: none)."""
+        if not used:
+            self.known, self.chars, self.texts = {}, 0, []
+            self.ids = {"a": np.zeros(0, np.int32), "b": np.zeros(0, np.int32), "links": np.zeros(0, np.int64)}
+            self.ends = {k: np.zeros(1, np.int64) for k in self.ids}  # of each part's entries in ids
+            self.n_groups, self.bad, self.used = np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, np.int32)
+            return
+        kept = np.flatnonzero(self.used >= used)
+        stays = (self.used >= used).tolist()
+        self.known = dict(zip([p for p, s in zip(self.known, stays) if s], range(len(kept))))
+        self.chars = sum(map(len, self.known))
+        self.texts = [t for t, s in zip(self.texts, stays) if s]
+        sizes = {k: np.diff(e)[kept] for k, e in self.ends.items()}
+        self.ids = {k: self._entries(k, kept) for k in self.ids}
+        self.ends = {k: np.concatenate([[0], np.cumsum(n)]) for k, n in sizes.items()}
+        self.n_groups, self.bad, self.used = self.n_groups[kept], self.bad[kept], self.used[kept] // 2
 
     def parts(self, text: str) -> list[str]:
         """Parts of a space and the text; a part that is a space and other
@@ -134,13 +146,22 @@ class Aligner:
         odd = _ODD_ASCII if text.isascii() else _ODD
         if self.plain and text[:1] not in " \n" and not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in odd)):
             return text.replace("\n", " \n").split(" ")
-        found = self.cut.split(f" {text}") if self.cut else [f" {text}"]
+        return self.context_parts(f" {text}")
+
+    def context_parts(self, context: str) -> list[str]:
+        """The same of a stretch that begins and ends where parts do."""
+        found = self.cut.split(context) if self.cut else [context]
         return [p[1:] if p[0] == " " and not p[1:2].isspace() else p for p in found]
 
     def look_up(self, parts: list[str]) -> np.ndarray:
         """Numbers of remembered parts; new ones are learned in one call."""
         if len(self.known) > REMEMBERED or self.chars > 16 * REMEMBERED:
-            self._forget()
+            often = 2
+            while (self.used >= often).sum() > REMEMBERED // 2:
+                often *= 2
+            self._forget(often)
+            if self.chars > 8 * REMEMBERED:
+                self._forget()
         found = list(map(self.known.get, parts))
         if None in found:
             new = list({p for p, i in zip(parts, found) if i is None})
@@ -149,7 +170,9 @@ class Aligner:
             self.known.update(zip(new, range(first, first + len(new))))
             self.chars += sum(map(len, new))
             found = [self.known[p] if i is None else i for p, i in zip(parts, found)]
-        return np.array(found, np.int64)
+        found = np.array(found, np.int64)
+        self.used += np.bincount(found, minlength=len(self.used)) > 0
+        return found
 
     def _learn(self, parts: list[str]) -> None:
         found = self.a.encode(parts, is_pretokenized=True, add_special_tokens=False)
@@ -171,10 +194,11 @@ class Aligner:
         self.texts += [";".join(texts[lo:hi]) for lo, hi in zip(at, at[1:])]
         for name, ids, ends in (("a", a, a_ends), ("b", b, b_ends), ("links", links, n_links)):
             had = self.ids[name]
-            self.ids[name] = np.concatenate([had, ids])
+            self.ids[name] = np.concatenate([had, ids.astype(had.dtype)])
             self.ends[name] = np.concatenate([self.ends[name], ends[1:] + len(had)])
-        self.n_groups = np.concatenate([self.n_groups, np.diff(groups)])
+        self.n_groups = np.concatenate([self.n_groups, np.diff(groups).astype(np.int32)])
         self.bad = np.concatenate([self.bad, bad])
+        self.used = np.concatenate([self.used, np.zeros(len(bad), np.int32)])
 
     def _differ(self, parts: list[str], *sides: list[int]) -> np.ndarray:
         """Whether the bytes of either side's tokens are not a part's; sides: ids and ends by part."""
@@ -246,10 +270,10 @@ class Aligner:
     def fragment(self, context: str, skip: int, keep: int) -> Fragment:
         """Of the bytes [skip, skip + keep) of ``context``, which begins and ends
         where parts do (a document's first range begins with the added space)."""
-        which = self.look_up([p[1:] if p[0] == " " and not p[1:2].isspace() else p for p in (self.cut.split(context) if self.cut else [context])])
+        which = self.look_up(self.context_parts(context))
         if self.bad[which].any():
             return Fragment(bad=True)
-        a, b = self._entries("a", which), self._entries("b", which)
+        a, b = (self._entries(side, which).astype(np.int64) for side in "ab")
         a_at, b_at = (np.cumsum(s) - s for s in (self.a_size[a], self.b_size[b]))
         a_in, b_in = ((s >= skip) & (s < skip + keep) for s in (a_at, b_at))
         a, b, a_at, b_at = a[a_in], b[b_in], a_at[a_in], b_at[b_in]
@@ -350,7 +374,10 @@ def _long(spark: SparkSession, docs: DataFrame, a: str, b: str, chunk: int, fan_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, r in enumerate(batch.select(["row", "at", "n", "context", "skip", "keep"]).to_pylist()):
+            rows = batch.select(["row", "at", "n", "context", "skip", "keep"]).to_pylist()
+            for i, r in enumerate(rows):
+                if i % FAN_IN == 0:  # learn the parts of some ranges in one call
+                    aligner(a, b).look_up([p for x in rows[i : i + FAN_IN] for p in aligner(a, b).context_parts(x["context"])])
                 f = aligner(a, b).fragment(r["context"], r["skip"], r["keep"])
                 yield _put(batch.column("doc_id").slice(i, 1), [_packed(r["row"], r["at"], r["n"], f)], fragment_fields)
 
@@ -377,8 +404,9 @@ def _long(spark: SparkSession, docs: DataFrame, a: str, b: str, chunk: int, fan_
 
     # written once, so that row numbers are the same for all later tasks
     pieces = written(spark, docs.mapInArrow(cut, ranged), "align-ranges")
-    found = pieces.repartition("row", "at").mapInArrow(encode, fragment)
-    n = pieces.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    n, n_ranges = pieces.agg(F.coalesce(F.max("n"), F.lit(1)), F.count("*")).first()
+    tasks = min(MAX_TASKS, 1 + n_ranges // TASK_RANGES)
+    found = pieces.repartition(tasks, "row", "at").mapInArrow(encode, fragment)
     while n > 1:
         group = F.floor(F.col("at") / fan_in)
         found = found.repartition("row", group).sortWithinPartitions("row", "at").mapInArrow(reduce, fragment)
