@@ -21,6 +21,7 @@ parts are encoded alone and remembered, with their groups and links.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,9 +49,13 @@ REMEMBERED = 400_000
 GROUP_CHARS = 1 << 20
 #: Pairs whose counts a worker looks up in a sorted table (17 bytes each); more are joined.
 LOOKED_UP = 4_000_000
+LOOKED_UP_ROWS = 512
 #: Ranges of one encoding task on average, and the most tasks.
 TASK_RANGES, MAX_TASKS = 64, 10_000
 
+#: Fixed value: how byte-level BPE divides a text before merging.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _ODD_ASCII = [c for c in _SPACES if c < "\x80" and c not in " \n"]
 _ODD = [c for c in _SPACES if c not in " \n"]
@@ -112,6 +118,8 @@ class Aligner:
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else b""
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.ranked = self._by_rank(a_path, vocabulary)
+        self.written = [f"{i}{end}" for side, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(side))]
         self.a_size, self.b_size = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         joined = {m for p in pieces for m in re.findall(r"(?<=[^\s▁])[\s▁]", p)}
         cuts = [c for c in " \n\t\x0b\x0c" if ("▁" if c == " " else c) not in joined]
@@ -122,6 +130,19 @@ class Aligner:
         self.lead = len(self.b.encode("x"))
         self._forget()
 
+    def _by_rank(self, path: str, vocabulary: dict[str, int]) -> tiktoken.Encoding | None:
+        """The same tokenizer by ranks, which encodes faster; None if its file
+        divides texts otherwise or does not number tokens in the order of their merges."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"].get("merges", [])]
+        order = [vocabulary.get("".join(m), -1) for m in merges]
+        split = spec["pre_tokenizer"] or {}
+        same = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec["normalizer"]
+        if not same or order != sorted(set(order)):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.a_bytes) if b}, special_tokens={})
+
     def _forget(self, used: int = 0) -> None:
         """Remembers only the parts that came in ``used`` look-ups (0: none)."""
         if not used:
@@ -175,9 +196,7 @@ class Aligner:
         return found
 
     def _learn(self, parts: list[str]) -> None:
-        found = self.a.encode(parts, is_pretokenized=True, add_special_tokens=False)
-        a = np.array(found.ids, np.int64)
-        a_ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(parts) + 1))
+        a, a_ends = self._a_ids(parts)
         b_lists = [ids[self.lead :] for ids in self.b.encode([f"x{p}" for p in parts], num_threads=1)]
         b = np.array([i for ids in b_lists for i in ids], np.int64)
         b_ends = np.cumsum([0, *map(len, b_lists)])
@@ -185,13 +204,10 @@ class Aligner:
         a_stays, b_stays = (np.repeat(~bad, np.diff(e)) for e in (a_ends, b_ends))
         a, b = a[a_stays], b[b_stays]
         a_ends, b_ends = (np.concatenate([[0], np.cumsum(np.where(bad, 0, np.diff(e)))]) for e in (a_ends, b_ends))
-        texts, group_ends, links, link_ends = self.align(a, b)
-        # every part ends a group: how many groups and links its tokens make
-        upto = np.concatenate([[0], np.cumsum(self.a_size[a])])[a_ends]
-        n_links = np.searchsorted(link_ends, upto, side="right")
-        groups = np.searchsorted(group_ends, upto, side="right")
-        at = groups.tolist()
-        self.texts += [";".join(texts[lo:hi]) for lo, hi in zip(at, at[1:])]
+        written_, links, n_links, last = self.align(a, b)  # every part ends a group
+        groups, n_links = (np.concatenate([[0], np.cumsum(n)])[a_ends] for n in (last, n_links))
+        strings, at = list(map(self.written.__getitem__, written_.tolist())), (a_ends + b_ends).tolist()
+        self.texts += ["".join(strings[lo:hi])[:-1] for lo, hi in zip(at, at[1:])]
         for name, ids, ends in (("a", a, a_ends), ("b", b, b_ends), ("links", links, n_links)):
             had = self.ids[name]
             self.ids[name] = np.concatenate([had, ids.astype(had.dtype)])
@@ -213,23 +229,43 @@ class Aligner:
         return np.array([b"".join(map(self.a_bytes.__getitem__, a[lo:hi])) != r or b"".join(map(self.b_bytes.__getitem__, b[lo2:hi2])) != r
                          for lo, hi, lo2, hi2, r in zip(a_ends, a_ends[1:], b_ends, b_ends[1:], raw)])
 
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Ids that cover the same bytes -> the groups' texts and byte ends, all
-        links in order and the byte ends of their overlaps."""
+    def _a_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the first tokenizer, and where each part's end."""
+        if not self.ranked:
+            found = self.a.encode(parts, is_pretokenized=True, add_special_tokens=False)
+            return np.array(found.ids, np.int64), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(parts) + 1))
+        if not any(p[-1].isspace() for p in parts):  # then all in one text
+            ids = np.array(self.ranked.encode_ordinary("".join(parts)), np.int64)
+            upto, sizes = np.concatenate([[0], np.cumsum(self.a_size[ids])]), np.cumsum([0, *(len(p.encode()) for p in parts)])
+            ends = np.searchsorted(upto, sizes)
+            if np.array_equal(upto[np.minimum(ends, len(ids))], sizes):
+                return ids, ends
+        lists = [self.ranked.encode_ordinary(p) for p in parts]
+        return np.array([i for ids in lists for i in ids], np.int64), np.cumsum([0, *map(len, lists)])
+
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids that cover the same bytes -> the groups as numbers in ``written``,
+        all links in order, the links of each a, and whether it ends a group."""
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        overlaps = np.union1d(a_ends, b_ends)
-        links = a[np.searchsorted(a_ends, overlaps)] << 32 | b[np.searchsorted(b_ends, overlaps)]
-        i, j = ([0, *np.searchsorted(e, common, side="right").tolist()] for e in (a_ends, b_ends))
-        left, right = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        texts = [f"{','.join(left[i0:i1])}|{','.join(right[j0:j1])}" for i0, i1, j0, j1 in zip(i, i[1:], j, j[1:])]
-        return texts, common, links, overlaps
+        to = np.searchsorted(b_ends, a_ends)  # the b that holds a's last byte
+        last = b_ends[to] == a_ends
+        first = np.concatenate([[0], (to + last)[:-1]])[: len(a)]
+        n = to - first + 1
+        ends = np.cumsum(n)
+        links = np.repeat(a, n) << 32 | b[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        last_b = np.zeros(len(b), bool)
+        last_b[to[last]] = True
+        group, group_b = np.cumsum(last) - last, np.cumsum(last_b) - last_b
+        out = np.zeros(len(a) + len(b), np.int64)
+        out[np.arange(len(a)) + np.concatenate([[0], np.flatnonzero(last_b) + 1])[group]] = a + last * len(self.a_bytes)
+        out[np.arange(len(b)) + (np.flatnonzero(last) + 1)[group_b]] = 2 * len(self.a_bytes) + b + last_b * len(self.b_bytes)
+        return out, links, n, last
 
     def closed(self, a: np.ndarray, b: np.ndarray) -> Groups:
         if not len(a):
             return Groups()
-        texts, _, links, _ = self.align(a, b)
-        return Groups(";".join(texts), len(texts), *summed(links, np.ones(len(links), np.int64)))
+        out, links, _, last = self.align(a, b)
+        return Groups("".join(map(self.written.__getitem__, out.tolist()))[:-1], int(last.sum()), *summed(links, np.ones(len(links), np.int64)))
 
     def _entries(self, name: str, parts: np.ndarray) -> np.ndarray:
         """The parts' entries in ids[name], one part after another."""
@@ -474,12 +510,14 @@ def weigh(spark: SparkSession, aligned: DataFrame, looked_up: int = LOOKED_UP) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, n_docs, best = _table(path)
-        for batch in batches:
-            pairs, times = batch.column("pairs"), np.asarray(batch.column("times").flatten())
-            at = np.searchsorted(pair, np.asarray(pairs.flatten()))
-            ends = np.cumsum(np.asarray(pairs.value_lengths()))
-            sums = [np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])] for x in (times * best[at], times * n_docs[at])]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(np.diff(s)) for s in sums], names=[*names, "n_best", "count_sum"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, LOOKED_UP_ROWS):
+                batch = whole.slice(lo, LOOKED_UP_ROWS)
+                pairs, times = batch.column("pairs"), np.asarray(batch.column("times").flatten())
+                at = np.searchsorted(pair, np.asarray(pairs.flatten()))
+                ends = np.concatenate([[0], np.cumsum(np.asarray(pairs.value_lengths()))])
+                sums = [np.concatenate([[0], np.cumsum(x)])[ends] for x in (times * best[at], times * n_docs[at])]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(np.diff(s)) for s in sums], names=[*names, "n_best", "count_sum"])
 
     return aligned.select(*names, "pairs", "times").mapInArrow(run, schema)
 
@@ -494,5 +532,6 @@ def _table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pair, n_docs, best = (table.column(c).to_numpy() for c in ("pair", "n_docs", "best"))
         by = np.argsort(pair)
         _TABLES.clear()
+        _ALIGNERS.clear()  # this worker's part of the encoding is done
         _TABLES[path] = pair[by], n_docs[by], best[by].astype(np.int64)
     return _TABLES[path]
