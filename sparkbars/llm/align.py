@@ -108,7 +108,7 @@ class Aligner:
     """Both tokenizers of a worker, and the parts it remembers."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a = Tokenizer.from_file(a_path)
+        self.a: Tokenizer | None = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         alphabet = byte_alphabet()
@@ -119,6 +119,8 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.ranked = self._by_rank(a_path, vocabulary)
+        if self.ranked:
+            self.a = None  # one of them is enough to hold
         self.written = [f"{i}{end}" for side, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(side))]
         self.a_size, self.b_size = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         joined = {m for p in pieces for m in re.findall(r"(?<=[^\s▁])[\s▁]", p)}
@@ -417,37 +419,41 @@ def _long(spark: SparkSession, docs: DataFrame, a: str, b: str, chunk: int, fan_
                 f = aligner(a, b).fragment(r["context"], r["skip"], r["keep"])
                 yield _put(batch.column("doc_id").slice(i, 1), [_packed(r["row"], r["at"], r["n"], f)], fragment_fields)
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = held = last = count = None
-        for batch in batches:
-            for row, at, n, f, doc_id in _fragments(batch):
-                if (row, at // fan_in) == key:
-                    held = aligner(a, b).compose(held, f)
-                else:
-                    if key is not None:
-                        yield _put(last, [_packed(*key, count, held)], fragment_fields)
-                    key, held = (row, at // fan_in), f
-                last, count = doc_id, -(-n // fan_in)
-        if key is not None:
-            yield _put(last, [_packed(*key, count, held)], fragment_fields)
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, _, f, doc_id in _fragments(batch):
-                groups = Groups() if f.bad else f.groups.plus(aligner(a, b).closed(*f.suffix))
-                n = (0, 0) if f.bad else (f.n_a, f.n_b)
-                yield _put(doc_id, [(*n, groups.n, int(groups.times.sum()), groups.text, groups.pairs, groups.times)], whole_fields)
+    def reduce(whole_texts: bool):
+        def put(key: tuple[int, int], n: int, f: Fragment, doc_id: pa.Array) -> pa.RecordBatch:
+            if not whole_texts:
+                return _put(doc_id, [_packed(*key, n, f)], fragment_fields)
+            groups = Groups() if f.bad else f.groups.plus(aligner(a, b).closed(*f.suffix))
+            tokens = (0, 0) if f.bad else (f.n_a, f.n_b)
+            return _put(doc_id, [(*tokens, groups.n, int(groups.times.sum()), groups.text, groups.pairs, groups.times)], whole_fields)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key = held = last = count = None
+            for batch in batches:
+                for row, at, n, f, doc_id in _fragments(batch):
+                    if (row, at // fan_in) == key:
+                        held = aligner(a, b).compose(held, f)
+                    else:
+                        if key is not None:
+                            yield put(key, count, held, last)
+                        key, held = (row, at // fan_in), f
+                    last, count = doc_id, -(-n // fan_in)
+            if key is not None:
+                yield put(key, count, held, last)
+
+        return run
 
     # written once, so that row numbers are the same for all later tasks
     pieces = written(spark, docs.mapInArrow(cut, ranged), "align-ranges")
     n, n_ranges = pieces.agg(F.coalesce(F.max("n"), F.lit(1)), F.count("*")).first()
     tasks = min(MAX_TASKS, 1 + n_ranges // TASK_RANGES)
     found = pieces.repartition(tasks, "row", "at").mapInArrow(encode, fragment)
-    while n > 1:
-        group = F.floor(F.col("at") / fan_in)
-        found = found.repartition("row", group).sortWithinPartitions("row", "at").mapInArrow(reduce, fragment)
-        n = -(-n // fan_in)
-    return found.mapInArrow(close, whole)
+    while True:
+        n, group = -(-n // fan_in), F.floor(F.col("at") / fan_in)
+        found = found.repartition("row", group).sortWithinPartitions("row", "at")
+        if n <= 1:
+            return found.mapInArrow(reduce(True), whole)
+        found = found.mapInArrow(reduce(False), fragment)
 
 
 def align(spark: SparkSession, docs: DataFrame, a: str, b: str, chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
