@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import align, chat, decontaminate, langid, licences, mixing, planes, quality, runs, sharding, simhash, topk
+from . import align, chat, decontaminate, langid, licences, mixing, neighbours, planes, quality, runs, sharding, simhash, topk
 from .common import WORD, checkpointed, read_table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,6 +184,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query("op11_learned_partitions")
+def op11_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every 100th vector that its most probable partitions hold."""
+    vectors = neighbours.usable(read_table(spark, sf_dir, "embeddings"))
+    return neighbours.search(spark, vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the periodic tails of the contract: of a tenth of the
     documents, by crc32 of doc_id, the words from a on repeat those of [a, a + p)."""
