@@ -132,12 +132,18 @@ class Encoder:
     between two characters that are none, around a single line end, and behind
     the letters of a word. So texts are encoded part by part there, and the ids
     of parts are remembered: of parts behind a space by their characters, of
-    those behind a line end with it in front.
+    those behind a line end with it in front. A text that holds the string of
+    an added token is encoded whole, as the library does by default; with
+    ``plain`` such strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = None if plain or not added else re.compile("|".join(map(re.escape, added)))
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = plain
+        self.tokenizer.encode_special_tokens = True  # of parts, which hold no such strings otherwise
         self.known: dict[str, bytes] = {}
         self.chars = 0
         self.line_end = len(self._ids(["\n"])[0])
@@ -190,6 +196,9 @@ class Encoder:
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         # parts of "\n" + text, unless that holds white space next to white space
         split = [None if _BESIDE.search(t) else t.replace("\n", " \n")[1:].split(" ") for t in map("\n".__add__, texts)]
+        special = {k for k, t in enumerate(texts) if self.added.search(t)} if self.added else ()
+        for k in special:
+            split[k] = None
         parts = [p for of_text in split if of_text for p in of_text]
         ids = list(map(self.known.get, parts))
         unknown = [k for k, i in enumerate(ids) if i is None]
@@ -198,8 +207,10 @@ class Encoder:
             for k in unknown:
                 ids[k] = self.known[parts[k]]
         at = 0
-        for text, of_text in zip(texts, split):
-            if of_text is None:
+        for k, (text, of_text) in enumerate(zip(texts, split)):
+            if k in special:
+                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            elif of_text is None:
                 first, *rest = _PARTS.split(text)
                 yield b"".join(self._ids([first, *(" " + p for p in rest)]))
             else:
@@ -207,26 +218,28 @@ class Encoder:
                 at += len(of_text)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """One per worker process, so that what it remembers serves later tasks."""
-    if path not in _ENCODERS:
+    if (path, plain) not in _ENCODERS:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, plain] = Encoder(path, plain)
+    return _ENCODERS[path, plain]
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, bits: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, bits: bool = False, shard_bytes: int = SHARD_BYTES, plain: bool = False) -> DataFrame:
     """(doc_id, text) -> shard files in the shared folder; returns their list
     ``shard, path, n_docs, n_ids, n_bytes``, itself written there.
 
     Documents go in ascending doc_id order (null ids first, ties by text hash,
     repeated rows one after another) over range partitions; each text is
-    encoded whole (null: empty) and followed by END_ID. A task writes to a name
+    encoded whole (null: empty) and followed by END_ID. Strings of the tokenizer's
+    added tokens become those tokens, as by default in the library, or with
+    ``plain`` ordinary text. A task writes to a name
     of its own and moves the finished file, so lost or repeated tasks do no harm.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -239,7 +252,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, bits: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
-        shard, enc, out, n = TaskContext.get().partitionId(), encoder(tokenizer), None, [0, 0]
+        shard, enc, out, n = TaskContext.get().partitionId(), encoder(tokenizer, plain), None, [0, 0]
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             if not batch.num_rows:

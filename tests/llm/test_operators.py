@@ -97,7 +97,9 @@ def test_planes_round_trip(spark, docs, corpus, bits):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    more = ["hello <|endoftext|> world", "<|endoftext|>", "a <|endoftext|><|endoftext|>\n\n b", "<|endoftext |>"]
+    corpus = corpus + [(10_000 + i, text, "en", "a", 0) for i, text in enumerate(more)]
+    docs = docs.union(spark.createDataFrame(corpus[-len(more):], DOCS))
     got = planes.read_documents(spark, planes.write_shards(spark, docs, path, bits=bits, shard_bytes=4000)).collect()
     start, want = 0, []
     for i, text in sorted(((r[0], r[1] or "") for r in corpus), key=lambda x: (x[0] is not None, x[0] or 0)):
@@ -121,7 +123,7 @@ def test_plane_transposition():
 
 
 def test_encoder_parts_equal_whole_texts():
-    e = planes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    e = planes.Encoder(public_tokenizers.path("byte_bpe_50k.json"), plain=True)
     texts = ["", " ", "  a  b", "\t", "\tlead", "\nlead", "x \n y", " lead", "trail ", "it's don't 'tis a'b", "a1b2 3c", "\n\nfoo\n", "a b c", "<|endoftext|> hi",
               "tab\tsep x", "né!?ok... (a) [b]'s", "word.\nNext", "a.b, c's.", "\x1c a", "3.14, 2nd.", "é.\n- x", "\n", "a\n", "'s 's", "x- -y"]
     whole = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
