@@ -9,18 +9,20 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite_or_zero
 from ..plans.layout import Panel, index
+from .boost import HistTrees
 
 EPS = 1e-15
 AUC_BUCKETS = 4096
@@ -158,9 +160,9 @@ def probability(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 # Regressor ensemble weights and settings.
 ENSEMBLE = [
-    ("gbm", 0.4, lambda: GBTRegressor(maxIter=200, stepSize=0.05, maxDepth=7, seed=42)),
-    ("gb", 0.3, lambda: GBTRegressor(maxIter=150, stepSize=0.1, maxDepth=5, seed=7)),
-    ("rf", 0.2, lambda: RandomForestRegressor(numTrees=100, maxDepth=10, seed=42)),
+    ("gbm", 0.4, lambda: HistTrees(rounds=200, rate=0.05, depth=7, leaves=31, least=20)),
+    ("gb", 0.3, lambda: HistTrees(rounds=150, rate=0.1, depth=5)),
+    ("rf", 0.2, lambda: HistTrees(rounds=100, depth=10, seed=42)),
     ("ridge", 0.1, None),  # made by ridge() from the number of rows
 ]
 
@@ -171,9 +173,13 @@ def ridge(n: int, alpha: float = 1.0) -> LinearRegression:
 
 
 def fit_models(train: DataFrame, x: str = "features", y: str = "y") -> dict:
-    """The four fitted regressors by name; each reads its input many times, so ``train`` should be checkpointed."""
-    return {name: (make() if make else ridge(train.count())).setFeaturesCol(x).setLabelCol(y).setPredictionCol(f"pred_{name}").fit(train)
-            for name, _, make in ENSEMBLE}
+    """The four fitted regressors by name, fitted side by side; each reads its input many times, so ``train`` should be checkpointed."""
+    def fit(name, make):
+        return (make() if make else ridge(train.count())).setFeaturesCol(x).setLabelCol(y).setPredictionCol(f"pred_{name}").fit(train)
+
+    with ThreadPoolExecutor(len(ENSEMBLE)) as pool:
+        running = {name: pool.submit(fit, name, make) for name, _, make in ENSEMBLE}
+        return {name: f.result() for name, f in running.items()}
 
 
 def predict_ensemble(models: dict, df: DataFrame) -> DataFrame:
@@ -183,13 +189,13 @@ def predict_ensemble(models: dict, df: DataFrame) -> DataFrame:
     return df.withColumn("pred", sum(F.col(f"pred_{n}") * F.lit(w) for n, w, _ in ENSEMBLE))
 
 
-def fit_ensemble(train: DataFrame, test: DataFrame, x: str = "features", y: str = "y"):
-    """Fit the four regressors; return (models, test predictions with the weighted ensemble, RMSEs)."""
-    models = fit_models(train, x, y)
+def ensemble_rmse(models: dict, test: DataFrame, y: str = "y") -> DataFrame:
+    """model, weight, rmse, rows: root mean square error on ``test`` of each regressor and of their weighted sum."""
     pred = predict_ensemble(models, test)
-    rmse = pred.agg(*[F.sqrt(F.avg(F.pow(F.col(c) - F.col(y), 2))).alias(f"rmse_{c[5:] if c != 'pred' else 'ensemble'}")
-                      for c in [f"pred_{n}" for n, _, _ in ENSEMBLE] + ["pred"]])
-    return models, pred, rmse
+    names = [(n, w, f"pred_{n}") for n, w, _ in ENSEMBLE] + [("ensemble", sum(w for _, w, _ in ENSEMBLE), "pred")]
+    sums = pred.agg(F.count("*").alias("rows"), *[F.sqrt(F.avg(F.pow(F.col(c) - F.col(y), 2))).alias(n) for n, _, c in names])
+    each = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(round(w, 10)).alias("weight"), F.col(n).alias("rmse")) for n, w, _ in names])
+    return sums.select(F.explode(each).alias("m"), "rows").select("m.*", "rows")
 
 
 def rotations(vectors: DataFrame, steps: int, x: str = "x") -> DataFrame:
