@@ -38,6 +38,8 @@ PASS_NODES, PASS_FEATURES = 32, 8
 _ROWS, _FEATURES = 256, 256
 #: Steps of four times the largest label from the mean, and what a row's weight counts in a packed sum.
 _STEPS, _COUNT = float(1 << 23), float(1 << 38)
+#: Arrays that best_split fills again and again, of the last shape.
+_SCRATCH: dict[tuple, tuple] = {}
 
 
 @dataclass
@@ -104,11 +106,11 @@ def binned(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def histogram(bins: np.ndarray, rows: np.ndarray, steps: np.ndarray, weight: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Adds to ``out`` (2, features, bins) sums of weight * steps and of weight over ``rows``.
+    """Adds to ``out`` (bins, 2, features) sums of weight * steps and of weight over ``rows``.
 
     Both come from one sum: weights are whole numbers below 16 and steps whole
     numbers up to _STEPS, so a block's sums are exact in a double, and apart."""
-    _, width, n_bins = out.shape
+    n_bins, _, width = out.shape
     offset = n_bins * np.arange(min(width, _FEATURES))
     for lo in range(0, len(rows), _ROWS):
         block = rows[lo : lo + _ROWS]
@@ -118,39 +120,49 @@ def histogram(bins: np.ndarray, rows: np.ndarray, steps: np.ndarray, weight: np.
             k = place.shape[1]
             sums = np.bincount(place.ravel(), np.repeat(packed, k), n_bins * k).reshape(k, n_bins)
             count = np.rint(sums / _COUNT)
-            out[1, f : f + k] += count
-            out[0, f : f + k] += sums - count * _COUNT
+            out[:, 1, f : f + k] += count.T
+            out[:, 0, f : f + k] += (sums - count * _COUNT).T
     return out
 
 
 def best_split(hist: np.ndarray, least: float, unit: float) -> Split:
     """Of a node: the split whose halves' squared sums over weights gain most,
     each half of ``least`` weight at least; the first feature and bin of equal ones."""
-    if not hist.shape[1] or not (n := float(hist[1, 0].sum())):
+    n_bins, _, width = hist.shape
+    if not width or not (n := float(hist[:, 1, 0].sum())):
         return Split(0.0, -1, 0, 0.0, 0.0, 0.0)
-    t, most, found = float(hist[0, 0].sum()), -1.0, (-1, 0, 0.0, 0.0)
-    least, upto = max(least, 1), np.triu(np.ones((hist.shape[2], hist.shape[2] - 1)))
-    for f in range(0, hist.shape[1], _FEATURES):
-        left, weight = hist[0, f : f + _FEATURES] @ upto, hist[1, f : f + _FEATURES] @ upto  # prefix sums, of whole numbers: exact
-        other = n - weight
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left * left / weight + (t - left) ** 2 / other
-        gain[(weight < least) | (other < least)] = -1.0
-        at = int(np.argmax(gain))
-        if gain.flat[at] > most:
-            i, b = divmod(at, gain.shape[1])
-            most, found = float(gain.flat[at]), (f + i, b, float(left[i, b]), float(weight[i, b]))
-    gained, (f, b, s, w) = most - t * t / n, found
-    if not gained > 1e-10 * max(t * t / n, 1.0):
+    if hist.shape not in _SCRATCH:
+        _SCRATCH.clear()
+        _SCRATCH[hist.shape] = np.empty_like(hist), np.empty((n_bins - 1, width)), np.empty((n_bins - 1, width))
+    upto, gain, other = _SCRATCH[hist.shape]
+    np.copyto(upto, hist)
+    for b in range(1, n_bins):  # prefix sums, of whole numbers: exact
+        upto[b] += upto[b - 1]
+    (left, weight), t = (upto[:-1, 0], upto[:-1, 1]), float(upto[-1, 0, 0])
+    np.multiply(weight, -t / n, out=gain)
+    gain += left
+    gain *= gain
+    np.subtract(n, weight, out=other)
+    few = np.minimum(weight, other) < least if least > 1 else None
+    other *= weight
+    other[other <= 0] = np.inf
+    if few is not None:
+        other[few] = np.inf
+    gain /= other
+    most = float(gain.max())
+    f = int(np.argmax((gain == most).any(axis=0)))
+    b = int(np.argmax(gain[:, f] == most))
+    if not most * n > 1e-10 * max(t * t / n, 1.0):
         return Split(0.0, -1, 0, 0.0, 0.0, unit * t / n)
-    return Split(gained * unit * unit, f, b, unit * s / w, unit * (t - s) / (n - w), unit * t / n)
+    s, w = float(left[b, f]), float(weight[b, f])
+    return Split(most * n * unit * unit, f, b, unit * s / w, unit * (t - s) / (n - w), unit * t / n)
 
 
 def grow(bins: np.ndarray, residual: np.ndarray, weight: np.ndarray, depth: int, leaves: int | None, least: float, n_bins: int, unit: float) -> Tree:
     """A tree from rows held here, residuals in steps of ``unit``. With ``leaves``,
     the leaf that gains most is split next; otherwise all are, to ``depth``."""
     tree, steps, rows = Tree(), np.rint(residual / unit), np.flatnonzero(weight > 0)
-    hist = histogram(bins, rows, steps, weight, np.zeros((2, bins.shape[1], n_bins)))
+    hist = histogram(bins, rows, steps, weight, np.zeros((n_bins, 2, bins.shape[1])))
     split = best_split(hist, least, unit)
     open_, spare = [(-split.gain, tree.add(split.mean), 0, split, rows, hist)], []
     n_leaves = 1
@@ -329,7 +341,7 @@ class HistTrees:
         n_bins, least, rate, seed = self.bins, self.least, self.rate, self.seed
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(nodes), 2, width, n_bins))
+            total = np.zeros((len(nodes), n_bins, 2, width))
             for batch in batches:
                 for lo in range(0, batch.num_rows, 4096):
                     part = batch.slice(lo, 4096)
@@ -343,13 +355,13 @@ class HistTrees:
             blocks = range(0, width, PASS_FEATURES)
             yield pa.RecordBatch.from_arrays([
                 pa.array([f for f in blocks for _ in nodes], pa.int32()), pa.array([n for _ in blocks for n in nodes], pa.int32()),
-                pa.array([total[i, :, f : f + PASS_FEATURES].ravel() for f in blocks for i in range(len(nodes))], pa.list_(pa.float64()))], names=["first", "node", "sums"])
+                pa.array([total[i, :, :, f : f + PASS_FEATURES].ravel() for f in blocks for i in range(len(nodes))], pa.list_(pa.float64()))], names=["first", "node", "sums"])
 
         def best(part: pa.Table) -> pa.Table:
             first, out = part.column("first")[0].as_py(), []
             node = np.asarray(part.column("node"))
             parts = part.column("sums").combine_chunks()
-            parts = np.asarray(parts.flatten()).reshape(len(node), 2, -1, n_bins)
+            parts = np.asarray(parts.flatten()).reshape(len(node), n_bins, 2, -1)
             for n in nodes:
                 s = best_split(parts[node == n].sum(axis=0), least, unit)
                 out.append((n, s.gain, s.feature + first if s.feature >= 0 else -1, s.bin, s.left, s.right, s.mean))

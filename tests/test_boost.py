@@ -58,14 +58,14 @@ def test_histogram_sums_and_sibling():
     x, y = _data(5000)
     bins, rows, w = boost.binned(x, boost.edges(x)), np.arange(0, 5000, 2), np.arange(5000) % 4.0
     steps = np.rint(y / np.abs(y).max() * 2**23)
-    sums = lambda rows: boost.histogram(bins, rows, steps, w, np.zeros((2, 6, boost.BINS)))
+    sums = lambda rows: boost.histogram(bins, rows, steps, w, np.zeros((boost.BINS, 2, 6)))
     h = sums(rows)
     for f in range(x.shape[1]):
-        assert (h[0, f] == np.bincount(bins[rows, f], w[rows] * steps[rows], boost.BINS)).all()
-        assert (h[1, f] == np.bincount(bins[rows, f], w[rows], boost.BINS)).all()
+        assert (h[:, 0, f] == np.bincount(bins[rows, f], w[rows] * steps[rows], boost.BINS)).all()
+        assert (h[:, 1, f] == np.bincount(bins[rows, f], w[rows], boost.BINS)).all()
     assert (h - sums(rows[:700]) == sums(rows[700:])).all()
-    heavy = boost.histogram(bins, np.arange(5000), np.full(5000, -(2.0**23)), np.full(5000, 15.0), np.zeros((2, 6, boost.BINS)))
-    assert heavy[0].sum(axis=1).tolist() == [-(2.0**23) * 15 * 5000] * 6 and heavy[1].sum(axis=1).tolist() == [75000.0] * 6
+    heavy = boost.histogram(bins, np.arange(5000), np.full(5000, -(2.0**23)), np.full(5000, 15.0), np.zeros((boost.BINS, 2, 6)))
+    assert heavy[:, 0].sum(axis=0).tolist() == [-(2.0**23) * 15 * 5000] * 6 and heavy[:, 1].sum(axis=0).tolist() == [75000.0] * 6
 
 
 def test_edges():
