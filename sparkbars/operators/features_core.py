@@ -46,7 +46,7 @@ def session_phase(hour: Column, minute: Column) -> Column:
     )
 
 
-def compute(panel: Panel, p: Params = DEFAULT, fill: bool = True) -> Panel:
+def compute(panel: Panel, p: Params = DEFAULT) -> Panel:
     """Append the core features; symbols with fewer than ``p.feature_min_bars`` bars get nulls."""
     w = panel.w
     df = panel.df.select(
@@ -72,12 +72,9 @@ def compute(panel: Panel, p: Params = DEFAULT, fill: bool = True) -> Panel:
     enough = F.col("n") >= p.feature_min_bars
     base = [c for c in panel.df.columns]
     df = df.select(*base, *[F.when(enough, F.col(c)).alias(c) for c in feats])
-    if fill:
-        # forward fill, then NaN -> 0, only where the features were computed
-        dbl = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
-        cols = [c for c in df.columns if c not in ("symbol", "ts", "rn", "n", "blk", "core")]
-        raw = df.select("*", *[F.col(c).alias(f"_raw_{c}") for c in cols])
-        df = panel.with_df(raw).filled(compute(panel.long_histories(), p, fill=False).df, cols)
-        df = df.select(*[F.when(enough, nan_to_zero(c) if c in dbl else F.col(c)).otherwise(F.col(f"_raw_{c}")).alias(c)
-                         if c in cols else F.col(c) for c in df.columns if not c.startswith("_raw_")])
+    # forward fill, then NaN -> 0, only where the features were computed
+    dbl = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
+    cols = [c for c in df.columns if c not in ("symbol", "ts", "rn", "n", "blk", "core")]
+    df = panel.with_df(df).filled(cols, enough)
+    df = df.select(*[F.when(enough, nan_to_zero(c)).otherwise(F.col(c)).alias(c) if c in cols and c in dbl else F.col(c) for c in df.columns])
     return panel.with_df(df)

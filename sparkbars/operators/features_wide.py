@@ -33,7 +33,7 @@ INT_COLUMNS = {"bullish_candle", "bearish_candle", "consecutive_bull_3", "consec
                "weekday", "month"}
 
 
-def compute(panel: Panel, p: Params = DEFAULT, fill: bool = True) -> Panel:
+def compute(panel: Panel, p: Params = DEFAULT) -> Panel:
     w = panel.w
     c, o, h, l, v = (F.col(x) for x in ("c", "o", "h", "l", "v"))
     c1 = F.lag("c").over(w)
@@ -90,9 +90,8 @@ def compute(panel: Panel, p: Params = DEFAULT, fill: bool = True) -> Panel:
     df = pan.df.drop("_delta", "_gain", "_loss", "_cv")
     base = list(panel.df.columns)
     df = df.select(*base, *columns())
-    if fill:
-        dbl = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
-        cols = [c for c in df.columns if c not in ("symbol", "ts", "rn", "n", "blk", "core")]
-        df = panel.with_df(df).filled(compute(panel.long_histories(), p=p, fill=False).df, cols)
-        df = df.select(*[nan_to_zero(c).alias(c) if c in dbl and c in cols else F.col(c) for c in df.columns])
+    dbl = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
+    cols = [c for c in df.columns if c not in ("symbol", "ts", "rn", "n", "blk", "core")]
+    df = panel.with_df(df).filled(cols)
+    df = df.select(*[nan_to_zero(c).alias(c) if c in dbl and c in cols else F.col(c) for c in df.columns])
     return panel.with_df(df)

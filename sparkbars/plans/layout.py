@@ -18,12 +18,15 @@ symbol (a third of all rows, say) into one task. Instead:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
+from ..session import shared_dir
 
 DAY_BLOCK = 1  # days per numbering group
 
@@ -53,42 +56,52 @@ def index(bars: DataFrame, key: str = "symbol", order: str = "ts", days: int = D
 
 @dataclass
 class Panel:
-    """Bars laid out in (symbol, blk) partitions with halo rows (``core`` = false)."""
+    """Bars laid out in (symbol, blk) partitions with halo rows (``core`` = false).
+
+    ``longest``: runs a count and gives the bars of the longest history."""
 
     df: DataFrame
     key: str = "symbol"
     order: str = "ts"
     params: Params = DEFAULT
+    longest: Callable[[], int] | None = None
 
     @property
     def w(self) -> Window:
         return Window.partitionBy(self.key, "blk").orderBy(self.order)
 
     def with_df(self, df: DataFrame) -> "Panel":
-        return Panel(df, self.key, self.order, self.params)
+        return Panel(df, self.key, self.order, self.params, self.longest)
 
     def core(self) -> DataFrame:
         """The bars themselves: halo copies dropped, layout columns removed."""
         return self.df.filter(F.col("core")).drop("blk", "core")
 
-    def long_histories(self) -> "Panel":
-        """The symbols that have more than one block."""
-        return self.with_df(self.df.filter(F.col("n") > F.lit(self.params.block_rows)))
-
-    def filled(self, unfilled_long: DataFrame, cols: list[str]) -> DataFrame:
-        """``df`` with nulls of ``cols`` filled with the last value before them, however far back.
+    def filled(self, cols: list[str], where: Column | None = None) -> DataFrame:
+        """``df`` with nulls of ``cols`` (in rows ``where`` that holds) filled with the last value before
+        them, however far back.
 
-        Inside a partition a running frame finds it; what lies before the halo comes from a carry
-        table, one row per block: the last value of each column in its core rows, taken on from block
-        to block. ``unfilled_long`` is ``df`` of the symbols with more than one block."""
+        Inside a partition a running frame finds it. If some history has more than one block, ``df`` is
+        written once to the shared folder, and what lies before the halo comes from a carry table of it, one
+        row per block: the last value of each column in the core rows, taken on from block to block."""
+        where = F.lit(True) if where is None else where
         upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
+        one_block = self.longest is not None and self.longest() <= self.params.block_rows
+        df = self.df
+        if not one_block:
+            shared_dir(df.sparkSession)
+            df = df.checkpoint(eager=True)
+        here = df.select(*[F.when(where, F.last(F.col(c), ignorenulls=True).over(upto)).otherwise(F.col(c)).alias(c) if c in cols
+                           else F.col(c) for c in df.columns])
+        if one_block:
+            return here
         earlier = Window.partitionBy(self.key).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-        last = unfilled_long.filter("core").groupBy(self.key, "blk").agg(
+        last = df.filter("core").groupBy(self.key, "blk").agg(
             *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("rn"))).alias(c) for c in cols])
         carry = last.select(self.key, "blk", *[F.last(c, ignorenulls=True).over(earlier).alias(f"_carry_{c}") for c in cols])
-        here = self.df.select(*[F.last(F.col(c), ignorenulls=True).over(upto).alias(c) if c in cols else F.col(c) for c in self.df.columns])
         joined = here.join(carry, [self.key, "blk"], "left")
-        return joined.select(*[F.coalesce(F.col(c), F.col(f"_carry_{c}")).alias(c) if c in cols else F.col(c) for c in self.df.columns])
+        return joined.select(*[F.when(where, F.coalesce(F.col(c), F.col(f"_carry_{c}"))).otherwise(F.col(c)).alias(c) if c in cols
+                               else F.col(c) for c in df.columns])
 
     def part_start(self):
         """Index (rn) of the first row, halo included, of this row's partition."""
@@ -110,4 +123,10 @@ def layout(bars: DataFrame, params: Params = DEFAULT, key: str = "symbol", order
         df.withColumn("blk", F.explode(F.sequence(first, last)))
         .withColumn("core", F.col("blk") == own)
     )
-    return Panel(df, key, "rn", p)
+
+    @cache
+    def longest() -> int:
+        counts = bars.agg(F.max("n")) if indexed else bars.groupBy(key).count().agg(F.max("count"))
+        return counts.first()[0] or 0
+
+    return Panel(df, key, "rn", p, longest)
