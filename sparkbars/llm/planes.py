@@ -147,14 +147,29 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.chars = 0
         self.line_end = len(self._ids(["\n"])[0])
-        self.undivided = Tokenizer.from_file(path)  # for what is one pre-token anyway
-        self.undivided.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def _ids(self, words: list[str], tokenizer: Tokenizer | None = None) -> list[bytes]:
+        self.model = self.tokenizer.model  # for what is one pre-token anyway
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        # the byte-level pre-tokenizer's character of each byte, by the code point of that value
+        self.characters = {b: pre_tokenizers.ByteLevel(False, use_regex=False).pre_tokenize_str(chr(b))[0][0] for b in range(0x80)}
+        self.characters |= {b: c for b in range(0x80, 0xC0) for c in [self._character(b"\xc2" + bytes([b]), 1)]}
+        self.characters |= {b: self._character(bytes([b, 0x80]), 0) for b in range(0xC3, 0xE0)} | {0xC2: self._character(b"\xc2\x80", 0)}
+
+    @staticmethod
+    def _character(raw: bytes, at: int) -> str:
+        return pre_tokenizers.ByteLevel(False, use_regex=False).pre_tokenize_str(raw.decode())[0][0][at]
+
+    def _letter_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word of _LETTERS with a space in front, by the library's model alone."""
+        tokenize, characters = self.model.tokenize, self.characters
+        spelled = " ".join(words).encode().decode("latin-1").translate(characters).split(characters[0x20])
+        raw, space = self.raw, characters[0x20]
+        return [b"".join([raw[t.id] for t in tokenize(space + w)]) for w in spelled] if words else []
+
+    def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of every word for itself; one call, as a call costs more than a word."""
         if not words:
             return []
-        found = (tokenizer or self.tokenizer).encode(words, is_pretokenized=True, add_special_tokens=False)
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         raw = np.array(found.ids, "<u4").tobytes()
         ends = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * 4).tolist()
         return [raw[lo:hi] for lo, hi in zip(ends, ends[1:])]
@@ -174,7 +189,7 @@ class Encoder:
         bare = new.difference(ends).union(core for core, _ in ends.values() if core not in known)
         marks = list({m for _, m in ends.values()})
         letters = list(filter(_LETTERS.fullmatch, bare))
-        known.update(zip(letters, self._ids([" " + p for p in letters], self.undivided)))
+        known.update(zip(letters, self._letter_ids(letters)))
         others = list(bare.difference(letters))
         ids = self._ids([*(p if p[:1] == "\n" else " " + p for p in others), *marks])
         known.update(zip(others, ids))

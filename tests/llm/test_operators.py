@@ -132,6 +132,14 @@ def test_encoder_parts_equal_whole_texts():
     assert list(e.encode([])) == []
 
 
+def test_every_letter_of_encoder_by_the_model_alone():
+    e = planes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(0x41, 0x250) if planes._LETTERS.fullmatch(chr(c))]
+    words = letters + ["".join(rng.choices(letters, k=rng.randint(2, 12))) for _ in range(3000)] + ["the", "Straße", "naïve"]
+    assert e._letter_ids(words) == [np.array(e.tokenizer.encode(" " + w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+
+
 # --- chat
 
 def test_chat_round_trip(spark):
