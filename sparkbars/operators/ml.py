@@ -7,8 +7,6 @@ local model per symbol."""
 
 from __future__ import annotations
 
-import datetime as dt
-import json
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -230,16 +228,6 @@ def forecast_band(pred: DataFrame, last: DataFrame, band: float = 0.10) -> DataF
     )
 
 
-def registry_row(spark: SparkSession, name: str, model_type: str, features: list[str], n_train: int,
-                 n_test: int, metrics: dict, path: str) -> DataFrame:
-    """One model-registry row (append to a registry table)."""
-    return spark.createDataFrame(
-        [(name, model_type, dt.date.today().isoformat(), json.dumps(features), n_train, n_test,
-          json.dumps(metrics), path, dt.datetime.now().isoformat(timespec="seconds"))],
-        "name string, model_type string, trained_on string, features string, n_train long, n_test long, "
-        "metrics string, path string, created_at string")
-
-
 def walk_forward(bars_idx: DataFrame, train_days: int = 60, test_days: int = 10, purge: int = 5) -> DataFrame:
     """Rolling folds over the data's date range: fold k trains on [start + k*test_days, +train_days)
     and tests on the next ``test_days``; the last ``purge`` bars of each symbol's training window

@@ -93,11 +93,15 @@ def q_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("store_catalog", lambda: S.with_(S.ctes_bars_panel()) + (
-    "SELECT symbol, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, false AS has_model "
+    "SELECT symbol, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, sum(v) % 2 = 0 AS has_model "
     "FROM bars_panel GROUP BY symbol"))
 def q_store_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, first and last bar time and model flag per stored symbol."""
-    return files.catalog(_store(spark, sf_dir)).select("symbol", F.col("rows").cast("long").alias("rows"),
+    """Rows, first and last bar time and model flag per stored symbol. The registry joined is a written
+    table; as a fixture it names the symbols of an even total volume."""
+    stored = _store(spark, sf_dir)
+    path = scratch_path(spark, "symbol-models")
+    stored.groupBy("symbol").agg(F.sum("v").alias("v")).filter(F.col("v") % 2 == 0).select("symbol").write.parquet(path)
+    return files.catalog(stored, spark.read.schema("symbol string").parquet(path)).select("symbol", F.col("rows").cast("long").alias("rows"),
                                                         "first_ts", "last_ts", "has_model")
 
 

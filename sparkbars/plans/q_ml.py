@@ -3,14 +3,15 @@ streaming bar builder."""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+import json
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
-from ..operators import features_core, features_wide, labels, ml
+from ..operators import features_core, features_wide, labels, ml, registry
 from ..params import DEFAULT
 from ..session import scratch_path, shared_dir
 from ..sources import fixtures
@@ -149,16 +150,18 @@ def q_gbt_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("model_registry")
 def q_model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8 + M9: fit, save the pipeline model under the shared folder, register it, load it back and
-    score every bar; returns the registry row with the scored-row count."""
-    model, train, test, n, sp = _fit_logistic(spark, sf_dir)
-    path = scratch_path(spark, "models/logistic_meta")
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    scored = ml.probability(loaded, sp)
-    auc = ml.score_metrics(scored.select(F.col(TARGET).alias("y"), "p"))
-    reg = ml.registry_row(spark, "logistic_meta", "logistic", FEATURES, n, test.count(), {}, path)
-    return reg.crossJoin(auc)
+    """M8 + M9: fit, save and register the model under the shared folder, load the newest version by its
+    name and score every bar; one row with the sizes, the test metrics and the number of scored bars."""
+    root, sp = scratch_path(spark, "registry"), split_frame(spark, sf_dir)
+    row = registry.train_and_save(spark, root, sp, FEATURES, TARGET).first()
+    model, newest = registry.load(spark, root, row["name"])
+    if model is None:
+        return spark.createDataFrame([row], registry.SCHEMA).select("model_type", "version", "train_size", "test_size", "error")
+    scored = ml.probability(model, sp).agg(F.count("p").alias("scored_bars"), F.avg("p").alias("mean_p"))
+    metrics = json.loads(newest["metrics"])
+    return scored.select(F.lit(newest["model_type"]).alias("model_type"), F.lit(newest["version"]).alias("version"),
+                         F.lit(newest["train_size"]).alias("train_size"), F.lit(newest["test_size"]).alias("test_size"),
+                         *[F.lit(metrics[m]).alias(m) for m in ("auc", "brier", "log_loss")], "scored_bars", "mean_p")
 
 
 @query("score_bars")
