@@ -4,7 +4,8 @@ mean of its features' vectors, and a softmax layer gives its class. Trained by
 stochastic gradient descent in numpy.
 
 Features come from the whole text. They are made from arrays of code points,
-many documents at once, without a loop over words.
+many documents at once, without a loop over words; a text longer than CHARS is
+read in steps, so memory does not grow with it.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ TRAIN_DOCS = 2000
 #: Steps of one document (passes over them as many as that takes), size of the
 #: first step, and how much larger a step the feature vectors take.
 STEPS, RATE, VECTOR_RATE = 12_000, 0.5, 5.0
-#: Code points that are turned into features at once (a longer text alone).
+#: Code points that are turned into features at once.
 CHARS = 1 << 20
 THRESHOLD = 0.7
 
@@ -52,6 +53,59 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h ^ (h >> np.uint64(32))) * _MIX) >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int32)
 
 
+def _grams(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(buckets, places, length) of the character n-grams of code points whose
+    white space is 32: no space but at the ends."""
+    blank, h, inner = c == 32, c.copy(), None
+    for length in range(2, max(GRAMS) + 1):
+        h = h[:-1] * _P + c[length - 1 :]
+        if length > 2:  # no space inside
+            inside = ~blank[length - 2 : len(c) - 1]
+            inner = inside if inner is None else inner[:-1] & inside
+        if length in GRAMS:
+            there = np.flatnonzero(inner)
+            yield _bucket(h[there] + np.uint64(length), GRAM_BUCKETS) + WORD_BUCKETS, there, length
+
+
+def long_features(text: str, step: int = CHARS) -> Iterator[np.ndarray]:
+    """Buckets of all features of one text, ``step`` code points at a time: all
+    together those that ``features`` gives. A step hands the next one the hash
+    and length of the word it ends in, its last words and last code points, so
+    what is held is bounded also for a text without white space."""
+    before, last = np.full(1, 32, np.uint64), np.zeros(0, np.uint64)
+    begun, size = 0, 0
+    for at in range(0, len(text) + 1, step):
+        part = text[at : at + step] + (" " if at + step > len(text) else "")
+        cps = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        blank = (cps == 32) | ((cps >= 9) & (cps <= 13))
+        c = np.where(blank, np.uint32(32), cps).astype(np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * np.cumprod(np.full(len(c), _P, np.uint64)))])
+        inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(c), _P_INVERSE, np.uint64)]))
+        edge = np.concatenate([[True], blank, [True]])
+        starts, ends = np.flatnonzero(edge[:-1] & ~edge[1:]), np.flatnonzero(~edge[:-1] & edge[1:])
+        words, sizes = (sums[ends] - sums[starts]) * inverse[starts], ends - starts
+        if size and not blank[0]:
+            words[0] = (begun + int(words[0]) * pow(int(_P), size, 1 << 64)) % (1 << 64)
+            sizes[0] += size
+        elif size:
+            words, sizes = np.concatenate([np.array([begun], np.uint64), words]), np.concatenate([[size], sizes])
+        begun, size = 0, 0
+        if not blank[-1]:
+            begun, size = int(words[-1]), int(sizes[-1])
+            words = words[:-1]
+        yield _bucket(words, WORD_BUCKETS)
+        known, words = len(last), np.concatenate([last, words])
+        for k, far in enumerate(AGAIN):
+            new = max(far, known)
+            again = np.count_nonzero(words[new:] == words[new - far : max(len(words) - far, new - far)])
+            yield np.full(again, WORD_BUCKETS + GRAM_BUCKETS + k, np.int32)
+        last = words[-max(AGAIN) :]
+        known, c = len(before), np.concatenate([before, c])
+        for buckets, there, length in _grams(c):
+            yield buckets[there + length > known]
+        before = c[1 - max(GRAMS) :]
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """-> (buckets, number of the document) of all features of all texts:
     words are runs of anything but ASCII white space, character n-grams cover a
@@ -75,22 +129,19 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         again = np.flatnonzero((words[far:] == words[:-far]) & (docs[0][far:] == docs[0][:-far]))
         ids.append(np.full(len(again), WORD_BUCKETS + GRAM_BUCKETS + k, np.int32))
         docs.append(docs[0][again])
-    h, n, inner = c.copy(), 1, None
-    for length in range(2, max(GRAMS) + 1):
-        h, n = h[:-1] * _P + c[length - 1 :], length
-        if length > 2:  # no space inside
-            inside = ~blank[length - 2 : len(c) - 1]
-            inner = inside if inner is None else inner[:-1] & inside
-        if n in GRAMS:
-            there = np.flatnonzero(inner)
-            ids.append(_bucket(h[there] + np.uint64(n), GRAM_BUCKETS) + WORD_BUCKETS)
-            docs.append(doc[there + 1])
+    for buckets, there, _ in _grams(c):
+        ids.append(buckets)
+        docs.append(doc[there + 1])
     return np.concatenate(ids), np.concatenate(docs)
 
 
 def _groups(texts: Iterator[str]) -> Iterator[list[str]]:
+    """Texts together up to CHARS code points; a longer one comes alone."""
     held, size = [], 0
     for t in texts:
+        if held and size + len(t) > CHARS:
+            yield held
+            held, size = [], 0
         held.append(t)
         size += len(t)
         if size >= CHARS:
@@ -150,7 +201,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_docs: int
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (text, label, doc) in enumerate(zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("doc_id").to_pylist())):
-                ids, counts = np.unique(features([text.as_py()])[0], return_counts=True)
+                counts = np.zeros(BUCKETS, np.int64)
+                for found in long_features(text.as_py()):
+                    counts += np.bincount(found, minlength=BUCKETS)
+                ids = np.flatnonzero(counts).astype(np.int32)
+                counts = counts[ids]
                 yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([label], pa.int32()), pa.array([ids], pa.list_(pa.int32())),
                                                   pa.array([counts], pa.list_(pa.int32()))], names=["doc_id", "label", "ids", "counts"])
 
@@ -178,6 +233,11 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text"
         for batch in batches:
             logits = []
             for texts in _groups(t.as_py() or "" for t in batch.column(text)):
+                if len(texts) == 1 and len(texts[0]) > CHARS:
+                    found = [(len(ids), table[ids].sum(dtype=np.float64)) for ids in long_features(texts[0])]
+                    n, total = map(sum, zip(*found))
+                    logits.append(np.array([total / max(n, 1) + bias]))
+                    continue
                 ids, doc = features(texts)
                 n = np.bincount(doc, minlength=len(texts))
                 logits.append(np.bincount(doc, weights=table[ids], minlength=len(texts)) / np.maximum(n, 1) + bias)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -240,10 +240,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the
-    smallest id (null ids last), of several such rows the one with the smallest
-    hash over all columns, once."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    found = checkpointed(spark, near_duplicates(spark, docs.select("doc_id", row.alias("_row"), "text"), **how).select("doc_id", "_row", "root"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first")
+    smallest id (null ids last), of several such rows the one whose text has
+    the smallest hash, then the first of the table. Rows are told apart by
+    their number in the table written here, never by a hash, and other columns
+    may have any type."""
+    rows = written(spark, docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "numbered")
+    keys = rows.select("_doc.doc_id", "_row", F.xxhash64("_doc.text").alias("_hash"), "_doc.text")
+    found = near_duplicates(spark, keys, **how)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_hash", "_row")).alias("first")
     best = checkpointed(spark, found.groupBy("root").agg(first).select("first._row"))
-    return docs.withColumn("_row", row).join(best, "_row").dropDuplicates(["_row"]).select(*[f"`{c}`" for c in docs.columns])
+    return rows.join(best, "_row", "left_semi").select("_doc.*")

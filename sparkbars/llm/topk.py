@@ -11,6 +11,8 @@ The units' results, k per query, are ranked once more.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +27,25 @@ SCALE = 64
 VECTORS, QUERIES = 2048, 8192
 #: Depth of the first look at the bound; it doubles from look to look.
 FIRST = 64
+#: Sums of whole doubles below this are exact.
+EXACT = 2.0**53
+#: Scores beyond it are given as it: what a long holds, on either side.
+LARGEST = 2**63 - 1
 
 
 def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, embedding) -> ``vec_id, v``: floor(scale * x) of each component as
-    double. Vectors that are null or hold a null, NaN or infinite component are
-    left out; an empty vector has score 0 with all."""
+    double (a product beyond the doubles: the last of them). Vectors that are
+    null or hold a null, NaN or infinite component are left out; an empty
+    vector has score 0 with all."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     odd = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    whole = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("double"))
+
+    def floored(c):  # from 2^53 on every double is whole, and floor() would end at 2^63
+        y = F.greatest(F.least(c * F.lit(float(scale)), F.lit(sys.float_info.max)), F.lit(-sys.float_info.max))
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+
+    whole = F.transform(x, floored)
     return vectors.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).filter(~odd).select("vec_id", whole.alias("v"))
 
 
@@ -45,11 +57,23 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products: of doubles, or of Python's integers as int64 within LARGEST."""
+    found = rows @ query
+    return np.array([max(-LARGEST, min(LARGEST, s)) for s in found], np.int64) if found.dtype == object else found
+
+
+def _integers(a: np.ndarray) -> np.ndarray:
+    """Whole doubles as Python's integers."""
+    return np.array([int(x) for x in a.ravel().tolist()], object).reshape(a.shape)
+
+
 def threshold_search(ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray, steps: np.ndarray, query_id: int, query: np.ndarray, k: int):
     """(ids, scores, lists read to) of the query's k best, ties to smaller ids.
 
     ``lists``: per dimension (column) the rows by ascending value; ``steps``:
     depths at which the bound is looked at, the last one the lists' length.
+    Vectors and query are whole doubles, or Python's integers in object arrays.
     """
     up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
     weight = np.concatenate([query[up], query[down]])
@@ -59,19 +83,19 @@ def threshold_search(ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray, st
     if not len(weight):  # every score is 0, and so is the bound
         best = np.sort(ids[~own])[:k]
         return best, np.zeros(len(best)), n
-    rows, scores, at = np.zeros(0, np.int64), np.zeros(0), 0
+    rows, scores, at = np.zeros(0, np.int64), np.zeros(0, np.int64 if query.dtype == object else np.float64), 0
     for depth in steps:
         met = np.zeros(n, bool)
         met[lists[n - depth : n - at, up]] = True
         met[lists[at:depth, down]] = True
         new = np.flatnonzero(met & ~seen)
         seen[new] = True
-        rows, scores, at = np.concatenate([rows, new]), np.concatenate([scores, vectors[new] @ query]), depth
+        rows, scores, at = np.concatenate([rows, new]), np.concatenate([scores, _products(vectors[new], query)]), depth
         if len(rows) >= k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
             rows, scores = rows[scores >= least], scores[scores >= least]
             offered = np.concatenate([vectors[lists[n - depth, up], up], vectors[lists[depth - 1, down], down]])
-            if least > offered @ weight:  # an equal one could still have a smaller id
+            if least > _products(offered[None], weight)[0]:  # an equal one could still have a smaller id
                 break
     order = np.lexsort((ids[rows], -scores))[:k]
     return ids[rows[order]], scores[order], at
@@ -84,17 +108,19 @@ def _unit(k: int):
         query = np.asarray(table.column("is_query"))
         ids = np.asarray(table.column("vec_id"))
         every = _matrix(table.column("v").combine_chunks(), width)
-        # scores below 2^53 are exact in double; others are refused rather than rounded
-        if width * float(np.abs(every).max(initial=0)) ** 2 >= 2.0**53:
-            raise ValueError("scores beyond 2^53 cannot be held exactly")
         vectors, mine, queries, asked = every[~query], ids[~query], every[query], ids[query]
         out = ([], [], [])
         if len(mine):
             lists, n = np.argsort(vectors, axis=0, kind="stable"), len(mine)
             steps = np.unique(np.minimum([FIRST << i for i in range(n.bit_length() + 1)], n))
+            top, whole = float(np.abs(vectors).max(initial=0)), None
             for q, v in zip(asked.tolist(), queries):
-                best, scores, _ = threshold_search(mine, vectors, lists, steps, q, v, k)
-                out[0].append(np.full(len(best), q)), out[1].append(best), out[2].append(scores)
+                held = vectors
+                if width * top * float(np.abs(v).max(initial=0)) >= EXACT:  # doubles would round
+                    whole = _integers(vectors) if whole is None else whole
+                    held, v = whole, _integers(v)
+                best, scores, _ = threshold_search(mine, held, lists, steps, q, v, k)
+                out[0].append(np.full(len(best), q)), out[1].append(best), out[2].append(scores.astype(np.int64))
         join = [np.concatenate(o) if o else np.zeros(0) for o in out]
         return pa.table({"query_id": pa.array(join[0].astype(np.int64)), "vec_id": pa.array(join[1].astype(np.int64)), "score": pa.array(join[2].astype(np.int64))})
 
@@ -105,7 +131,9 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     """(vec_id, v), twice -> ``query_id, rank, vec_id, score``: each query's k
     highest inner products with vectors of another id, ties to the smaller id,
     fewer if there are fewer. Shorter vectors count as filled with zeros;
-    repeated rows of an id are candidates of their own."""
+    repeated rows of an id are candidates of their own. Scores that doubles
+    cannot hold are computed in integers; one beyond a long counts as the last
+    long on its side."""
     vectors, queries = checkpointed(spark, vectors), checkpointed(spark, queries)
     n, m = 1 + vectors.count() // block, 1 + queries.count() // query_block
 
