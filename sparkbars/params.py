@@ -67,8 +67,6 @@ class Params:
     block_rows: int = 65536
     halo_back: int = 1024
     halo_ahead: int = 64
-    # rows per sub-block of the exponential scan
-    scan_rows: int = 256
 
     @property
     def cost(self) -> float:

@@ -15,7 +15,7 @@ from .layout import layout
 from .registry import query
 
 # decimals per output column for value comparison (magnitude-aware)
-DECIMALS = {"vwap_proxy_5": 2, "macd": 3, "macd_signal": 3, "macd_histogram": 3, "pv_product": 4}
+DECIMALS = {"vwap_proxy_5": 2, "pv_product": 4}
 
 
 def wide_panel(bars: DataFrame, p: Params = DEFAULT):
@@ -120,8 +120,8 @@ MACD_COLS = ["macd", "macd_signal", "macd_histogram"]
 
 
 @query("macd", lambda: S.with_(S.FIXTURE_CTES["bars_hour"](), *ctes_wide("bars_hour")) + (
-    "SELECT symbol, ts, " + ", ".join(f"{S.R(c, 3)} AS {c}" for c in MACD_COLS) + " FROM wf4"))
+    "SELECT symbol, ts, " + ", ".join(f"{S.R(c, 6)} AS {c}" for c in MACD_COLS) + " FROM wf4"))
 def q_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MACD (EMA 12 - EMA 26, signal EMA 9, histogram) by blocked scan, on wild hourly prices."""
+    """MACD (EMA 12 - EMA 26, signal EMA 9, histogram) by an associative scan, on wild hourly prices."""
     pan = ema_ops.macd(layout(fixtures.bars_hour(spark, sf_dir)), "c")
-    return pan.core().select("symbol", "ts", *[rnd(c, 3).alias(c) for c in MACD_COLS])
+    return pan.core().select("symbol", "ts", *[rnd(c, 6).alias(c) for c in MACD_COLS])

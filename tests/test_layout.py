@@ -1,5 +1,6 @@
 """Blocks with halo give exactly the results of unsplit symbols."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkbars.operators import ema, features_core, features_wide, labels, regime
@@ -7,6 +8,7 @@ from sparkbars.params import Params
 from sparkbars.plans.layout import index, layout
 from sparkbars.sources import fixtures
 from tests.conftest import SF_SMALL
+from tests.helpers import bars, flat
 
 SMALL = Params(block_rows=64, halo_back=1024, halo_ahead=64)
 
@@ -42,16 +44,22 @@ def test_small_blocks_equal_whole_symbols(spark):
     assert _rows(small, cols) == _rows(big, cols)
 
 
-def test_blocked_ema_equals_recursion(spark):
-    b = fixtures.bars_hour(spark, SF_SMALL)
-    pan = ema.ema(layout(b, SMALL), "c", 26, "e", SMALL).core().select("symbol", "rn", "c", "e")
-    d = ema.decay(26)
-    by_sym = {}
-    for r in sorted(pan.collect(), key=lambda r: (r.symbol, r.rn)):
-        by_sym.setdefault(r.symbol, []).append(r)
-    for rows in by_sym.values():
+@pytest.mark.parametrize("span, halo_back", [(1, 10), (1.05, 100), (9, 10), (26, 100), (26, 1024), (200, 10), (200, 1024), (5000, 100)])
+def test_blocked_ema_equals_recursion(spark, span, halo_back):
+    """Over many blocks, shorter and longer than the halo; old large prices before small ones count."""
+    p = Params(block_rows=64, halo_back=halo_back, halo_ahead=5)
+    prices = [1e12] * 10 + [1e-3 * (1 + i % 7) for i in range(390)]
+    b = bars(spark, [(x, x, x, x, 1) for x in prices]).union(bars(spark, flat(30, 7.0), symbol="Y")).unionByName(
+        bars(spark, [(3.0 + i % 11,) * 4 + (1,) for i in range(129)], symbol="Z"))
+    pan = ema.ema(layout(b, p), "c", span, "e", p)
+    d = ema.decay(span)
+    want = {}
+    rows = pan.core().collect()
+    for s in ("X", "Y", "Z"):
         num = den = 0.0
-        for r in rows:
-            num = r.c + d * num
-            den = 1.0 + d * den
-            assert abs(num / den - r.e) <= 1e-9 * abs(r.e)
+        for r in sorted((r for r in rows if r.symbol == s), key=lambda r: r.rn):
+            num, den = r.c + d * num, 1.0 + d * den
+            want[s, r.rn] = num / den
+    assert len(want) == 400 + 30 + 129
+    for r in pan.df.collect():  # copies in the halo too
+        assert abs(want[r.symbol, r.rn] - r.e) <= 1e-9 * abs(want[r.symbol, r.rn]), (r.symbol, r.rn)
