@@ -141,14 +141,38 @@ def logistic(features: list[str], label: str, n_train: int, C: float = 0.1, max_
     return Pipeline(stages=[asm, lr])
 
 
-def boosted_trees(features: list[str], label: str, validation_col: str | None = None) -> Pipeline:
+def boosted_trees(features: list[str], label: str, rounds: int = 150) -> Pipeline:
     """Gradient-boosted trees: depth 4, 150 rounds, step 0.05, at least 30 rows per leaf."""
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    kw = dict(labelCol=label, featuresCol="features", maxDepth=4, maxIter=150, stepSize=0.05,
-              minInstancesPerNode=30, seed=42)
-    if validation_col:
-        kw["validationIndicatorCol"] = validation_col
-    return Pipeline(stages=[asm, GBTClassifier(**kw)])
+    trees = GBTClassifier(labelCol=label, featuresCol="features", maxDepth=4, maxIter=rounds, stepSize=0.05,
+                          minInstancesPerNode=30, seed=42)
+    return Pipeline(stages=[asm, trees])
+
+
+def rounds_kept(losses: list[float], patience: int = 50) -> int:
+    """Rounds up to the lowest loss (the first of equal ones) that is seen before ``patience`` rounds
+    bring no lower one. Without losses, or where none is a number: all rounds."""
+    best = None
+    for i, loss in enumerate(losses):
+        if best is not None and i - best > patience:
+            break
+        if loss == loss and (best is None or loss < losses[best]):
+            best = i
+    return len(losses) if best is None else best + 1
+
+
+def fit_boosted(train: DataFrame, valid: DataFrame, features: list[str], label: str, rounds: int = 150,
+                patience: int = 50) -> PipelineModel:
+    """``boosted_trees`` stopped early: the loss on ``valid`` after each round tells how many rounds are kept.
+
+    The kept model is fitted with that number of rounds, which makes the same trees again. Without rows in
+    ``valid`` all rounds are kept."""
+    model = boosted_trees(features, label, rounds).fit(train)
+    seen = model.stages[0].transform(valid)
+    if seen.isEmpty():
+        return model
+    kept = rounds_kept(model.stages[1].evaluateEachIteration(seen), patience)
+    return model if kept == rounds else boosted_trees(features, label, kept).fit(train)
 
 
 def probability(model: PipelineModel, df: DataFrame) -> DataFrame:
