@@ -73,3 +73,20 @@ def nearest_bar(bars: DataFrame, trades: DataFrame, t_col: str = "ts_open", key:
         *[F.col("_trade")[c].alias(c) for c in trades.columns],
         *[pick[c].alias(f"bar_{c}") for c in bar_cols],
     )
+
+
+def entry_window(bars_idx: DataFrame, entries: DataFrame, back: int = 20, ahead: int = 30, at: str = "bar_rn",
+                 key: str = "symbol", block: int = 64) -> DataFrame:
+    """Every entry with the bars from ``back`` before its bar up to, not including, ``ahead`` after it.
+
+    ``entries`` has ``key`` and ``at``, the row index of its bar; the result has its columns, ``offset`` (bar
+    less entry) and the other columns of ``bars_idx``. Windows end with the history; entries without a bar
+    have none. Both sides meet on blocks of ``block`` rows, of which an entry reads those its window
+    touches, so bars are never copied and a hot symbol is spread over its blocks."""
+    first = F.floor(F.greatest(F.col(at) - back, F.lit(0)) / block).cast("long")
+    last = F.floor((F.col(at) + (ahead - 1)) / block).cast("long")
+    reads = entries.filter(F.col(at).isNotNull()).withColumn("_rows", F.explode(F.sequence(first, last)))
+    bars = bars_idx.withColumn("_rows", F.floor(F.col("rn") / block).cast("long"))
+    offset = (F.col("rn") - F.col(at)).alias("offset")
+    joined = reads.join(bars, [key, "_rows"]).filter((F.col("rn") >= F.col(at) - back) & (F.col("rn") < F.col(at) + ahead))
+    return joined.select(*entries.columns, offset, *[c for c in bars_idx.columns if c not in (key, "rn")])

@@ -151,6 +151,16 @@ def q_nearest_bar_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entry_bars(spark, sf_dir).select("trade_id", "symbol", "ts_open", "bar_ts", "bar_rn")
 
 
+@query("entry_window", lambda: S.with_(S.ctes_bars_calm(), S.ctes_trades(), ctes_index_calm(), ctes_nearest()) + (
+    f"SELECT nb.trade_id, nb.symbol, CAST(b.rn - nb.bar_rn AS BIGINT) AS \"offset\", b.ts, {S.R('b.o')} AS o, {S.R('b.h')} AS h, "
+    f"{S.R('b.l')} AS l, {S.R('b.c')} AS c FROM nb JOIN bidx b ON b.symbol = nb.symbol AND b.rn >= nb.bar_rn - 20 AND b.rn < nb.bar_rn + 30"))
+def q_entry_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: the bars around every trade's entry, 20 before it and 30 from it on."""
+    entries = entry_bars(spark, sf_dir).select("trade_id", "symbol", "bar_rn")
+    got = joins.entry_window(index(fixtures.bars_calm(spark, sf_dir)), entries)
+    return got.select("trade_id", "symbol", "offset", "ts", *[rnd(c).alias(c) for c in ("o", "h", "l", "c")])
+
+
 @query("grid_216", lambda: S.with_(*ctes_grid()) + f"SELECT {GRID_COLS_SQL}, rank FROM rk")
 def q_grid_216(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3 (with C1, C2): all 216 scenarios of every trade, ranked by pnl (ties: grid order)."""
