@@ -1,15 +1,17 @@
 """Exit-policy grid: every trade re-simulated under 216 alternative entries
 and exits (entry shift x exit mode x take-profit x stop-loss multiplier).
 
-Plan: each bar sees its next bars through ``lead`` over the shared
-(symbol, blk) window (exact thanks to the halo), with the running
-trailing-stop level; in the same partition the first offsets at which each
-take-profit / stop level is touched are found once per bar and side
-(``exit_table``), so only these offsets are shuffled, not the paths; every
-trade is expanded to its entry shifts and picks its entry bars' offsets; the
-216-row scenario table (a fixed-size parameter table) is broadcast-joined on
-the shift and each scenario row only compares offsets. Ranking and the best
-policy work on groups of exactly 216 rows per trade.
+Plan: every trade is expanded to its entry shifts, and the bars that some
+entry uses are marked by side before the bars are laid out (``mark``). Each
+bar sees its next bars through ``lead`` over the shared (symbol, blk) window
+(exact thanks to the halo), with the running trailing-stop level; bars that no
+trade enters end there. For the others the first offsets at which each
+take-profit / stop level is touched are found in the same partition, once per
+bar and side (``exit_table``), so only these offsets are shuffled, not the
+paths; the entries pick their bars' offsets; the 216-row scenario table (a
+fixed-size parameter table) is broadcast-joined on the shift and each scenario
+row only compares offsets. Ranking and the best policy work on groups of
+exactly 216 rows per trade.
 """
 
 from __future__ import annotations
@@ -64,9 +66,25 @@ def scenarios(spark: SparkSession, p: Params = DEFAULT) -> DataFrame:
     return spark.createDataFrame(scenario_rows(p), SCENARIO_SCHEMA)
 
 
+SIDES = ("long", "short")
+
+
+def mark(bars_idx: DataFrame, entry_rows: DataFrame) -> DataFrame:
+    """Indexed bars with ``enter_long`` and ``enter_short``: whether an entry (symbol, entry_idx, side) uses the
+    bar on that side. The entries are first brought to one row a bar, so a bar that many trades enter
+    is joined once; halo copies made later carry the marks along."""
+    used = entry_rows.groupBy("symbol", F.col("entry_idx").alias("rn")).agg(
+        *[F.max(F.col("side") == side).alias(f"enter_{side}") for side in SIDES])
+    marks = [F.coalesce(F.col(f"enter_{side}"), F.lit(False)).alias(f"enter_{side}") for side in SIDES]
+    return bars_idx.join(used, ["symbol", "rn"], "left").select(*bars_idx.columns, *marks)
+
+
 def with_forward(panel: Panel, p: Params = DEFAULT) -> Panel:
     """Each bar gets its next ``max_horizon`` bars as two arrays of structs (h, l, c, m).
 
+    Of bars that ``mark`` has marked only the core bars that a trade enters are left, with the arrays of the
+    sides on which they are entered (null for the other); unmarked bars all get both.
+
     ``fwd_long`` holds the bars as they are, with m = running max of the long
     trailing level (c - k*atr); ``fwd_short`` holds them mirrored (prices
     negated, high and low swapped) with m = running max of -(c + k*atr), so a
@@ -89,8 +107,12 @@ def with_forward(panel: Panel, p: Params = DEFAULT) -> Panel:
 
     longs = ", ".join(f"struct(_h{j} AS h, _l{j} AS l, _c{j} AS c, {upto('_tl', j)} AS m)" for j in steps)
     shorts = ", ".join(f"struct(-_l{j} AS h, -_h{j} AS l, -_c{j} AS c, {upto('_ts', j)} AS m)" for j in steps)
+    paths = [f"array({longs})", f"array({shorts})"]
+    if "enter_long" in panel.df.columns:
+        df = df.filter("core AND (enter_long OR enter_short)")
+        paths = [f"CASE WHEN enter_{side} THEN {path} END" for side, path in zip(SIDES, paths)]
     keep = [F.col(c) for c in panel.df.columns]
-    return panel.with_df(df.select(*keep, F.expr(f"array({longs})").alias("fwd_long"), F.expr(f"array({shorts})").alias("fwd_short")))
+    return panel.with_df(df.select(*keep, *[F.expr(path).alias(f"fwd_{side}") for side, path in zip(SIDES, paths)]))
 
 
 def entries(trades: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -105,8 +127,8 @@ def entries(trades: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return t
 
 
-def exit_table(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """First barrier-touch offsets of every (symbol, entry bar, side).
+def exit_table(bars: DataFrame, p: Params = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """First barrier-touch offsets of every (symbol, entry bar, side) that has a path, and the columns ``carry`` of the bar.
 
     The barriers of a scenario depend only on the entry bar's close and the
     side, so trades sharing an entry bar share this work (a hot bar is
@@ -120,8 +142,9 @@ def exit_table(bars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     k = p.cost
     H = p.max_horizon()
     tp_levels, sl_levels = list(p.tp_mults), list(p.sl_mults)
-    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"fwd_{side}").alias("fwd")) for side in ("long", "short")])
-    e = bars.select("symbol", F.col("rn").alias("entry_idx"), F.col("c").alias("entry_price"), F.inline(sides))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"fwd_{side}").alias("fwd")) for side in SIDES])
+    e = bars.select("symbol", F.col("rn").alias("entry_idx"), F.col("c").alias("entry_price"), *carry, F.inline(sides))
+    e = e.filter("fwd IS NOT NULL")
     long = F.col("side") == "long"
     sgn = F.when(long, F.lit(1.0)).otherwise(F.lit(-1.0))
     ep = F.col("entry_price")
@@ -153,9 +176,9 @@ def _first(condition: str, H: int):
 
 
 def evaluate(entry_rows: DataFrame, bars: DataFrame, scen: DataFrame, p: Params = DEFAULT,
-             partitions: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+             partitions: int | None = None, carry: tuple[str, ...] = (), carry_bar: tuple[str, ...] = ()) -> DataFrame:
     """One row per (trade, scenario): exit index, price, reason, pnl, bars held,
-    and the columns ``carry`` of the trade.
+    the columns ``carry`` of the trade and the columns ``carry_bar`` of its entry bar.
 
     Barriers stay live in every mode; the stop ratchets in ``atr_trail``
     (updated with the bar's close before its low is tested); at the horizon
@@ -167,7 +190,8 @@ def evaluate(entry_rows: DataFrame, bars: DataFrame, scen: DataFrame, p: Params
     k = p.cost
     tp_levels, sl_levels = list(p.tp_mults), list(p.sl_mults)
     horizons = sorted({int(x[5]) for x in scenario_rows(p)})
-    ex = exit_table(bars, p)
+    ex = exit_table(bars, p, carry_bar)
+    carry = (*carry, *carry_bar)
     sc = scen.select(
         "*",
         (F.array_position(F.array(*[F.lit(float(x)) for x in tp_levels]), F.col("tp_mult")) - 1).cast("int")
@@ -247,14 +271,15 @@ def best(results: DataFrame) -> DataFrame:
     return agg.select("trade_id", *[F.col("_b")[c].alias(c) for c in cols])
 
 
-def actual_and_best(results: DataFrame, base: int, carry: tuple[str, ...] = ()) -> DataFrame:
+def actual_and_best(results: DataFrame, base: int, carry: tuple[str, ...] = (), carry_bar: tuple[str, ...] = ()) -> DataFrame:
     """One row per trade, from one aggregate of its scenarios: trade_id, ``carry``, the structs
-    ``actual`` (scenario ``base``) and ``best`` (highest pnl, ties to the first scenario)."""
-    cols = [c for c in results.columns if c not in ("trade_id", *carry)]
-    row = F.struct(*cols)
+    ``actual`` (scenario ``base``, with the columns ``carry_bar``) and ``best`` (highest pnl, ties to the
+    first scenario)."""
+    cols = [c for c in results.columns if c not in ("trade_id", *carry, *carry_bar)]
     key = F.struct(F.col("pnl_pct"), (-F.col("scenario_id")).alias("neg_id"))
     agg = results.groupBy("trade_id", *carry).agg(
-        F.max(F.when(F.col("scenario_id") == base, row)).alias("actual"), F.max_by(row, key).alias("best"))
+        F.max(F.when(F.col("scenario_id") == base, F.struct(*cols, *carry_bar))).alias("actual"),
+        F.max_by(F.struct(*cols), key).alias("best"))
     return agg.filter("actual is not null")
 
 

@@ -10,8 +10,9 @@ from ..functions.exprs import rnd
 from ..operators import features_core, grid, joins, kpis, labels, regime
 from ..params import DEFAULT, Params
 from ..sources import fixtures
+from ..session import shared_dir
 from . import sqlparts as S
-from .layout import index, layout
+from .layout import Panel, index, layout
 from .registry import query
 
 BASE_SCENARIO = dict(entry_shift=0, exit_mode="tp_sl", tp_mult=1.0, sl_mult=1.0)
@@ -30,29 +31,32 @@ def entry_bars(spark, sf_dir, p: Params = DEFAULT) -> DataFrame:
     return joins.nearest_bar(bars, fixtures.trades(spark, sf_dir), bar_cols=("ts", "rn", "n"))
 
 
-def trade_paths(spark, sf_dir, p: Params = DEFAULT, with_regime: bool = False):
-    """(trades with entry bar, featured bars with paths)."""
-    bars = fixtures.bars_calm(spark, sf_dir)
-    pan = features_core.compute(layout(bars, p), p)
-    if with_regime:
-        pan = regime.classify(pan, p)
-    core = grid.with_forward(pan, p).core()
-    trades = entry_bars(spark, sf_dir, p).filter("bar_rn is not null")
-    return trades.withColumnsRenamed({"bar_rn": "e", "bar_n": "n"}), core
-
-
 def parallelism(spark) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def entry_rows(spark, sf_dir, p: Params = DEFAULT, with_regime: bool = False):
-    trades, core = trade_paths(spark, sf_dir, p, with_regime)
-    return grid.entries(trades, p), trades, core
+def entered(spark, sf_dir, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(indexed bars, trades with their entry bar ``e`` and the bars ``n`` of their symbol).
+
+    Both are narrow and read several times below, so each is written once to the shared folder."""
+    shared_dir(spark)
+    bars = index(fixtures.bars_calm(spark, sf_dir)).checkpoint()
+    trades = joins.nearest_bar(bars, fixtures.trades(spark, sf_dir), bar_cols=("ts", "rn", "n"))
+    trades = trades.filter("bar_rn is not null").withColumnsRenamed({"bar_rn": "e", "bar_n": "n"})
+    return bars, trades.checkpoint()
 
 
-def grid_results(spark, sf_dir, p: Params = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
-    ent, _, core = entry_rows(spark, sf_dir, p)
-    return grid.evaluate(ent, core, grid.scenarios(spark, p), p, parallelism(spark), carry)
+def entry_rows(spark, sf_dir, p: Params = DEFAULT) -> tuple[DataFrame, Panel]:
+    """(trades by entry shift, featured bars of which those that some entry uses are marked)."""
+    bars, trades = entered(spark, sf_dir, p)
+    ent = grid.entries(trades, p)
+    return ent, features_core.compute(layout(grid.mark(bars, ent), p, indexed=True), p)
+
+
+def grid_results(spark, sf_dir, p: Params = DEFAULT, carry: tuple[str, ...] = (), scenarios: DataFrame | None = None) -> DataFrame:
+    ent, pan = entry_rows(spark, sf_dir, p)
+    sc = grid.scenarios(spark, p) if scenarios is None else scenarios
+    return grid.evaluate(ent, grid.with_forward(pan, p).core(), sc, p, parallelism(spark), carry)
 
 
 # ---------------------------------------------------------------- oracle SQL
@@ -170,17 +174,14 @@ def q_grid_216(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scenario_eval", lambda: S.with_(*ctes_grid()) + f"SELECT {GRID_COLS_SQL} FROM res WHERE scenario_id = {base_scenario_id()}")
 def q_scenario_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base scenario (actual entry, tp_sl, 1x/1x) of every trade, long and short."""
-    ent, _, core = entry_rows(spark, sf_dir)
     sc = grid.scenarios(spark).filter(F.col("scenario_id") == base_scenario_id())
-    return _grid_select(grid.evaluate(ent, core, sc, partitions=parallelism(spark)))
+    return _grid_select(grid_results(spark, sf_dir, scenarios=sc))
 
 
 @query("scenario_trail", lambda: S.with_(*ctes_grid()) + f"SELECT {GRID_COLS_SQL} FROM res WHERE exit_mode = 'atr_trail'")
 def q_scenario_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ATR trailing-stop scenarios of every trade."""
-    ent, _, core = entry_rows(spark, sf_dir)
-    sc = grid.scenarios(spark).filter(F.col("trail"))
-    return _grid_select(grid.evaluate(ent, core, sc, partitions=parallelism(spark)))
+    return _grid_select(grid_results(spark, sf_dir, scenarios=grid.scenarios(spark).filter(F.col("trail"))))
 
 
 @query("best_policy", lambda: S.with_(*ctes_grid()) + f"SELECT {GRID_COLS_SQL} FROM rk WHERE rank = 1")
@@ -239,15 +240,14 @@ FROM nb LEFT JOIN bidx b ON b.symbol = nb.symbol AND b.rn > nb.bar_rn AND b.rn <
 GROUP BY nb.trade_id""")
 def q_trade_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each trade joined to the forward bars of its symbol (next 16): count, high, low."""
-    trades, core = trade_paths(spark, sf_dir)
-    H = DEFAULT.timeout_bars
-    tp = trades.join(core.select("symbol", F.col("rn").alias("e"), "fwd_long"), ["symbol", "e"])
-    fwd = F.filter(F.slice("fwd_long", 1, H), lambda x: x["c"].isNotNull())
-    return tp.select(
-        "trade_id", F.size(fwd).cast("long").alias("fwd_bars"),
-        rnd(F.array_max(F.transform(fwd, lambda x: x["h"]))).alias("fwd_high"),
-        rnd(F.array_min(F.transform(fwd, lambda x: x["l"]))).alias("fwd_low"),
-    )
+    bars, trades = entered(spark, sf_dir)
+    pan = layout(bars, indexed=True)
+    ahead = pan.w.rowsBetween(1, DEFAULT.timeout_bars)
+    paths = pan.with_df(pan.df.select(
+        "symbol", F.col("rn").alias("e"), "blk", "core", F.count(F.col("c")).over(ahead).alias("fwd_bars"),
+        F.max("h").over(ahead).alias("fwd_high"), F.min("l").over(ahead).alias("fwd_low"))).core()
+    return trades.select("trade_id", "symbol", "e").join(paths, ["symbol", "e"]).select(
+        "trade_id", "fwd_bars", rnd("fwd_high").alias("fwd_high"), rnd("fwd_low").alias("fwd_low"))
 
 
 # ---------------------------------------------------------------- flagship
@@ -256,18 +256,24 @@ REVIEW_FEATURES = ["vwap_dist", "atr_pct", "volume_ratio_5"]
 
 
 def trade_review_df(spark, sf_dir, p: Params = DEFAULT) -> DataFrame:
-    ent, _, core = entry_rows(spark, sf_dir, p, with_regime=True)
-    trade = ("symbol", "ts_open", "side", "qty", "e")
-    res = grid.evaluate(ent, core, grid.scenarios(spark, p), p, parallelism(spark), trade)
-    both = grid.actual_and_best(res, base_scenario_id(p), trade).select(
+    ent, pan = entry_rows(spark, sf_dir, p)
+    pan = regime.classify(pan, p)
+    # an entry without shift uses the trade's bar or, where that is the last one, the bar before it:
+    # the features of both go with the entry bar, so the bars are laid out once
+    at_entry = (*REVIEW_FEATURES, "regime")
+    pan = pan.with_df(pan.df.select("*", *[F.lead(c).over(pan.w).alias(f"next_{c}") for c in at_entry]))
+    core = grid.with_forward(pan, p).core()
+    trade, seen = ("symbol", "ts_open", "side", "qty", "e"), (*at_entry, *[f"next_{c}" for c in at_entry])
+    res = grid.evaluate(ent, core, grid.scenarios(spark, p), p, parallelism(spark), trade, seen)
+    out = grid.actual_and_best(res, base_scenario_id(p), trade, seen).select(
         "trade_id", *trade,
+        *[F.when(F.col("actual.entry_idx") == F.col("e"), F.col(f"actual.{c}")).otherwise(F.col(f"actual.next_{c}")).alias(c)
+          for c in at_entry],
         F.col("actual.pnl_pct").alias("actual_pnl"), F.col("actual.exit_reason").alias("actual_exit"),
         F.col("actual.bars_held").alias("actual_bars_held"),
         F.col("best.scenario_id").alias("best_scenario"), F.col("best.exit_mode").alias("best_exit_mode"),
         F.col("best.entry_shift").alias("best_shift"), F.col("best.tp_mult").alias("best_tp_mult"),
         F.col("best.sl_mult").alias("best_sl_mult"), F.col("best.pnl_pct").alias("best_pnl"))
-    feats = core.select("symbol", F.col("rn").alias("e"), *REVIEW_FEATURES, "regime")
-    out = both.join(feats, ["symbol", "e"])
     delta = F.col("best_pnl") - F.col("actual_pnl")
     return out.select(
         "trade_id", "symbol", "ts_open", "side", "qty", F.col("e").alias("entry_idx"),
