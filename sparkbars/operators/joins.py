@@ -90,3 +90,16 @@ def entry_window(bars_idx: DataFrame, entries: DataFrame, back: int = 20, ahead:
     offset = (F.col("rn") - F.col(at)).alias("offset")
     joined = reads.join(bars, [key, "_rows"]).filter((F.col("rn") >= F.col(at) - back) & (F.col("rn") < F.col(at) + ahead))
     return joined.select(*entries.columns, offset, *[c for c in bars_idx.columns if c not in (key, "rn")])
+
+
+def trade_marks(entries: DataFrame, price: str = "entry_px", target: str = "tp", stop: str = "sl") -> DataFrame:
+    """The marks of a trade on its chart: an entry point at the nearest bar, and a target and a stop line where
+    the trade has such a price (null and zero: none).
+
+    ``entries``: trade_id, symbol, bar_ts and the three price columns. Trades without a bar have no marks.
+    Returns trade_id, symbol, kind ('entry', 'target', 'stop'), ts (of the entry's bar; null for lines), price."""
+    no_ts = F.lit(None).cast(entries.schema["bar_ts"].dataType)
+    marks = F.array(*[F.struct(F.lit(kind).alias("kind"), ts.alias("ts"), F.col(c).alias("price"))
+                      for kind, ts, c in (("entry", F.col("bar_ts"), price), ("target", no_ts, target), ("stop", no_ts, stop))])
+    out = entries.filter(F.col("bar_ts").isNotNull()).select("trade_id", "symbol", F.inline(marks))
+    return out.filter((F.col("kind") == "entry") | (F.col("price") != 0))

@@ -155,6 +155,28 @@ def q_nearest_bar_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entry_bars(spark, sf_dir).select("trade_id", "symbol", "ts_open", "bar_ts", "bar_rn")
 
 
+def _line(side_up: str, pct: str) -> str:
+    """Price of a line ``pct`` away from the entry, on the ``side_up`` trade's upper side."""
+    return f"entry_px * (CASE WHEN side = '{side_up}' THEN 1.0 + {pct} ELSE 1.0 - {pct} END)"
+
+
+#: Lines of the fixture's trades: a target 1 % and a stop 0.5 % away; a quantity divisible by 4 has no
+#: target, one divisible by 5 a stop of zero.
+TARGET_SQL = f"CASE WHEN qty % 4 <> 0 THEN {_line('long', '0.01')} END"
+STOP_SQL = f"CASE WHEN qty % 5 = 0 THEN 0.0 ELSE {_line('short', '0.005')} END"
+
+
+@query("trade_marks", lambda: S.with_(S.ctes_bars_calm(), S.ctes_trades(), ctes_index_calm(), ctes_nearest(),
+       f"lines AS (SELECT *, {TARGET_SQL} AS tp, {STOP_SQL} AS sl FROM nb)") + f"""
+SELECT trade_id, symbol, 'entry' AS kind, bar_ts AS ts, {S.R('entry_px')} AS price FROM lines
+UNION ALL SELECT trade_id, symbol, 'target', NULL, {S.R('tp')} FROM lines WHERE tp <> 0
+UNION ALL SELECT trade_id, symbol, 'stop', NULL, {S.R('sl')} FROM lines WHERE sl <> 0""")
+def q_trade_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry point at the nearest bar, target line and stop line of every trade."""
+    entries = entry_bars(spark, sf_dir).selectExpr("*", f"{TARGET_SQL} AS tp", f"{STOP_SQL} AS sl")
+    return joins.trade_marks(entries).select("trade_id", "symbol", "kind", "ts", rnd("price").alias("price"))
+
+
 @query("entry_window", lambda: S.with_(S.ctes_bars_calm(), S.ctes_trades(), ctes_index_calm(), ctes_nearest()) + (
     f"SELECT nb.trade_id, nb.symbol, CAST(b.rn - nb.bar_rn AS BIGINT) AS \"offset\", b.ts, {S.R('b.o')} AS o, {S.R('b.h')} AS h, "
     f"{S.R('b.l')} AS l, {S.R('b.c')} AS c FROM nb JOIN bidx b ON b.symbol = nb.symbol AND b.rn >= nb.bar_rn - 20 AND b.rn < nb.bar_rn + 30"))

@@ -346,17 +346,18 @@ def q_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ review sinks
 
-def _review_rows(spark, sf_dir) -> DataFrame:
+def _review_rows(spark, sf_dir, bars=fixtures.bars_panel) -> DataFrame:
     from ..operators import labels
     from .q_features import regime_panel
 
-    return labels.meta_labels(regime_panel(fixtures.bars_panel(spark, sf_dir))).core()
+    return labels.meta_labels(regime_panel(bars(spark, sf_dir))).core()
 
 
-def _review_ctes() -> list[str]:
+def _review_ctes(bars: str = "bars_panel") -> list[str]:
     from .q_labels import ctes_meta
 
-    return [S.ctes_bars_panel(), S.ctes_core_features("bars_panel"), S.ctes_regime(), ctes_meta("reg")]
+    source = {"bars_panel": S.ctes_bars_panel, "bars_user": S.ctes_bars_user}[bars]
+    return [source(), S.ctes_core_features(bars), S.ctes_regime(), ctes_meta("reg")]
 
 
 @query("export_bars", lambda: S.with_(*_review_ctes()) + (
@@ -388,6 +389,44 @@ def q_sink_trades_review(spark: SparkSession, sf_dir: str) -> DataFrame:
                        rnd("realized_return", 8).alias("realized_return"), rnd("atr_pct").alias("atr_pct"))
 
 
+#: Columns of a review file, in its order.
+REVIEW_COLUMNS = [
+    "ts", "symbol", "o", "h", "l", "c", "v", "vwap", "vwap_dist", "vwap_slope", "tr", "atr", "atr_pct", "returns",
+    "realized_vol", "volume_ratio_2", "volume_ratio_5", "volume_ratio_10", "hour", "minute", "hour_sin", "hour_cos",
+    "session_phase", "base_score", "up_bar", "directional_count", "atr_expansion", "regime", "meta_label",
+    "realized_return", "exit_reason", "label", "pnl_pct", "bars_held"]
+REVIEW_LONG = {"v", "hour", "minute", "session_phase", "up_bar", "directional_count", "meta_label", "label", "bars_held"}
+REVIEW_TEXT = {"ts", "symbol", "regime", "exit_reason"}
+
+
+def _review_column_sql(c: str) -> str:
+    src = {"label": "meta_label", "pnl_pct": "realized_return"}.get(c, c)
+    if c in REVIEW_TEXT:
+        return c
+    return f"CAST({src} AS BIGINT) AS {c}" if c in REVIEW_LONG else f"{S.R(src)} AS {c}"
+
+
+def review_file_rows(rows: DataFrame) -> DataFrame:
+    """Labelled bars with all columns of a review file: label is the meta-label, pnl_pct the realised return."""
+    return rows.withColumns({"label": F.col("meta_label"), "pnl_pct": F.col("realized_return")}).select(*REVIEW_COLUMNS)
+
+
+@query("review_by_date", lambda: S.with_(*_review_ctes("bars_user")) + (
+    "SELECT " + ", ".join(_review_column_sql(c) for c in REVIEW_COLUMNS) + ", CAST(CAST(ts AS DATE) AS VARCHAR) AS review_date FROM ml"))
+def q_review_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole review rows (34 columns) of the intraday bars as CSV by review date; then the latest day is
+    read alone and written once more, which replaces it and leaves the others. Read back."""
+    path = scratch_path(spark, "review-by-date")
+    rows = review_file_rows(_review_rows(spark, sf_dir, fixtures.bars_user))
+    files.write_review(rows, path)
+    latest = fixtures.bars_user(spark, sf_dir).agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).first()[0]
+    if latest is not None:
+        again = files.read_review(spark, path, rows.schema, [latest]).drop("review_date")
+        files.write_review(again.checkpoint(), path)
+    back = files.read_review(spark, path, rows.schema)
+    return back.select("review_date", *[c if c in REVIEW_TEXT | REVIEW_LONG else rnd(c).alias(c) for c in REVIEW_COLUMNS])
+
+
 REGIME_NAMES = ["trend", "chop", "breakout", "unknown"]
 
 

@@ -127,3 +127,21 @@ def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
+
+
+def write_review(rows: DataFrame, path: str) -> None:
+    """Review rows as CSV, one directory for a day (of ``ts``). Days that ``rows`` have are replaced whole,
+    so a day can be written again; others stay.
+
+    Rows are range-partitioned by time, so a day's files come from few tasks and a day that holds most rows
+    is spread over several."""
+    (rows.withColumn("review_date", F.date_format("ts", "yyyy-MM-dd")).repartitionByRange("ts", "symbol")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("review_date")
+     .option("header", True).option("escape", '"').option("timestampNTZFormat", TS_TEXT).csv(path))
+
+
+def read_review(spark: SparkSession, path: str, schema: T.StructType, days: list[str] | None = None) -> DataFrame:
+    """Review rows of all days or of ``days`` (yyyy-MM-dd; only their directories are read), with ``review_date``."""
+    full = T.StructType([*schema.fields, T.StructField("review_date", T.StringType())])
+    df = spark.read.option("header", True).option("escape", '"').option("timestampNTZFormat", TS_TEXT).schema(full).csv(path)
+    return df.filter(F.col("review_date").isin(days)) if days else df
