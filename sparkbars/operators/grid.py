@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import ieee_div
+from ..functions.exprs import ieee_div, rnd
 from ..params import DEFAULT, Params
 from ..plans.layout import Panel
 from .labels import barrier_multipliers
@@ -271,6 +271,18 @@ def best(results: DataFrame) -> DataFrame:
     return agg.select("trade_id", *[F.col("_b")[c].alias(c) for c in cols])
 
 
+def best_policy_of(results: DataFrame, *keys: str, digits: int = 10) -> DataFrame:
+    """The scenario with the highest mean pnl over all trades of each of ``keys`` (means rounded to ``digits``
+    places, so that equal ones are equal; ties to the first scenario), with ``mean_pnl`` and ``trades``.
+
+    Trades are first brought to one row for each of keys and scenario, so a hot key is at most 216 rows."""
+    policy = ["scenario_id", "exit_mode", "entry_shift", "tp_mult", "sl_mult"]
+    means = results.groupBy(*keys, *policy).agg(rnd(F.avg("pnl_pct"), digits).alias("mean_pnl"), F.count(F.lit(1)).alias("trades"))
+    key = F.struct(F.col("mean_pnl"), (-F.col("scenario_id")).alias("neg_id"))
+    best_row = means.groupBy(*keys).agg(F.max_by(F.struct(*policy, "mean_pnl", "trades"), key).alias("_b"))
+    return best_row.select(*keys, "_b.*")
+
+
 def actual_and_best(results: DataFrame, base: int, carry: tuple[str, ...] = (), carry_bar: tuple[str, ...] = ()) -> DataFrame:
     """One row per trade, from one aggregate of its scenarios: trade_id, ``carry``, the structs
     ``actual`` (scenario ``base``, with the columns ``carry_bar``) and ``best`` (highest pnl, ties to the

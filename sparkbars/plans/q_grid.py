@@ -329,3 +329,41 @@ JOIN res x ON x.trade_id = a.trade_id AND x.scenario_id = {base_scenario_id()}""
 def q_trade_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 (flagship): trade, features and regime at entry, actual vs best policy, delta PnL/R, verdict."""
     return trade_review_df(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- daily summary
+
+def _daily_sql() -> str:
+    from .q_io import summary_select
+    from .q_labels import ctes_meta
+
+    parts = [*ctes_grid(), S.ctes_regime("feat"), ctes_meta("reg")]
+    return S.with_(*parts, "dm AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS review_date FROM ml)",
+                   f"ds AS ({summary_select('symbol, review_date', 'dm')})", f"""dp AS (
+  SELECT r.symbol, CAST(CAST(t.ts_open AS DATE) AS VARCHAR) AS review_date, r.scenario_id, r.exit_mode, r.entry_shift, r.tp_mult, r.sl_mult,
+         {S.R('avg(r.pnl_pct)', 10)} AS mean_pnl, count(*) AS trades
+  FROM res r JOIN trades t ON t.trade_id = r.trade_id GROUP BY ALL),
+db AS (SELECT *, row_number() OVER (PARTITION BY symbol, review_date ORDER BY mean_pnl DESC, scenario_id) AS k FROM dp)""") + f"""
+SELECT ds.*, coalesce(db.trades, 0) AS trades, db.scenario_id AS best_scenario, db.exit_mode AS best_exit_mode,
+       CAST(db.entry_shift AS BIGINT) AS best_shift, db.tp_mult AS best_tp_mult, db.sl_mult AS best_sl_mult, {S.R('db.mean_pnl', 8)} AS best_pnl
+FROM ds LEFT JOIN db ON db.symbol = ds.symbol AND db.review_date = ds.review_date AND db.k = 1"""
+
+
+@query("review_summary_by_date", _daily_sql)
+def q_review_summary_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a symbol and day: bars, signals, win rate, avg R, profit factor, regime %, and the exit
+    policy with the highest mean pnl over the trades opened that day (none: nulls)."""
+    from . import q_io
+
+    p = DEFAULT
+    ent, pan = entry_rows(spark, sf_dir, p)
+    labelled = labels.meta_labels(regime.classify(pan, p), p).core()
+    days = q_io.review_summary(labelled.withColumn("review_date", F.date_format("ts", "yyyy-MM-dd")), "symbol", "review_date")
+    ent = ent.withColumn("review_date", F.date_format("ts_open", "yyyy-MM-dd"))
+    key = ("symbol", "review_date")
+    res = grid.evaluate(ent, grid.with_forward(pan, p).core(), grid.scenarios(spark, p), p, parallelism(spark), key)
+    both = days.join(grid.best_policy_of(res, *key), list(key), "left")
+    return q_io.summary_out(
+        both, *key, F.coalesce("trades", F.lit(0)).alias("trades"), F.col("scenario_id").alias("best_scenario"),
+        F.col("exit_mode").alias("best_exit_mode"), F.col("entry_shift").cast("long").alias("best_shift"),
+        F.col("tp_mult").alias("best_tp_mult"), F.col("sl_mult").alias("best_sl_mult"), rnd("mean_pnl", 8).alias("best_pnl"))

@@ -430,31 +430,28 @@ def q_review_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGIME_NAMES = ["trend", "chop", "breakout", "unknown"]
 
 
-def _summary_sql() -> str:
+def summary_select(keys: str = "symbol", src: str = "ml") -> str:
     thr = DEFAULT.signal_threshold
     pcts = ", ".join(f"{S.R(f'count(*) FILTER (WHERE regime = {chr(39)}{r}{chr(39)}) / count(*) * 100.0')} AS {r}_pct"
                      for r in REGIME_NAMES)
     x = "realized_return"
-    return S.with_(*_review_ctes()) + f"""
-SELECT symbol, count(*) AS bars, count(*) FILTER (WHERE base_score > {thr}) AS signals,
+    return f"""
+SELECT {keys}, count(*) AS bars, count(*) FILTER (WHERE base_score > {thr}) AS signals,
   {S.R(f'coalesce(count(*) FILTER (WHERE base_score > {thr} AND {x} > 0) / nullif(count(*) FILTER (WHERE base_score > {thr}), 0), 0.0)', 8)} AS win_rate,
   {S.R(f'coalesce(avg({x} / {DEFAULT.risk_per_trade!r}) FILTER (WHERE base_score > {thr}), 0.0)', 8)} AS avg_r,
   {S.R(f'''CASE WHEN sum({x}) FILTER (WHERE base_score > {thr} AND {x} <= 0) != 0
        THEN abs(coalesce(sum({x}) FILTER (WHERE base_score > {thr} AND {x} > 0), 0.0) / sum({x}) FILTER (WHERE base_score > {thr} AND {x} <= 0)) ELSE 0.0 END''', 8)} AS profit_factor,
   {pcts}
-FROM ml GROUP BY symbol"""
+FROM {src} GROUP BY {keys}"""
 
 
-@query("sink_review_summary", _summary_sql)
-def q_sink_review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-symbol review summary (bars, signals, win rate, avg R, profit factor, regime %),
-    written as a Parquet table and read back."""
-    rows = _review_rows(spark, sf_dir)
+def review_summary(rows: DataFrame, *keys: str) -> DataFrame:
+    """Bars, signals, win rate, avg R, profit factor and regime shares of labelled bars for each of ``keys``."""
     x, sig = F.col("realized_return"), F.col("base_score") > DEFAULT.signal_threshold
     n_sig = F.count_if(sig)
     loss_sum = F.sum(F.when(sig & (x <= 0), x))
     win_sum = F.coalesce(F.sum(F.when(sig & (x > 0), x)), F.lit(0.0))
-    s = rows.groupBy("symbol").agg(
+    return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("bars"), n_sig.alias("signals"),
         F.coalesce(F.count_if(sig & (x > 0)) / F.nullif(n_sig, F.lit(0)), F.lit(0.0)).alias("win_rate"),
         F.coalesce(F.avg(F.when(sig, x / F.lit(DEFAULT.risk_per_trade))), F.lit(0.0)).alias("avg_r"),
@@ -463,12 +460,23 @@ def q_sink_review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[(F.count_if(F.col("regime") == r) / F.count(F.lit(1)) * F.lit(100.0)).alias(f"{r}_pct")
           for r in REGIME_NAMES],
     )
+
+
+SUMMARY_DOUBLES = ["win_rate", "avg_r", "profit_factor"]
+
+
+def summary_out(df: DataFrame, *others) -> DataFrame:
+    return df.select(*others, "bars", "signals", *[rnd(c, 8).alias(c) for c in SUMMARY_DOUBLES],
+                     *[rnd(f"{r}_pct").alias(f"{r}_pct") for r in REGIME_NAMES])
+
+
+@query("sink_review_summary", lambda: S.with_(*_review_ctes()) + summary_select())
+def q_sink_review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-symbol review summary (bars, signals, win rate, avg R, profit factor, regime %),
+    written as a Parquet table and read back."""
     path = scratch_path(spark, "summary")
-    s.write.mode("overwrite").parquet(path)
-    back = spark.read.parquet(path)
-    dbl = ["win_rate", "avg_r", "profit_factor"]
-    return back.select("symbol", "bars", "signals", *[rnd(c, 8).alias(c) for c in dbl],
-                       *[rnd(f"{r}_pct").alias(f"{r}_pct") for r in REGIME_NAMES])
+    review_summary(_review_rows(spark, sf_dir), "symbol").write.mode("overwrite").parquet(path)
+    return summary_out(spark.read.parquet(path), "symbol")
 
 
 @query("scan_symbol_join", lambda: S.with_(S.ctes_bars_calm(), S.ctes_trades(), """sm AS (

@@ -9,7 +9,8 @@ FAST = ["core_features", "regime", "regime_stats", "dominant_regime", "triple_ba
         "meta_labels", "trade_kpis", "regime_kpis", "nearest_bar_join", "best_policy", "trade_review",
         "wide_features", "macd", "advanced_metrics", "trading_signals", "insights", "log_trade_entries",
         "log_scanner_rows", "resample_bars", "src_csv_bars", "src_candle_json", "store_catalog", "clamp_duration",
-        "review_windows", "score_metrics", "purged_split", "stream_bars"]
+        "review_windows", "score_metrics", "purged_split", "stream_bars", "trade_marks", "review_by_date",
+        "review_summary_by_date", "trade_path_join", "scenario_trail", "delta_r"]
 
 
 @pytest.fixture(scope="module")

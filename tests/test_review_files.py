@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from sparkbars.operators.grid import best_policy_of
 from sparkbars.operators.joins import trade_marks
 from sparkbars.sources import files
 
@@ -37,3 +38,14 @@ def test_marks(spark):
         (1, "entry", t, 10.0), (1, "stop", None, 9.0), (1, "target", None, 11.0), (2, "entry", t, 10.0),
         (4, "entry", t, None), (4, "stop", None, 9.0)]
     assert trade_marks(df.limit(0)).count() == 0
+
+
+def test_best_policy_by_mean_ties_to_the_first(spark):
+    rows = [("A", t, s, "tp_sl", 0, 1.0, 1.0, pnl) for t, s, pnl in
+            [(1, 0, 0.1), (2, 0, 0.2), (3, 0, 0.3), (1, 1, 0.3), (2, 1, 0.2), (3, 1, 0.1), (1, 2, 0.5), (2, 2, 0.0), (3, 2, 0.0)]]
+    rows += [("B", 4, 7, "time_5", 1, 2.0, 0.5, -0.5), ("B", 4, 5, "time_5", 1, 2.0, 0.5, -0.5)]
+    df = spark.createDataFrame(rows, "symbol string, trade_id long, scenario_id long, exit_mode string, entry_shift int, "
+                                     "tp_mult double, sl_mult double, pnl_pct double")
+    got = sorted((r.symbol, r.scenario_id, r.mean_pnl, r.trades) for r in best_policy_of(df.repartition(5), "symbol").collect())
+    assert got == [("A", 0, 0.2, 3), ("B", 5, -0.5, 1)]
+    assert best_policy_of(df.limit(0), "symbol").count() == 0
