@@ -1,8 +1,11 @@
 """Exit-policy grid: every trade re-simulated under 216 alternative entries
 and exits (entry shift x exit mode x take-profit x stop-loss multiplier).
 
-Plan: every trade is expanded to its entry shifts, and the bars that some
-entry uses are marked by side before the bars are laid out (``mark``). Each
+Plan: trades that enter one bar on one side share their results, so the grid
+runs once per distinct entry (``units``) and its results are joined to the
+trades at the end (``of_trades``), never sorted or ranked per trade. Every unit
+is expanded to its entry shifts, and the bars that some entry uses are marked
+by side before the bars are laid out (``mark``). Each
 bar sees its next bars through ``lead`` over the shared (symbol, blk) window
 (exact thanks to the halo), with the running trailing-stop level; bars that no
 trade enters end there. For the others the first offsets at which each
@@ -67,6 +70,28 @@ def scenarios(spark: SparkSession, p: Params = DEFAULT) -> DataFrame:
 
 
 SIDES = ("long", "short")
+#: All that the results of a trade depend on: the bar it entered, the bars of its symbol, its side.
+USE = ("symbol", "e", "n", "side")
+
+
+def with_uses(trades: DataFrame, *keys: str) -> DataFrame:
+    """One row per ``keys`` with ``uses``: the entries (``USE``) of its rows, in order, repeats included."""
+    w = Window.partitionBy(*keys).orderBy(*USE)
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    got = trades.select(*keys, F.collect_list(F.struct(*USE)).over(every).alias("uses"), F.row_number().over(w).alias("_k"))
+    return got.filter("_k = 1").drop("_k")
+
+
+def units(trades: DataFrame) -> DataFrame:
+    """The distinct ``uses`` as trades: ``trade_id`` is the uses, one row for each of its entries.
+
+    Trades that enter the same bar on the same side have the same results, so the grid is run once for them."""
+    return trades.select(F.col("uses").alias("trade_id")).distinct().select("trade_id", F.inline("trade_id"))
+
+
+def of_trades(trades: DataFrame, results: DataFrame) -> DataFrame:
+    """``trades`` (with ``uses``) joined to the results of their units, each to all rows of its own."""
+    return trades.join(results.withColumnRenamed("trade_id", "uses"), "uses").drop("uses")
 
 
 def mark(bars_idx: DataFrame, entry_rows: DataFrame) -> DataFrame:
@@ -271,13 +296,17 @@ def best(results: DataFrame) -> DataFrame:
     return agg.select("trade_id", *[F.col("_b")[c].alias(c) for c in cols])
 
 
-def best_policy_of(results: DataFrame, *keys: str, digits: int = 10) -> DataFrame:
+def best_policy_of(results: DataFrame, *keys: str, digits: int = 10, weight: str | None = None) -> DataFrame:
     """The scenario with the highest mean pnl over all trades of each of ``keys`` (means rounded to ``digits``
     places, so that equal ones are equal; ties to the first scenario), with ``mean_pnl`` and ``trades``.
+    A row of ``results`` stands for as many trades as its column ``weight`` says (none: one).
 
     Trades are first brought to one row for each of keys and scenario, so a hot key is at most 216 rows."""
     policy = ["scenario_id", "exit_mode", "entry_shift", "tp_mult", "sl_mult"]
-    means = results.groupBy(*keys, *policy).agg(rnd(F.avg("pnl_pct"), digits).alias("mean_pnl"), F.count(F.lit(1)).alias("trades"))
+    mean, trades = F.avg("pnl_pct"), F.count(F.lit(1))
+    if weight:
+        mean, trades = F.sum(F.col("pnl_pct") * F.col(weight)) / F.sum(F.when(F.col("pnl_pct").isNotNull(), F.col(weight))), F.sum(weight)
+    means = results.groupBy(*keys, *policy).agg(rnd(mean, digits).alias("mean_pnl"), trades.alias("trades"))
     key = F.struct(F.col("mean_pnl"), (-F.col("scenario_id")).alias("neg_id"))
     best_row = means.groupBy(*keys).agg(F.max_by(F.struct(*policy, "mean_pnl", "trades"), key).alias("_b"))
     return best_row.select(*keys, "_b.*")

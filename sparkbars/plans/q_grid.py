@@ -3,6 +3,8 @@ trade paths and the end-to-end trade review."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,28 +37,58 @@ def parallelism(spark) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Units whose scenarios (216 rows each) a task evaluates and ranks.
+TASK_UNITS = 2000
+
+
+def placed(spark, sf_dir, bars: DataFrame, trades: DataFrame) -> DataFrame:
+    """Trades with their entry bar ``e`` and the bars ``n`` of their symbol; those without a bar are left out."""
+    near = joins.nearest_bar(bars, trades, bar_cols=("ts", "rn", "n"))
+    return near.filter("bar_rn is not null").withColumnsRenamed({"bar_rn": "e", "bar_n": "n"})
+
+
 def entered(spark, sf_dir, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(indexed bars, trades with their entry bar ``e`` and the bars ``n`` of their symbol).
 
     Both are narrow and read several times below, so each is written once to the shared folder."""
     shared_dir(spark)
     bars = index(fixtures.bars_calm(spark, sf_dir)).checkpoint()
-    trades = joins.nearest_bar(bars, fixtures.trades(spark, sf_dir), bar_cols=("ts", "rn", "n"))
-    trades = trades.filter("bar_rn is not null").withColumnsRenamed({"bar_rn": "e", "bar_n": "n"})
-    return bars, trades.checkpoint()
+    return bars, placed(spark, sf_dir, bars, fixtures.trades(spark, sf_dir)).checkpoint()
 
 
-def entry_rows(spark, sf_dir, p: Params = DEFAULT) -> tuple[DataFrame, Panel]:
-    """(trades by entry shift, featured bars of which those that some entry uses are marked)."""
-    bars, trades = entered(spark, sf_dir, p)
-    ent = grid.entries(trades, p)
-    return ent, features_core.compute(layout(grid.mark(bars, ent), p, indexed=True), p)
+@dataclass
+class Entries:
+    """``trades``: the keys and their ``uses``; ``rows``: their units by entry shift; ``panel``: featured bars of
+    which those that some unit uses are marked; ``tasks``: into how many the evaluation is dealt."""
 
+    trades: DataFrame
+    rows: DataFrame
+    panel: Panel
+    tasks: int
 
-def grid_results(spark, sf_dir, p: Params = DEFAULT, carry: tuple[str, ...] = (), scenarios: DataFrame | None = None) -> DataFrame:
-    ent, pan = entry_rows(spark, sf_dir, p)
+
+def entry_rows(spark, sf_dir, p: Params = DEFAULT, keys: tuple[str, ...] = ("trade_id",), pooled: bool = True) -> Entries:
+    """Entries of the trades, one row per ``keys`` whose rows are ranked together or, not ``pooled``, one per trade.
+
+    Bars, trades and units are read several times, so each is written once to the shared folder."""
+    shared_dir(spark)
+    bars = index(fixtures.bars_calm(spark, sf_dir)).checkpoint()
+    trades = fixtures.trades(spark, sf_dir)
+    trades = placed(spark, sf_dir, bars, trades.select(*[c for c in trades.columns if c in (*keys, "symbol", "ts_open", "side")]))
+    trades = grid.with_uses(trades, *keys) if pooled else trades.select(*keys, F.array(F.struct(*grid.USE)).alias("uses"))
+    trades = trades.checkpoint()
+    units = grid.units(trades).checkpoint()
+    ent = grid.entries(units, p)
+    pan = features_core.compute(layout(grid.mark(bars, ent), p, indexed=True), p)
+    return Entries(trades, ent, pan, max(parallelism(spark), -(-units.count() // TASK_UNITS)))
+
+
+def grid_results(spark, sf_dir, p: Params = DEFAULT, keys: tuple[str, ...] = ("trade_id",), scenarios: DataFrame | None = None,
+                 pooled: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(trades with their uses, results of the units)."""
+    ent = entry_rows(spark, sf_dir, p, keys, pooled)
     sc = grid.scenarios(spark, p) if scenarios is None else scenarios
-    return grid.evaluate(ent, grid.with_forward(pan, p).core(), sc, p, parallelism(spark), carry)
+    return ent.trades, grid.evaluate(ent.rows, grid.with_forward(ent.panel, p).core(), sc, p, ent.tasks)
 
 
 # ---------------------------------------------------------------- oracle SQL
@@ -190,37 +222,42 @@ def q_entry_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("grid_216", lambda: S.with_(*ctes_grid()) + f"SELECT {GRID_COLS_SQL}, rank FROM rk")
 def q_grid_216(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3 (with C1, C2): all 216 scenarios of every trade, ranked by pnl (ties: grid order)."""
-    return _grid_select(grid.ranked(grid_results(spark, sf_dir)), "rank")
+    trades, res = grid_results(spark, sf_dir)
+    return _grid_select(grid.of_trades(trades, grid.ranked(res)), "rank")
 
 
 @query("scenario_eval", lambda: S.with_(*ctes_grid()) + f"SELECT {GRID_COLS_SQL} FROM res WHERE scenario_id = {base_scenario_id()}")
 def q_scenario_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base scenario (actual entry, tp_sl, 1x/1x) of every trade, long and short."""
     sc = grid.scenarios(spark).filter(F.col("scenario_id") == base_scenario_id())
-    return _grid_select(grid_results(spark, sf_dir, scenarios=sc))
+    return _grid_select(grid.of_trades(*grid_results(spark, sf_dir, scenarios=sc, pooled=False)))
 
 
 @query("scenario_trail", lambda: S.with_(*ctes_grid()) + f"SELECT {GRID_COLS_SQL} FROM res WHERE exit_mode = 'atr_trail'")
 def q_scenario_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ATR trailing-stop scenarios of every trade."""
-    return _grid_select(grid_results(spark, sf_dir, scenarios=grid.scenarios(spark).filter(F.col("trail"))))
+    sc = grid.scenarios(spark).filter(F.col("trail"))
+    return _grid_select(grid.of_trades(*grid_results(spark, sf_dir, scenarios=sc, pooled=False)))
 
 
 @query("best_policy", lambda: S.with_(*ctes_grid()) + f"SELECT {GRID_COLS_SQL} FROM rk WHERE rank = 1")
 def q_best_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4: best scenario per trade."""
-    return _grid_select(grid.best(grid_results(spark, sf_dir)))
+    trades, res = grid_results(spark, sf_dir)
+    return _grid_select(grid.of_trades(trades, grid.best(res)))
 
 
 @query("top_k_scenarios", lambda: S.with_(*ctes_grid()) + f"SELECT {GRID_COLS_SQL}, rank FROM rk WHERE rank <= 10")
 def q_top_k_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best scenarios per trade."""
-    return _grid_select(grid.top_k(grid_results(spark, sf_dir), 10), "rank")
+    trades, res = grid_results(spark, sf_dir)
+    return _grid_select(grid.of_trades(trades, grid.top_k(res, 10)), "rank")
 
 
 def actual_vs_best(spark, sf_dir, p: Params = DEFAULT) -> DataFrame:
     """Each trade's base-scenario result beside its best scenario."""
-    both = grid.actual_and_best(grid_results(spark, sf_dir, p, ("symbol",)), base_scenario_id(p), ("symbol",))
+    trades, res = grid_results(spark, sf_dir, p, ("trade_id", "symbol"))
+    both = grid.of_trades(trades, grid.actual_and_best(res, base_scenario_id(p)))
     return both.select("trade_id", "symbol", F.col("actual.pnl_pct").alias("actual_pnl"),
                        F.col("actual.exit_reason").alias("actual_exit"), "best.*")
 
@@ -278,17 +315,17 @@ REVIEW_FEATURES = ["vwap_dist", "atr_pct", "volume_ratio_5"]
 
 
 def trade_review_df(spark, sf_dir, p: Params = DEFAULT) -> DataFrame:
-    ent, pan = entry_rows(spark, sf_dir, p)
-    pan = regime.classify(pan, p)
+    trade = ("symbol", "ts_open", "side", "qty")
+    ent = entry_rows(spark, sf_dir, p, ("trade_id", *trade, "e"))
+    pan = regime.classify(ent.panel, p)
     # an entry without shift uses the trade's bar or, where that is the last one, the bar before it:
     # the features of both go with the entry bar, so the bars are laid out once
     at_entry = (*REVIEW_FEATURES, "regime")
     pan = pan.with_df(pan.df.select("*", *[F.lead(c).over(pan.w).alias(f"next_{c}") for c in at_entry]))
-    core = grid.with_forward(pan, p).core()
-    trade, seen = ("symbol", "ts_open", "side", "qty", "e"), (*at_entry, *[f"next_{c}" for c in at_entry])
-    res = grid.evaluate(ent, core, grid.scenarios(spark, p), p, parallelism(spark), trade, seen)
-    out = grid.actual_and_best(res, base_scenario_id(p), trade, seen).select(
-        "trade_id", *trade,
+    core, seen = grid.with_forward(pan, p).core(), (*at_entry, *[f"next_{c}" for c in at_entry])
+    res = grid.evaluate(ent.rows, core, grid.scenarios(spark, p), p, ent.tasks, carry_bar=seen)
+    out = grid.of_trades(ent.trades, grid.actual_and_best(res, base_scenario_id(p), carry_bar=seen)).select(
+        "trade_id", *trade, "e",
         *[F.when(F.col("actual.entry_idx") == F.col("e"), F.col(f"actual.{c}")).otherwise(F.col(f"actual.next_{c}")).alias(c)
           for c in at_entry],
         F.col("actual.pnl_pct").alias("actual_pnl"), F.col("actual.exit_reason").alias("actual_exit"),
@@ -356,13 +393,14 @@ def q_review_summary_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import q_io
 
     p = DEFAULT
-    ent, pan = entry_rows(spark, sf_dir, p)
-    labelled = labels.meta_labels(regime.classify(pan, p), p).core()
+    ent = entry_rows(spark, sf_dir, p, ("symbol", "ts_open"), pooled=False)
+    labelled = labels.meta_labels(regime.classify(ent.panel, p), p).core()
     days = q_io.review_summary(labelled.withColumn("review_date", F.date_format("ts", "yyyy-MM-dd")), "symbol", "review_date")
-    ent = ent.withColumn("review_date", F.date_format("ts_open", "yyyy-MM-dd"))
     key = ("symbol", "review_date")
-    res = grid.evaluate(ent, grid.with_forward(pan, p).core(), grid.scenarios(spark, p), p, parallelism(spark), key)
-    both = days.join(grid.best_policy_of(res, *key), list(key), "left")
+    trades = ent.trades.withColumn("review_date", F.date_format("ts_open", "yyyy-MM-dd"))
+    trades = trades.groupBy(*key, "uses").agg(F.count(F.lit(1)).alias("alike"))
+    res = grid.evaluate(ent.rows, grid.with_forward(ent.panel, p).core(), grid.scenarios(spark, p), p, ent.tasks)
+    both = days.join(grid.best_policy_of(grid.of_trades(trades, res), *key, weight="alike"), list(key), "left")
     return q_io.summary_out(
         both, *key, F.coalesce("trades", F.lit(0)).alias("trades"), F.col("scenario_id").alias("best_scenario"),
         F.col("exit_mode").alias("best_exit_mode"), F.col("entry_shift").cast("long").alias("best_shift"),
