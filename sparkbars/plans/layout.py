@@ -29,6 +29,8 @@ from ..params import DEFAULT, Params
 from ..session import shared_dir
 
 DAY_BLOCK = 1  # days per numbering group
+#: Bars that a task of ``Panel.spread`` takes, halo copies not counted.
+TASK_ROWS = 200_000
 
 
 def index(bars: DataFrame, key: str = "symbol", order: str = "ts", days: int = DAY_BLOCK) -> DataFrame:
@@ -58,20 +60,29 @@ def index(bars: DataFrame, key: str = "symbol", order: str = "ts", days: int = D
 class Panel:
     """Bars laid out in (symbol, blk) partitions with halo rows (``core`` = false).
 
-    ``longest``: runs a count and gives the bars of the longest history."""
+    ``longest``: runs a count and gives the bars of the longest history. ``total``: from the same count, all bars."""
 
     df: DataFrame
     key: str = "symbol"
     order: str = "ts"
     params: Params = DEFAULT
     longest: Callable[[], int] | None = None
+    total: Callable[[], int] | None = None
 
     @property
     def w(self) -> Window:
         return Window.partitionBy(self.key, "blk").orderBy(self.order)
 
     def with_df(self, df: DataFrame) -> "Panel":
-        return Panel(df, self.key, self.order, self.params, self.longest)
+        return Panel(df, self.key, self.order, self.params, self.longest, self.total)
+
+    def spread(self, task_rows: int = TASK_ROWS) -> "Panel":
+        """The same rows dealt by (symbol, blk) into tasks of about ``task_rows``, counted: where a stage sorts its rows
+        several times, the memory of a task stays the same however many bars there are (a block is never split)."""
+        if self.total is None:
+            return self
+        tasks = max(self.df.sparkSession.sparkContext.defaultParallelism, -(-self.total() // task_rows))
+        return self.with_df(self.df.repartition(tasks, self.key, "blk"))
 
     def core(self) -> DataFrame:
         """The bars themselves: halo copies dropped, layout columns removed."""
@@ -125,8 +136,9 @@ def layout(bars: DataFrame, params: Params = DEFAULT, key: str = "symbol", order
     )
 
     @cache
-    def longest() -> int:
-        counts = bars.agg(F.max("n")) if indexed else bars.groupBy(key).count().agg(F.max("count"))
-        return counts.first()[0] or 0
+    def counts() -> tuple[int, int]:
+        sizes = bars.agg(F.max("n"), F.count(F.lit(1))) if indexed else bars.groupBy(key).count().agg(F.max("count"), F.sum("count"))
+        most, rows = sizes.first()
+        return most or 0, rows or 0
 
-    return Panel(df, key, "rn", p, longest)
+    return Panel(df, key, "rn", p, lambda: counts()[0], lambda: counts()[1])

@@ -20,7 +20,7 @@ from .registry import query
 
 
 def inputs_df(spark, sf_dir) -> DataFrame:
-    return analysis.bar_inputs(layout(fixtures.bars_panel(spark, sf_dir))).core()
+    return analysis.bar_inputs(layout(fixtures.bars_panel(spark, sf_dir)).spread()).core()
 
 
 def metrics_df(spark, sf_dir) -> DataFrame:
