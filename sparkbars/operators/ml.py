@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite_or_zero
-from ..plans.layout import Panel, index
+from ..params import DEFAULT
+from ..plans.layout import TASK_ROWS, Panel, index
+from ..session import scratch_path
 from .boost import HistTrees
 
 EPS = 1e-15
@@ -33,8 +35,14 @@ def training_frame(featured: DataFrame, features: list[str], target: str = "meta
 
 def purged_split(frame: DataFrame, train_frac: float = 0.8, purge: int = 5) -> DataFrame:
     """Per symbol, on the cleaned frame: first floor(frac*n) rows 'train', next ``purge`` rows
-    'purge', the rest 'test'. Indexing uses the skew-safe per-(symbol, day) numbering."""
-    idx = index(frame)
+    'purge', the rest 'test'. Indexing uses the skew-safe per-(symbol, day) numbering, which reads its
+    input twice: the frame is written once to the shared folder, so that its features are computed once."""
+    path = scratch_path(frame.sparkSession, "frame")
+    frame.write.parquet(path)
+    frame = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    # narrow rows compress well, so tasks are dealt by rows: by bytes, few would get most
+    tasks = max(frame.sparkSession.sparkContext.defaultParallelism, -(-frame.count() // TASK_ROWS))
+    idx = index(frame, tasks=tasks)
     cut = F.floor(F.col("n") * F.lit(train_frac))
     split = (F.when(F.col("rn") < cut, F.lit("train"))
              .when(F.col("rn") < cut + purge, F.lit("purge")).otherwise(F.lit("test")))
@@ -252,24 +260,32 @@ def forecast_band(pred: DataFrame, last: DataFrame, band: float = 0.10) -> DataF
     )
 
 
-def walk_forward(bars_idx: DataFrame, train_days: int = 60, test_days: int = 10, purge: int = 5) -> DataFrame:
+def walk_forward(bars_idx: DataFrame, train_days: int = 60, test_days: int = 10, purge: int = 5, dates: DataFrame | None = None) -> DataFrame:
     """Rolling folds over the data's date range: fold k trains on [start + k*test_days, +train_days)
     and tests on the next ``test_days``; the last ``purge`` bars of each symbol's training window
     are purged (their labels look into the test window). A bar's folds follow from its day by
-    arithmetic; a span too short for one fold has none. Returns (fold, symbol, ts, role)."""
+    arithmetic; a span too short for one fold has none. Returns (fold, symbol, ts, role).
+
+    A training bar is among the last ``purge`` if the bar ``purge`` places on lies beyond the training window,
+    so one ``lead`` over blocks of a symbol's bars tells it for all folds, before the bars are copied to them.
+    ``dates``: a frame with the same ``ts``, if reading it is cheaper than reading the numbered bars."""
     d = F.to_date("ts")
-    start, end = bars_idx.agg(F.min(d), F.max(d)).first()
+    start, end = (bars_idx if dates is None else dates).agg(F.min(d), F.max(d)).first()
     folds = ((end - start).days - (train_days + test_days) + 1) // test_days if start else -1
-    day = F.datediff(d, F.lit(start))
+    block, rn = F.lit(DEFAULT.block_rows), F.col("rn")
+    own = F.floor(rn / block)
+    b = bars_idx.select("symbol", "ts", "rn", F.datediff(d, F.lit(start)).alias("_day"))
+    # the first bars of a block go with the block before it, too, which sees them as its bars to come
+    b = b.withColumn("_blk", F.explode(F.sequence(F.greatest(F.floor((rn - purge) / block), F.lit(0)), own)))
+    b = b.withColumn("_ahead", F.lead("_day", purge).over(Window.partitionBy("symbol", "_blk").orderBy("rn"))).filter(F.col("_blk") == own)
+    day = F.col("_day")
     first = F.greatest(F.floor((day - train_days - test_days) / test_days) + 1, F.lit(0)).cast("int")
     last = F.least(F.floor(day / test_days), F.lit(folds)).cast("int")
-    j = bars_idx.withColumn("_day", day).filter(first <= last).withColumn("fold", F.explode(F.sequence(first, last)))
-    role = F.when(F.col("_day") < F.col("fold") * test_days + train_days, F.lit("train")).otherwise(F.lit("test"))
-    j = j.withColumn("role", role)
-    last_train = j.filter(F.col("role") == "train").groupBy("fold", "symbol").agg(F.max("rn").alias("_last"))
-    j = j.join(last_train, ["fold", "symbol"], "left")
-    purged = (F.col("role") == "train") & (F.col("rn") > F.col("_last") - purge)
-    return j.select("fold", "symbol", "ts", F.when(purged, F.lit("purge")).otherwise(F.col("role")).alias("role"))
+    j = b.filter(first <= last).withColumn("fold", F.explode(F.sequence(first, last)))
+    test_start = F.col("fold") * test_days + train_days
+    role = (F.when(day >= test_start, F.lit("test"))
+            .when(F.col("_ahead").isNull() | (F.col("_ahead") >= test_start), F.lit("purge")).otherwise(F.lit("train")))
+    return j.select("fold", "symbol", "ts", role.alias("role"))
 
 
 def isotonic_calibrated(train: DataFrame, test: DataFrame, features: list[str], label: str, folds: int = 3,

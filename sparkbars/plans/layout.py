@@ -33,10 +33,14 @@ DAY_BLOCK = 1  # days per numbering group
 TASK_ROWS = 200_000
 
 
-def index(bars: DataFrame, key: str = "symbol", order: str = "ts", days: int = DAY_BLOCK) -> DataFrame:
-    """Add ``rn`` (0-based position in the symbol's history) and ``n`` (bars of the symbol)."""
+def index(bars: DataFrame, key: str = "symbol", order: str = "ts", days: int = DAY_BLOCK, tasks: int | None = None) -> DataFrame:
+    """Add ``rn`` (0-based position in the symbol's history) and ``n`` (bars of the symbol).
+
+    ``tasks``: into how many the rows are dealt by (key, days), where their number is known."""
     tb = F.floor(F.unix_date(F.to_date(F.col(order))) / F.lit(days)).cast("long")
     b = bars.withColumn("_tb", tb)
+    if tasks:
+        b = b.repartition(tasks, key, "_tb")
     counts = bars.groupBy(F.col(key), tb.alias("_tb")).agg(F.count(F.lit(1)).alias("_cnt"))
     by_day = Window.partitionBy(key).orderBy("_tb")
     offsets = counts.select(

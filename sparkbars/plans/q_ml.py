@@ -51,7 +51,7 @@ def q_training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ELSE 'test' END AS split FROM sp"))
 def q_purged_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: per symbol first 80 % of the cleaned rows train, 5 purged, rest test."""
-    return ml.purged_split(train_frame(spark, sf_dir)).select("symbol", "ts", "split")
+    return ml.purged_split(train_frame(spark, sf_dir).select("symbol", "ts")).select("symbol", "ts", "split")
 
 
 SCORE_P = "(((doc_id * 37) % 101) + 101) % 101 / 101.0"
@@ -243,7 +243,8 @@ def q_walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: rolling 60-day train / 10-day test folds with a 5-bar purge; bars per (fold, role)."""
     from .layout import index
 
-    wf = ml.walk_forward(index(fixtures.bars_panel(spark, sf_dir)))
+    bars = fixtures.bars_panel(spark, sf_dir)
+    wf = ml.walk_forward(index(bars), dates=bars.filter("symbol IS NOT NULL"))
     return wf.groupBy(F.col("fold").cast("long").alias("fold"), "role").agg(F.count(F.lit(1)).alias("bars"))
 
 
