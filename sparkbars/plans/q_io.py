@@ -82,8 +82,9 @@ def q_src_trades_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _store(spark, sf_dir):
     path = scratch_path(spark, "store")
-    files.store_write(fixtures.bars_panel(spark, sf_dir), path)
-    return files.store_read(spark, path)
+    bars = fixtures.bars_panel(spark, sf_dir)
+    files.store_write(bars, path)
+    return files.store_read(spark, path, schema=bars.schema)
 
 
 @query("store_roundtrip", lambda: S.with_(S.ctes_bars_panel()) + _bars_sql("bars_panel"))

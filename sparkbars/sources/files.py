@@ -26,6 +26,8 @@ TRADES_SCHEMA = T.StructType([
     T.StructField("reason", T.StringType()),
     T.StructField("notes", T.StringType()),
 ])
+#: Tasks a core that write and list the store.
+TASKS_PER_CORE = 4
 CANDLES_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
     T.StructField("candles", T.ArrayType(T.ArrayType(T.DoubleType()))),
@@ -101,14 +103,26 @@ def read_trades(spark: SparkSession, path: str) -> DataFrame:
 def store_write(bars_df: DataFrame, path: str) -> None:
     """Per-symbol bar store: Parquet partitioned by symbol, rows clustered by time inside each
     partition; replaces only the partitions being written (dynamic overwrite)."""
-    # range partitioning spreads a hot symbol over several tasks/files
-    (bars_df.repartitionByRange("symbol", "ts").sortWithinPartitions("symbol", "ts")
+    # range partitioning spreads a hot symbol over several tasks/files; the time is that of making directories and
+    # files, not of bytes, so several tasks a core even it out (by bytes the tasks would be about as many as cores)
+    spark = bars_df.sparkSession
+    tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (bars_df.repartitionByRange(tasks, "symbol", "ts").sortWithinPartitions("symbol", "ts")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("symbol").parquet(path))
 
 
-def store_read(spark: SparkSession, path: str, symbols: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+def store_read(spark: SparkSession, path: str, symbols: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Bars of the store. With ``schema`` symbols keep its type and are not guessed from the directories' names.
+
+    The directories are listed by a few tasks a core (by default Spark starts a task for each, up to 10,000)."""
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listing)
+    spark.conf.set(listing, min(int(before), TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    try:
+        df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    finally:
+        spark.conf.set(listing, before)
     return df.filter(F.col("symbol").isin(symbols)) if symbols else df
 
 
