@@ -11,18 +11,30 @@ several). A larger one is trained by passes over it: every task sums histograms
 of the nodes of one level over its rows, they are shuffled by blocks of features
 and each block's best splits come back, a few rows a node. Rows keep no state
 between passes: the trees so far give their residuals and nodes again.
+
+``HistClassifier`` is MLlib's ``GBTClassifier`` (two classes, log loss, bins, splits
+and leaves by its rules) for many rows: blocks of binned rows, a byte a feature, are
+kept with the sum of the trees but the last few, so a round costs the same however many
+trees there are, and residuals are summed as whole numbers, so the trees do not depend on
+how the rows are dealt.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
+from pyspark import RDD, StorageLevel
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +50,9 @@ PASS_NODES, PASS_FEATURES = 32, 8
 _ROWS, _FEATURES = 256, 256
 #: Steps of four times the largest label from the mean, and what a row's weight counts in a packed sum.
 _STEPS, _COUNT = float(1 << 23), float(1 << 38)
+#: Of the classifier: steps of a residual of 1 (residuals are 4 at most, so a block's packed sums are exact), rows
+#: and bytes of a block at most, rows of a task, rounds between new sums of the trees, and between their checkpoints.
+_FINE, _BLOCK_ROWS, _BLOCK_BYTES, _TASK_ROWS, _NEW, _KEEP = float(1 << 20), 1 << 14, 8 << 20, 2_000_000, 4, 12
 #: Arrays that best_split fills again and again, of the last shape.
 _SCRATCH: dict[tuple, tuple] = {}
 
@@ -399,3 +414,259 @@ class TreesModel:
             return pd.Series(model.scores(np.stack(x.to_numpy())) if len(x) else np.zeros(0))
 
         return df.withColumn(self.prediction, score(vector_to_array(self.features)))
+
+
+def quantile_ends(x: np.ndarray, bins: int) -> np.ndarray:
+    """Like ``edges``, the ends by MLlib's rule: a midpoint goes where the count comes nearest to a multiple of the stride."""
+    out = np.full((x.shape[1], max(bins - 1, 1)), np.inf)
+    for f, column in enumerate(x.T):
+        values, counts = np.unique(column, return_counts=True)
+        middle, upto, stride = (values[:-1] + values[1:]) / 2, np.cumsum(counts), len(column) / bins
+        if len(middle) >= bins:
+            target, taken = stride, []
+            for i in range(len(middle)):
+                if abs(upto[i] - target) < abs(upto[i + 1] - target):
+                    taken.append(i)
+                    target += stride
+            middle = middle[taken]
+        out[f, : len(middle)] = middle
+    return out
+
+
+def _residuals(y: np.ndarray, score: np.ndarray, t: int) -> np.ndarray:
+    """What tree ``t`` is fitted to, in steps: the classes -1 and 1 at first, then the gradient of the log loss."""
+    sign = 2.0 * y - 1.0
+    if t:
+        with np.errstate(over="ignore"):
+            sign = 4.0 * sign / (1.0 + np.exp(2.0 * sign * score))
+    return np.rint(sign * _FINE)
+
+
+def _rows_of(tree: Tree, bins: np.ndarray) -> list[np.ndarray]:
+    """Which rows come to each node, of ``bins`` features by rows."""
+    at = [np.ones(bins.shape[1], bool)] * len(tree.value)
+    for node, f in enumerate(tree.feature):
+        if f >= 0:  # children come after their parent
+            goes = bins[f] <= tree.bin[node]
+            at[tree.left[node]], at[tree.right[node]] = at[node] & goes, at[node] > goes
+    return at
+
+
+def _raised(score: np.ndarray, bins: np.ndarray, trees: list[tuple[Tree, float]]) -> np.ndarray:
+    """``score`` plus the trees' values times their weights, of ``bins`` features by rows."""
+    for tree, weight in trees:
+        node = np.zeros(len(score), np.uint8 if len(tree.value) <= 256 else np.int32)
+        for leaf, rows in enumerate(_rows_of(tree, bins)):
+            if leaf and tree.feature[leaf] < 0:
+                node += rows * node.dtype.type(leaf)
+        score = score + (weight * np.array(tree.value))[node]
+    return score
+
+
+class _Shown:
+    """A tree as MLlib's models show theirs."""
+
+    def __init__(self, tree: Tree, ends: np.ndarray):
+        self.tree, self.ends = tree, ends
+
+    @property
+    def numNodes(self) -> int:
+        return len(self.tree.value)
+
+    @property
+    def toDebugString(self) -> str:
+        t, lines = self.tree, [f"Tree with {self.numNodes} nodes"]
+
+        def show(node: int, indent: str) -> None:
+            if (f := t.feature[node]) < 0:
+                lines.append(f"{indent}Predict: {t.value[node]}")
+                return
+            for word, child, sign in (("If", t.left[node], "<="), ("Else", t.right[node], ">")):
+                lines.append(f"{indent}{word} (feature {f} {sign} {self.ends[f][t.bin[node]]})")
+                show(child, indent + " ")
+
+        show(0, "  ")
+        return "\n".join(lines)
+
+
+class HistClassifier(Estimator, HasFeaturesCol, HasLabelCol):
+    """Boosted trees for labels 0 and 1 by the log loss, with the rules of MLlib's ``GBTClassifier``."""
+
+    def __init__(self, featuresCol: str = "features", labelCol: str = "label", rounds: int = 20, depth: int = 5, rate: float = 0.1, least: int = 1, bins: int = BINS):
+        super().__init__()
+        self._set(featuresCol=featuresCol, labelCol=labelCol)
+        self.rounds, self.depth, self.rate, self.least, self.bins = rounds, depth, rate, least, bins
+
+    def _fit(self, train: DataFrame) -> HistClassifierModel:
+        rows = train.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"))
+        n = rows.count()
+        if not n:
+            raise ValueError("no rows to fit")
+        ends = self._ends(rows, min(self.bins, n))
+        state = self._blocks(rows, ends, n)
+        trees: list[Tree] = []
+        new: list[tuple[Tree, float]] = []  # not yet in the sums
+        for t in range(self.rounds):
+            old = None
+            if len(new) == _NEW:
+                old, state, new = state, state.map(_raiser(new)).persist(StorageLevel.MEMORY_AND_DISK), []
+                if t % _KEEP == 0:
+                    state.checkpoint()
+            trees.append(self._tree(state, new, ends, t))
+            new.append((trees[-1], self.rate if t else 1.0))
+            if old:
+                old.unpersist()
+        state.unpersist()
+        model = HistClassifierModel()._set(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol())
+        return model._set(rate=self.rate, forest=json.dumps([[t.feature, t.bin, t.left, t.right, t.value] for t in trees]), ends=json.dumps(ends.tolist()))
+
+    def _ends(self, rows: DataFrame, bins: int) -> np.ndarray:
+        sample = rows.orderBy(F.xxhash64("x", "y")).limit(BIN_ROWS).select("x").repartition(1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [np.asarray(b.column("x").flatten()).reshape(b.num_rows, -1) for b in batches if b.num_rows]
+            if parts:
+                ends = quantile_ends(np.concatenate(parts), bins)
+                yield pa.RecordBatch.from_arrays([pa.array([len(ends)]), pa.array([ends.ravel()], pa.list_(pa.float64()))], names=["width", "ends"])
+
+        found = sample.mapInArrow(run, "width bigint, ends array<double>").first()
+        return np.array(found["ends"]).reshape(found["width"], max(bins - 1, 1))
+
+    def _blocks(self, rows: DataFrame, ends: np.ndarray, n: int) -> RDD:
+        """(labels, bins as features by rows, sums of the trees so far: zeros) of blocks of rows, dealt evenly and written once."""
+        width = len(ends)
+        most = max(1, min(_BLOCK_ROWS, _BLOCK_BYTES // max(width, 1)))
+
+        def block(part: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            y, b = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
+            return pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(b.T).tobytes()], pa.binary())], names=["y", "b"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, held = [], 0
+            for batch in batches:
+                for lo in range(0, batch.num_rows, most):
+                    piece = batch.slice(lo, most)
+                    x, y = np.asarray(piece.column("x").flatten()).reshape(piece.num_rows, width), piece.column("y").to_numpy(zero_copy_only=False)
+                    if not np.isfinite(x).all():
+                        raise ValueError("features must not be NaN or infinite")
+                    if not ((y == 0) | (y == 1)).all():
+                        raise ValueError("labels must be 0 or 1")
+                    if held + len(y) > most:
+                        yield block(part)
+                        part, held = [], 0
+                    part.append((y.astype(np.uint8), binned(x, ends)))
+                    held += len(y)
+            if part:
+                yield block(part)
+
+        sc = rows.sparkSession.sparkContext
+        tasks = max(sc.defaultParallelism, -(-n // _TASK_ROWS))
+        blocks = rows.mapInArrow(run, "y binary, b binary").repartition(tasks).checkpoint(eager=True)
+
+        def opened(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            y = np.frombuffer(r["y"], np.uint8)
+            return y, np.frombuffer(r["b"], np.uint8).reshape(width, len(y)), np.zeros(len(y))
+
+        return blocks.rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _tree(self, state: RDD, new: list[tuple[Tree, float]], ends: np.ndarray, t: int) -> Tree:
+        """By levels; of two children the smaller one is summed, the other is the difference."""
+        tree, unit = Tree(), 1.0 / _FINE
+        tree.add(0.0)
+        whole = self._sums(state, new, tree, [0], ends, t)[0]
+        tree.value[0] = float(whole[:, 0, 0].sum() / whole[:, 1, 0].sum() * unit) if len(ends) else 0.0
+        level = [(0, whole)]
+        for d in range(self.depth):
+            pairs = []
+            for node, hist in level:
+                s = best_split(hist, self.least, unit)
+                if s.feature >= 0:
+                    halves, left = tree.split(node, s.feature, s.bin, s.left, s.right), hist[: s.bin + 1, 1, s.feature].sum()
+                    pairs.append((halves if 2 * left <= hist[:, 1, s.feature].sum() else halves[::-1], hist))
+            if d + 1 == self.depth or not pairs:
+                break
+            small = self._sums(state, new, tree, [p[0][0] for p in pairs], ends, t)
+            level = sorted(((node, h) for (halves, hist), mine in zip(pairs, small) for node, h in zip(halves, (mine, hist - mine))), key=lambda e: e[0])
+        return tree
+
+    def _sums(self, state: RDD, new: list[tuple[Tree, float]], tree: Tree, nodes: list[int], ends: np.ndarray, t: int) -> np.ndarray:
+        """Nodes by bins by (residuals in steps, rows) by features, from one pass over the rows."""
+        shape = len(nodes), ends.shape[1] + 1, 2, len(ends)
+        split = np.isfinite(ends).any(axis=1)
+
+        def run(blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
+            total = np.zeros(shape, np.int64)
+            for y, bins, score in blocks:
+                packed, found = _COUNT + _residuals(y, _raised(score, bins, new), t), _rows_of(tree, bins)
+                for i, node in enumerate(nodes):
+                    rows = np.flatnonzero(found[node]) if node else slice(None)
+                    mine = packed[rows]
+                    sums = np.zeros(shape[1::2])
+                    sums[0, ~split] = mine.sum()
+                    for f in np.flatnonzero(split):
+                        sums[:, f] = np.bincount(bins[f][rows], mine, shape[1])
+                    count = np.rint(sums / _COUNT)
+                    total[i, :, 0] += (sums - count * _COUNT).astype(np.int64)
+                    total[i, :, 1] += count.astype(np.int64)
+            yield total
+
+        return state.mapPartitions(run).reduce(np.add).astype(float)
+
+
+def _raiser(trees: list[tuple[Tree, float]]) -> Callable[[tuple], tuple]:
+    return lambda block: (block[0], block[1], _raised(block[2], block[1], trees))
+
+
+class HistClassifierModel(Model, HasFeaturesCol, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds rawPrediction, probability and prediction like MLlib's model; can be saved in a pipeline."""
+
+    forest = Param(Params._dummy(), "forest", "features, bins, children and values of each tree's nodes, as JSON", TypeConverters.toString)
+    ends = Param(Params._dummy(), "ends", "upper ends of each feature's bins, as JSON", TypeConverters.toString)
+    rate = Param(Params._dummy(), "rate", "weight of every tree but the first", TypeConverters.toFloat)
+
+    def _trees(self) -> list[Tree]:
+        return [Tree(*c) for c in json.loads(self.getOrDefault("forest"))]
+
+    def _ends(self) -> np.ndarray:
+        return np.array(json.loads(self.getOrDefault("ends")))
+
+    @property
+    def trees(self) -> list[_Shown]:
+        ends = self._ends()
+        return [_Shown(t, ends) for t in self._trees()]
+
+    @property
+    def treeWeights(self) -> list[float]:
+        return [self.getOrDefault("rate") if t else 1.0 for t in range(len(self._trees()))]
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        trees, ends, weights = self._trees(), self._ends(), self.treeWeights
+
+        @F.pandas_udf("double")
+        def margin(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series(np.zeros(0))
+            return pd.Series(_raised(np.zeros(len(x)), np.ascontiguousarray(binned(np.stack(x.to_numpy()), ends).T), list(zip(trees, weights))))
+
+        m = F.col("_margin")
+        p = 1.0 / (1.0 + F.exp(-2.0 * m))
+        df = df.withColumn("_margin", margin(vector_to_array(self.getFeaturesCol())))
+        return (df.withColumn("rawPrediction", array_to_vector(F.array(-m, m))).withColumn("probability", array_to_vector(F.array(1.0 - p, p)))
+                .withColumn("prediction", (m > 0).cast("double")).drop("_margin"))
+
+    def evaluateEachIteration(self, df: DataFrame) -> list[float]:
+        """The mean log loss on ``df`` after each round."""
+        trees, ends, weights = self._trees(), self._ends(), self.treeWeights
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, len(ends)), np.asarray(batch.column("y"))
+                bins, score, losses = np.ascontiguousarray(binned(x, ends).T), np.zeros(len(y)), []
+                for each in zip(trees, weights):
+                    score = _raised(score, bins, [each])
+                    losses.append(float((2.0 * np.logaddexp(0.0, -2.0 * (2.0 * y - 1.0) * score)).sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(trees)), pa.int32()), pa.array(losses, pa.float64()), pa.array([len(y)] * len(trees), pa.int64())], names=["t", "loss", "n"])
+
+        rows = df.select(vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"))
+        found = rows.mapInArrow(run, "t int, loss double, n bigint").groupBy("t").agg((F.sum("loss") / F.sum("n")).alias("loss")).collect()
+        return [r["loss"] for r in sorted(found, key=lambda r: r["t"])]
