@@ -53,6 +53,8 @@ _STEPS, _COUNT = float(1 << 23), float(1 << 38)
 #: Of the classifier: steps of a residual of 1 (residuals are 4 at most, so a block's packed sums are exact), rows
 #: and bytes of a block at most, rows of a task, rounds between new sums of the trees, and between their checkpoints.
 _FINE, _BLOCK_ROWS, _BLOCK_BYTES, _TASK_ROWS, _NEW, _KEEP = float(1 << 20), 1 << 14, 8 << 20, 2_000_000, 4, 12
+#: Seed of the rows that give the classifier's bins (what MLlib draws for its seed 42).
+_SAMPLE_SEED = 444206279
 #: Arrays that best_split fills again and again, of the last shape.
 _SCRATCH: dict[tuple, tuple] = {}
 
@@ -416,12 +418,19 @@ class TreesModel:
         return df.withColumn(self.prediction, score(vector_to_array(self.features)))
 
 
-def quantile_ends(x: np.ndarray, bins: int) -> np.ndarray:
-    """Like ``edges``, the ends by MLlib's rule: a midpoint goes where the count comes nearest to a multiple of the stride."""
+def quantile_ends(x: np.ndarray, bins: int, expected: float) -> np.ndarray:
+    """Like ``edges``, the ends by MLlib's rule: a midpoint goes where the count comes nearest to a multiple of the
+    stride. ``expected`` rows are counted; those that no other value has count as zeros."""
     out = np.full((x.shape[1], max(bins - 1, 1)), np.inf)
     for f, column in enumerate(x.T):
-        values, counts = np.unique(column, return_counts=True)
-        middle, upto, stride = (values[:-1] + values[1:]) / 2, np.cumsum(counts), len(column) / bins
+        values, counts = np.unique(column[column != 0], return_counts=True)
+        counts, zeros, stride = counts.astype(float), expected - counts.sum(), expected / bins
+        if not len(values):
+            continue
+        if zeros > np.finfo(float).eps * counts.sum() * 100:
+            at = np.searchsorted(values, 0.0)
+            values, counts = np.insert(values, at, 0.0), np.insert(counts, at, zeros)
+        middle, upto = (values[:-1] + values[1:]) / 2, np.cumsum(counts)
         if len(middle) >= bins:
             target, taken = stride, []
             for i in range(len(middle)):
@@ -429,7 +438,7 @@ def quantile_ends(x: np.ndarray, bins: int) -> np.ndarray:
                     taken.append(i)
                     target += stride
             middle = middle[taken]
-        out[f, : len(middle)] = middle
+        out[f, : len(middle)] = middle[: out.shape[1]]
     return out
 
 
@@ -502,7 +511,7 @@ class HistClassifier(Estimator, HasFeaturesCol, HasLabelCol):
         n = rows.count()
         if not n:
             raise ValueError("no rows to fit")
-        ends = self._ends(rows, min(self.bins, n))
+        ends = self._ends(rows, min(self.bins, n), n)
         state = self._blocks(rows, ends, n)
         trees: list[Tree] = []
         new: list[tuple[Tree, float]] = []  # not yet in the sums
@@ -520,13 +529,19 @@ class HistClassifier(Estimator, HasFeaturesCol, HasLabelCol):
         model = HistClassifierModel()._set(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol())
         return model._set(rate=self.rate, forest=json.dumps([[t.feature, t.bin, t.left, t.right, t.value] for t in trees]), ends=json.dumps(ends.tolist()))
 
-    def _ends(self, rows: DataFrame, bins: int) -> np.ndarray:
-        sample = rows.orderBy(F.xxhash64("x", "y")).limit(BIN_ROWS).select("x").repartition(1)
+    def _ends(self, rows: DataFrame, bins: int, n: int) -> np.ndarray:
+        """From the rows that MLlib's estimator with seed 42 samples: the same places in the same partitions."""
+        spark, share = rows.sparkSession, min(1.0, BIN_ROWS / n)
+        sample = rows.select("x")
+        if share < 1:
+            drawn = sample._jdf.toJavaRDD().sample(False, share, _SAMPLE_SEED)
+            sample = DataFrame(spark._jsparkSession.createDataFrame(drawn, sample._jdf.schema()), spark)
+        sample = sample.repartition(1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = [np.asarray(b.column("x").flatten()).reshape(b.num_rows, -1) for b in batches if b.num_rows]
             if parts:
-                ends = quantile_ends(np.concatenate(parts), bins)
+                ends = quantile_ends(np.concatenate(parts), bins, share * n)
                 yield pa.RecordBatch.from_arrays([pa.array([len(ends)]), pa.array([ends.ravel()], pa.list_(pa.float64()))], names=["width", "ends"])
 
         found = sample.mapInArrow(run, "width bigint, ends array<double>").first()

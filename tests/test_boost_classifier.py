@@ -27,8 +27,9 @@ def _p(model, df):
     return np.array([r["p"] for r in ml.probability(model, df).orderBy(*NAMES, "y").select("p").collect()])
 
 
-def test_trees_are_those_of_mllib(spark):
-    train, test = _frame(spark, _rows()).cache(), _frame(spark, _rows(700, 6)).cache()
+@pytest.mark.parametrize("n", [2500, 15000])  # from 10,000 on the bins come from a sample
+def test_trees_are_those_of_mllib(spark, n):
+    train, test = _frame(spark, _rows(n)).cache(), _frame(spark, _rows(700, 6)).cache()
     asm = VectorAssembler(inputCols=NAMES, outputCol="features")
     theirs = GBTClassifier(labelCol="y", maxDepth=4, maxIter=8, stepSize=0.05, minInstancesPerNode=30, seed=42).fit(asm.transform(train))
     pipe = ml.boosted_trees(NAMES, "y", 8).fit(train)
