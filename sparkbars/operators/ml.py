@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import finite_or_zero
 from ..params import DEFAULT
-from ..plans.layout import TASK_ROWS, Panel, index
-from ..session import scratch_path
+from ..plans.layout import TASK_ROWS, Panel, day_block, index, numbered
+from ..session import written
 from .boost import HistClassifier, HistTrees
 
 EPS = 1e-15
@@ -33,22 +33,37 @@ def training_frame(featured: DataFrame, features: list[str], target: str = "meta
     return featured.select("symbol", "ts", *features, target).dropna()
 
 
-def purged_split(frame: DataFrame, train_frac: float = 0.8, purge: int = 5) -> DataFrame:
+
+def purged_split(frame: DataFrame, train_frac: float = 0.8, purge: int = 5, most: int | None = None) -> DataFrame:
     """Per symbol, on the cleaned frame: first floor(frac*n) rows 'train', next ``purge`` rows
-    'purge', the rest 'test'. Indexing uses the skew-safe per-(symbol, day) numbering, which reads its
-    input twice: the frame is written once to the shared folder, so that its features are computed once."""
-    path = scratch_path(frame.sparkSession, "frame")
-    frame.write.parquet(path)
-    frame = frame.sparkSession.read.schema(frame.schema).parquet(path)
-    # narrow rows compress well, so tasks are dealt by rows: by bytes, few would get most
-    tasks = max(frame.sparkSession.sparkContext.defaultParallelism, -(-frame.count() // TASK_ROWS))
-    idx = index(frame, tasks=tasks)
+    'purge', the rest 'test'.
+
+    ``most``: rows that no symbol exceeds, if that is known. Where one task takes them, they are numbered where they lie
+    and nothing is written. Otherwise indexing uses the skew-safe per-(symbol, day) numbering, which reads its input
+    twice: the frame is written once to the shared folder, so that its features are computed once."""
+    if most is not None and most <= DEFAULT.block_rows:
+        idx = numbered(frame)
+    else:
+        frame = written(frame, "frame")
+        # narrow rows compress well, so tasks are dealt by rows: by bytes, few would get most
+        idx = index(frame, tasks=split_tasks(frame))
     cut = F.floor(F.col("n") * F.lit(train_frac))
     split = (F.when(F.col("rn") < cut, F.lit("train"))
              .when(F.col("rn") < cut + purge, F.lit("purge")).otherwise(F.lit("test")))
     return idx.withColumn("split", split)
 
 
+def split_tasks(frame: DataFrame) -> int:
+    """Tasks for the rows of a frame, counted."""
+    return max(frame.sparkSession.sparkContext.defaultParallelism, -(-frame.count() // TASK_ROWS))
+
+
+def dealt_keys(rows: DataFrame, tasks: int, key: str = "symbol", order: str = "ts") -> DataFrame:
+    """The rows' keys by (key, day) and in order, as ``index`` deals rows into ``tasks``: places that do not depend on how rows are stored."""
+    day = day_block(order)
+    return rows.select(key, order, day.alias("_tb")).repartition(tasks, key, "_tb").sortWithinPartitions(key, "_tb", order).select(key, order)
+
+
 def score_metrics(scored: DataFrame, y: str = "y", p: str = "p", keys: list[str] | None = None) -> DataFrame:
     """AUC (mid-rank Mann-Whitney), Brier score and log loss (p clipped to [1e-15, 1-1e-15]).
 

@@ -33,11 +33,15 @@ DAY_BLOCK = 1  # days per numbering group
 TASK_ROWS = 200_000
 
 
+def day_block(order: str = "ts", days: int = DAY_BLOCK) -> Column:
+    return F.floor(F.unix_date(F.to_date(F.col(order))) / F.lit(days)).cast("long")
+
+
 def index(bars: DataFrame, key: str = "symbol", order: str = "ts", days: int = DAY_BLOCK, tasks: int | None = None) -> DataFrame:
     """Add ``rn`` (0-based position in the symbol's history) and ``n`` (bars of the symbol).
 
     ``tasks``: into how many the rows are dealt by (key, days), where their number is known."""
-    tb = F.floor(F.unix_date(F.to_date(F.col(order))) / F.lit(days)).cast("long")
+    tb = day_block(order, days)
     b = bars.withColumn("_tb", tb)
     if tasks:
         b = b.repartition(tasks, key, "_tb")
@@ -60,11 +64,21 @@ def index(bars: DataFrame, key: str = "symbol", order: str = "ts", days: int = D
     )
 
 
+def numbered(bars: DataFrame, key: str = "symbol", order: str = "ts") -> DataFrame:
+    """``index`` where every history fits a task: the same ``rn`` and ``n`` from windows over whole histories. Bars go
+    through one exchange by ``key``, or none where they are dealt by it, and are read once."""
+    ties = [c for c in ("o", "h", "l", "c", "v") if c in bars.columns]
+    own = Window.partitionBy(key)
+    b = bars.filter(F.col(key).isNotNull()).select(
+        "*", F.count(F.lit(1)).over(own).cast("long").alias("n"), (F.row_number().over(own.orderBy(order, *ties)) - 1).cast("long").alias("rn"))
+    return b.filter(F.col(order).isNotNull())  # bars without a time count, as in ``index``, and come first
+
+
 @dataclass
 class Panel:
     """Bars laid out in (symbol, blk) partitions with halo rows (``core`` = false).
 
-    ``longest``: runs a count and gives the bars of the longest history. ``total``: from the same count, all bars."""
+    ``longest``: runs a count and gives the bars of the longest history (or a known bound of them). ``total``: from the same count, all bars."""
 
     df: DataFrame
     key: str = "symbol"
@@ -125,19 +139,23 @@ class Panel:
 
 
 def layout(bars: DataFrame, params: Params = DEFAULT, key: str = "symbol", order: str = "ts",
-           indexed: bool = False) -> Panel:
-    """Index the bars (unless ``indexed``) and lay them out in blocks with halo."""
+           indexed: bool = False, most: int | None = None) -> Panel:
+    """Index the bars (unless ``indexed``) and lay them out in blocks with halo.
+
+    ``most``: bars that no history exceeds, if that is known. Where a block has room for them every history is one block,
+    numbered where its bars lie (``numbered``), and there is no halo."""
     p = params
-    df = bars if indexed else index(bars, key, order)
+    whole = not indexed and most is not None and most <= p.block_rows
+    df = bars if indexed else numbered(bars, key, order) if whole else index(bars, key, order)
     B = F.lit(p.block_rows)
     rn, n = F.col("rn"), F.col("n")
     first = F.greatest(F.floor((rn - F.lit(p.halo_ahead)) / B), F.lit(0)).cast("long")
     last = F.least(F.floor((rn + F.lit(p.halo_back)) / B), F.floor((n - 1) / B)).cast("long")
     own = F.floor(rn / B).cast("long")
-    df = (
-        df.withColumn("blk", F.explode(F.sequence(first, last)))
-        .withColumn("core", F.col("blk") == own)
-    )
+    if whole:
+        df = df.select("*", F.lit(0).cast("long").alias("blk"), F.lit(True).alias("core"))
+    else:
+        df = df.withColumn("blk", F.explode(F.sequence(first, last))).withColumn("core", F.col("blk") == own)
 
     @cache
     def counts() -> tuple[int, int]:
@@ -145,4 +163,4 @@ def layout(bars: DataFrame, params: Params = DEFAULT, key: str = "symbol", order
         most, rows = sizes.first()
         return most or 0, rows or 0
 
-    return Panel(df, key, "rn", p, lambda: counts()[0], lambda: counts()[1])
+    return Panel(df, key, "rn", p, lambda: most if whole else counts()[0], lambda: counts()[1])

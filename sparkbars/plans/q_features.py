@@ -14,12 +14,12 @@ from .layout import Panel, layout
 from .registry import query
 
 
-def featured_panel(bars: DataFrame, p: Params = DEFAULT) -> Panel:
-    return features_core.compute(layout(bars, p), p)
+def featured_panel(bars: DataFrame, p: Params = DEFAULT, most: int | None = None) -> Panel:
+    return features_core.compute(layout(bars, p, most=most), p)
 
 
-def regime_panel(bars: DataFrame, p: Params = DEFAULT) -> Panel:
-    return regime.classify(featured_panel(bars, p), p)
+def regime_panel(bars: DataFrame, p: Params = DEFAULT, most: int | None = None) -> Panel:
+    return regime.classify(featured_panel(bars, p, most), p)
 
 
 DOUBLE_FEATURES = ["vwap_dist", "vwap_slope", "tr", "atr", "atr_pct", "returns", "realized_vol",

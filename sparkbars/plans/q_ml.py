@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import rnd
 from ..operators import features_core, features_wide, labels, ml, registry
 from ..params import DEFAULT
-from ..session import scratch_path, shared_dir
+from ..session import scratch_path, shared_dir, written
 from ..sources import fixtures
 from ..streaming import bars_stream
 from . import sqlparts as S
@@ -26,9 +26,11 @@ FEATURES = features_core.columns()
 TARGET = "meta_label"
 
 
-def train_frame(spark, sf_dir) -> DataFrame:
-    pan = labels.meta_labels(featured_panel(fixtures.bars_panel(spark, sf_dir)))
-    return ml.training_frame(pan.core(), FEATURES, TARGET)
+def train_frame(spark, sf_dir) -> tuple[DataFrame, int]:
+    """Features and target per bar, and rows that no symbol exceeds."""
+    bars, most = fixtures.panel_histories(spark, sf_dir)
+    pan = labels.meta_labels(featured_panel(bars, most=most))
+    return ml.training_frame(pan.core(), FEATURES, TARGET), most
 
 
 def ctes_train() -> list[str]:
@@ -41,7 +43,8 @@ def ctes_train() -> list[str]:
     "SELECT symbol, ts, " + ", ".join(f"{S.R(c)} AS {c}" for c in FEATURES) + ", meta_label FROM tf"))
 def q_training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: model features + target per bar, rows with nulls dropped."""
-    return train_frame(spark, sf_dir).select("symbol", "ts", *[rnd(c).alias(c) for c in FEATURES], TARGET)
+    frame, _ = train_frame(spark, sf_dir)
+    return frame.select("symbol", "ts", *[rnd(c).alias(c) for c in FEATURES], TARGET)
 
 
 @query("purged_split", lambda: S.with_(*ctes_train(), """sp AS (
@@ -51,7 +54,8 @@ def q_training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ELSE 'test' END AS split FROM sp"))
 def q_purged_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: per symbol first 80 % of the cleaned rows train, 5 purged, rest test."""
-    return ml.purged_split(train_frame(spark, sf_dir).select("symbol", "ts")).select("symbol", "ts", "split")
+    frame, most = train_frame(spark, sf_dir)
+    return ml.purged_split(frame.select("symbol", "ts"), most=most).select("symbol", "ts", "split")
 
 
 SCORE_P = "(((doc_id * 37) % 101) + 101) % 101 / 101.0"
@@ -80,7 +84,8 @@ tr AS (SELECT * FROM sp WHERE rn < floor(n * 0.8))""") + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {S.R(f'avg({c})')} AS mean, {S.R(f'stddev_pop({c})')} AS std FROM tr" for c in FEATURES))
 def q_scale_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standardisation statistics (mean, population std) fitted on the training rows only."""
-    sp = ml.purged_split(train_frame(spark, sf_dir)).filter(F.col("split") == "train")
+    frame, most = train_frame(spark, sf_dir)
+    sp = ml.purged_split(frame, most=most).filter(F.col("split") == "train")
     st = ml.scaling_stats(sp, FEATURES)
     return st.select("feature", rnd("mean").alias("mean"), rnd("std").alias("std"))
 
@@ -116,10 +121,10 @@ def q_sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_frame(spark, sf_dir) -> DataFrame:
-    """The split training frame, checkpointed to the shared folder: model fits iterate over it,
-    so its lineage (features, labels) is cut once instead of being recomputed per pass."""
-    shared_dir(spark)
-    return ml.purged_split(train_frame(spark, sf_dir)).checkpoint(eager=True)
+    """The split training frame, written once to the shared folder: model fits iterate over it, and its
+    features and labels are not computed again per pass."""
+    frame, most = train_frame(spark, sf_dir)
+    return written(ml.purged_split(frame, most=most).select(*frame.columns, "split"), "split")
 
 
 def _fit_logistic(spark, sf_dir):

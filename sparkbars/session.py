@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "sparkbars") -> SparkSession:
@@ -55,3 +57,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for a written table."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What an action in here shuffled is removed from the executors' disks when it ends; by default it stays until the
+    driver happens to collect its garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a table written once under the shared folder; what was shuffled for it is removed."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

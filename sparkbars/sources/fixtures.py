@@ -18,6 +18,9 @@ from ..functions.exprs import ieee_div
 
 BAR_COLS = ["symbol", "ts", "o", "h", "l", "c", "v", "vwap", "base_score"]
 
+#: Rows of a symbol that one task takes at most, and rows of a task that takes several symbols.
+HISTORY_ROWS, TASK_ROWS = 65_536, 200_000
+
 # Fixed value: the pattern of the integer in the events' props text, {"k": <int>}.
 K_PATTERN = r'"k":\s*(-?\d+)'
 
@@ -34,20 +37,18 @@ def _with_vwap(df: DataFrame) -> DataFrame:
     return df.withColumn("vwap", (F.col("h") + F.col("l") + F.col("c")) / F.lit(3.0)).select(*BAR_COLS)
 
 
-def bars_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars per supplier from lineitem (the main, many-symbol fixture)."""
-    li = table(spark, sf_dir, "lineitem")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of lineitem with what bars_panel needs of them."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.col("l_shipdate").alias("ts"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount")
+
+
+def _daily(lines: DataFrame) -> DataFrame:
     p = F.lit(1000.0) + F.least(ieee_div("l_extendedprice", "l_quantity"), F.lit(5000.0)) / F.lit(100.0)
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     bars = (
-        li.select(
-            F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
-            F.col("l_shipdate").alias("ts"),
-            p.alias("p"),
-            order.alias("k"),
-            "l_quantity",
-            "l_discount",
-        )
+        lines.select("symbol", "ts", p.alias("p"), order.alias("k"), "l_quantity", "l_discount")
         .groupBy("symbol", "ts")
         .agg(
             F.min_by("p", "k").alias("o"),
@@ -61,6 +62,27 @@ def bars_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_vwap(bars)
 
 
+def bars_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars per supplier from lineitem (the main, many-symbol fixture)."""
+    return _daily(_lines(spark, sf_dir))
+
+
+def panel_histories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """``bars_panel``, and a number of bars that no symbol exceeds (counted: its rows, or its bars if it has many rows).
+
+    Where every symbol has few rows, the rows themselves, narrower than the sums they make, are dealt by symbol, into
+    tasks of TASK_ROWS counted rows, and no later step by symbol moves their bars. Otherwise bars are as in ``bars_panel``,
+    so the rows of a hot symbol are summed before they meet."""
+    lines = _lines(spark, sf_dir)
+    known = lines.filter("symbol IS NOT NULL")
+    most, rows = known.groupBy("symbol").count().agg(F.max("count"), F.sum("count")).first()
+    if (most or 0) > HISTORY_ROWS:
+        bars = _daily(lines)
+        return bars, bars.filter("symbol IS NOT NULL").groupBy("symbol").count().agg(F.max("count")).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(rows or 0) // TASK_ROWS))
+    return _daily(known.repartition(tasks, "symbol")), most or 0
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", "value", props_k().alias("k")
