@@ -38,6 +38,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffles_removed
+
 #: Bins of a feature, and rows whose quantiles divide them, at most.
 BINS, BIN_ROWS = 32, 10_000
 #: Bytes of binned features that one task trains from.
@@ -499,10 +501,15 @@ class _Shown:
 
 
 class HistClassifier(Estimator, HasFeaturesCol, HasLabelCol):
-    """Boosted trees for labels 0 and 1 by the log loss, with the rules of MLlib's ``GBTClassifier``."""
+    """Boosted trees for labels 0 and 1 by the log loss, with the rules of MLlib's ``GBTClassifier``.
+
+    ``deal``: of many rows those that give the bins are drawn by their places in partitions; ``deal`` takes the training
+    rows to a frame of their keys, each key once, dealt as the draw shall see them. Without it they are drawn as they lie."""
 
-    def __init__(self, featuresCol: str = "features", labelCol: str = "label", rounds: int = 20, depth: int = 5, rate: float = 0.1, least: int = 1, bins: int = BINS):
+    def __init__(self, featuresCol: str = "features", labelCol: str = "label", rounds: int = 20, depth: int = 5, rate: float = 0.1, least: int = 1, bins: int = BINS,
+                 deal: Callable[[DataFrame], DataFrame] | None = None):
         super().__init__()
+        self.deal = deal
         self._set(featuresCol=featuresCol, labelCol=labelCol)
         self.rounds, self.depth, self.rate, self.least, self.bins = rounds, depth, rate, least, bins
 
@@ -511,9 +518,10 @@ class HistClassifier(Estimator, HasFeaturesCol, HasLabelCol):
         n = rows.count()
         if not n:
             raise ValueError("no rows to fit")
-        ends = self._ends(rows, min(self.bins, n), n)
+        ends = self._ends(train, min(self.bins, n), n)
         state = self._blocks(rows, ends, n)
         trees: list[Tree] = []
+        kept = None  # the last checkpoint
         new: list[tuple[Tree, float]] = []  # not yet in the sums
         for t in range(self.rounds):
             old = None
@@ -525,17 +533,30 @@ class HistClassifier(Estimator, HasFeaturesCol, HasLabelCol):
             new.append((trees[-1], self.rate if t else 1.0))
             if old:
                 old.unpersist()
+            if state.isCheckpointed() and (path := state.getCheckpointFile()) != kept:
+                _forget(state, kept)  # a later one stands for it
+                kept = path
         state.unpersist()
+        _forget(state, kept)
         model = HistClassifierModel()._set(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol())
         return model._set(rate=self.rate, forest=json.dumps([[t.feature, t.bin, t.left, t.right, t.value] for t in trees]), ends=json.dumps(ends.tolist()))
 
-    def _ends(self, rows: DataFrame, bins: int, n: int) -> np.ndarray:
+    def _ends(self, train: DataFrame, bins: int, n: int) -> np.ndarray:
         """From the rows that MLlib's estimator with seed 42 samples: the same places in the same partitions."""
-        spark, share = rows.sparkSession, min(1.0, BIN_ROWS / n)
-        sample = rows.select("x")
-        if share < 1:
-            drawn = sample._jdf.toJavaRDD().sample(False, share, _SAMPLE_SEED)
-            sample = DataFrame(spark._jsparkSession.createDataFrame(drawn, sample._jdf.schema()), spark)
+        spark, share = train.sparkSession, min(1.0, BIN_ROWS / n)
+
+        def drawn(df: DataFrame) -> DataFrame:
+            rows = df._jdf.toJavaRDD().sample(False, share, _SAMPLE_SEED)
+            return DataFrame(spark._jsparkSession.createDataFrame(rows, df._jdf.schema()), spark)
+
+        x = vector_to_array(self.getFeaturesCol()).alias("x")
+        sample = train.select(x)
+        if share < 1 and self.deal:
+            keys = drawn(self.deal(train))
+            keys = spark.createDataFrame(keys.collect(), keys.schema)  # about BIN_ROWS of them
+            sample = train.join(F.broadcast(keys), keys.columns, "left_semi").select(x)
+        elif share < 1:
+            sample = drawn(sample)
         sample = sample.repartition(1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -576,7 +597,8 @@ class HistClassifier(Estimator, HasFeaturesCol, HasLabelCol):
 
         sc = rows.sparkSession.sparkContext
         tasks = max(sc.defaultParallelism, -(-n // _TASK_ROWS))
-        blocks = rows.mapInArrow(run, "y binary, b binary").repartition(tasks).checkpoint(eager=True)
+        with shuffles_removed(rows.sparkSession):
+            blocks = rows.mapInArrow(run, "y binary, b binary").repartition(tasks).checkpoint(eager=True)
 
         def opened(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             y = np.frombuffer(r["y"], np.uint8)
@@ -628,6 +650,13 @@ class HistClassifier(Estimator, HasFeaturesCol, HasLabelCol):
         return state.mapPartitions(run).reduce(np.add).astype(float)
 
 
+def _forget(rdd: RDD, path: str | None) -> None:
+    """Removes a checkpoint that nothing reads any more (Spark keeps all by default)."""
+    if path:
+        at = rdd.ctx._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(rdd.ctx._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _raiser(trees: list[tuple[Tree, float]]) -> Callable[[tuple], tuple]:
     return lambda block: (block[0], block[1], _raised(block[2], block[1], trees))
 

@@ -7,6 +7,7 @@ local model per symbol."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -164,12 +165,13 @@ def logistic(features: list[str], label: str, n_train: int, C: float = 0.1, max_
     return Pipeline(stages=[asm, lr])
 
 
-def boosted_trees(features: list[str], label: str, rounds: int = 150) -> Pipeline:
+def boosted_trees(features: list[str], label: str, rounds: int = 150, deal: Callable[[DataFrame], DataFrame] | None = None) -> Pipeline:
     """Gradient-boosted trees: depth 4, 150 rounds, step 0.05, at least 30 rows per leaf.
 
-    The rules are those of MLlib's ``GBTClassifier``, which takes several times as long over many rows."""
+    The rules are those of MLlib's ``GBTClassifier``, which takes several times as long over many rows. ``deal``: see
+    ``HistClassifier``."""
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[asm, HistClassifier(labelCol=label, featuresCol="features", depth=4, rounds=rounds, rate=0.05, least=30)])
+    return Pipeline(stages=[asm, HistClassifier(labelCol=label, featuresCol="features", depth=4, rounds=rounds, rate=0.05, least=30, deal=deal)])
 
 
 def rounds_kept(losses: list[float], patience: int = 50) -> int:

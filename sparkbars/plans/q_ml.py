@@ -149,7 +149,8 @@ def q_gbt_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: boosted-tree meta-model (depth 4, 150 rounds, step 0.05, min 30 rows per leaf); test metrics."""
     sp = split_frame(spark, sf_dir)
     train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
-    model = ml.boosted_trees(FEATURES, TARGET).fit(train)
+    tasks = ml.split_tasks(sp)
+    model = ml.boosted_trees(FEATURES, TARGET, deal=lambda rows: ml.dealt_keys(rows, tasks)).fit(train)
     return ml.score_metrics(ml.probability(model, test).select(F.col(TARGET).alias("y"), "p"))
 
 

@@ -90,3 +90,34 @@ def test_shuffles_are_removed_and_the_setting_kept(spark, tmp_path):
         assert known() <= before
         1 / 0
     assert spark.conf.get(key) == was
+
+
+def test_bins_do_not_depend_on_how_rows_are_stored(spark, monkeypatch):
+    monkeypatch.setattr(boost, "BIN_ROWS", 100)
+    r = random.Random(5)
+    rows = [(f"S{i % 7}", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), r.gauss(0, 1)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, a double").withColumn("y", (F.col("a") > 0.3).cast("int"))
+    df = df.withColumn("features", array_to_vector(F.array("a")))
+    dealt = boost.HistClassifier(labelCol="y", rounds=1, deal=lambda x: ml.dealt_keys(x, 6))
+    one, two = (dealt._ends(df.repartition(n), 32, 1500).tolist() for n in (1, 9))
+    assert one == two
+    # as drawn from the rows themselves where they lie as ``index`` deals them
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lie = lay.index(df, tasks=6).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert boost.HistClassifier(labelCol="y", rounds=1)._ends(lie, 32, 1500).tolist() == one
+
+
+def test_only_the_last_checkpoint_stays(spark, monkeypatch):
+    monkeypatch.setattr(boost, "_NEW", 1)
+    monkeypatch.setattr(boost, "_KEEP", 2)
+    kept, forget = [], boost._forget
+    monkeypatch.setattr(boost, "_forget", lambda rdd, path: (forget(rdd, path), path and kept.append(path.removeprefix("file:"))))
+    r = random.Random(6)
+    df = spark.createDataFrame([(x := r.gauss(0, 1), int(x + r.gauss(0, 1) > 0)) for _ in range(400)], "a double, y int")
+    model = ml.boosted_trees(["a"], "y", 9).fit(df)
+    assert len(model.stages[1].trees) == 9
+    assert len(kept) == 4 and not any(os.path.exists(p) for p in kept)
