@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import full_roll, ieee_div, nan_to_zero, pct_change, two_pi
+from ..functions.exprs import full_roll, ieee_div, nan_to_zero, two_pi
 from ..params import DEFAULT, Params
 from ..plans.layout import Panel
 
@@ -30,9 +30,9 @@ def output_columns(p: Params = DEFAULT) -> list[str]:
     ] + ["hour", "minute", "hour_sin", "hour_cos", "session_phase"]
 
 
-def true_range(w: Window, h="h", l="l", c="c") -> Column:
-    """max(h-l, |h-c_prev|, |l-c_prev|); the first bar (no c_prev) gives h-l."""
-    c1 = F.lag(F.col(c)).over(w)
+def true_range(w: Window, h="h", l="l", c="c", before: str | None = None) -> Column:
+    """max(h-l, |h-c_prev|, |l-c_prev|); the first bar (no c_prev) gives h-l. ``before``: a column that has c_prev."""
+    c1 = F.col(before) if before else F.lag(F.col(c)).over(w)
     return F.greatest(F.col(h) - F.col(l), F.abs(F.col(h) - c1), F.abs(F.col(l) - c1))
 
 
@@ -49,12 +49,14 @@ def session_phase(hour: Column, minute: Column) -> Column:
 def compute(panel: Panel, p: Params = DEFAULT) -> Panel:
     """Append the core features; symbols with fewer than ``p.feature_min_bars`` bars get nulls."""
     w = panel.w
-    df = panel.df.select(
+    # a window function that an expression names twice is computed twice: those used several times get a column
+    df = panel.df.select("*", F.lag("vwap", p.vwap_slope_bars).over(w).alias("_vwap_then"), F.lag("c").over(w).alias("_c_then"))
+    df = df.select(
         "*",
         ieee_div(F.col("c") - F.col("vwap"), F.col("vwap")).alias("vwap_dist"),
-        pct_change("vwap", w, p.vwap_slope_bars).alias("vwap_slope"),
-        true_range(w).alias("tr"),
-        pct_change("c", w).alias("returns"),
+        ieee_div(F.col("vwap") - F.col("_vwap_then"), "_vwap_then").alias("vwap_slope"),
+        true_range(w, before="_c_then").alias("tr"),
+        ieee_div(F.col("c") - F.col("_c_then"), "_c_then").alias("returns"),
         F.hour("ts").cast("long").alias("hour"),
         F.minute("ts").cast("long").alias("minute"),
     )
@@ -63,11 +65,13 @@ def compute(panel: Panel, p: Params = DEFAULT) -> Panel:
         "*",
         full_roll(F.avg, "tr", w, k).alias("atr"),
         full_roll(F.stddev_samp, "returns", w, k).alias("realized_vol"),
-        *[ieee_div("v", full_roll(F.avg, "v", w, lb)).alias(f"volume_ratio_{lb}") for lb in p.vol_lookbacks],
+        *[full_roll(F.avg, "v", w, lb).alias(f"_volume_{lb}") for lb in p.vol_lookbacks],
         F.sin(two_pi() * F.col("hour") / F.lit(24)).alias("hour_sin"),
         F.cos(two_pi() * F.col("hour") / F.lit(24)).alias("hour_cos"),
         session_phase(F.col("hour"), F.col("minute")).cast("long").alias("session_phase"),
-    ).withColumn("atr_pct", ieee_div("atr", "c"))
+    )
+    df = df.select("*", ieee_div("atr", "c").alias("atr_pct"),
+                   *[ieee_div("v", f"_volume_{lb}").alias(f"volume_ratio_{lb}") for lb in p.vol_lookbacks])
     feats = output_columns(p)
     enough = F.col("n") >= p.feature_min_bars
     base = [c for c in panel.df.columns]

@@ -30,9 +30,11 @@ AUC_BUCKETS = 4096
 
 
 def training_frame(featured: DataFrame, features: list[str], target: str = "meta_label") -> DataFrame:
-    """symbol, ts, features, target; rows with any null dropped."""
-    return featured.select("symbol", "ts", *features, target).dropna()
+    """symbol, ts, features, target; rows with any null dropped.
 
+    Columns that cannot be null are not looked at: the condition goes below their expressions, which would be computed twice."""
+    frame = featured.select("symbol", "ts", *features, target)
+    return frame.dropna(subset=[f.name for f in frame.schema.fields if f.nullable or f.dataType.typeName() in ("float", "double")])
 
 
 def purged_split(frame: DataFrame, train_frac: float = 0.8, purge: int = 5, most: int | None = None) -> DataFrame:
@@ -309,17 +311,18 @@ def isotonic_calibrated(train: DataFrame, test: DataFrame, features: list[str],
                         keys: tuple = ("symbol", "ts")) -> DataFrame:
     """Calibrated probabilities on ``test``: for each of ``folds`` held-out folds (by a hash of the
     row key), fit the logistic model on the other folds and an isotonic map on the held-out fold's
-    probabilities; the test probability is the average of the fold models' calibrated outputs."""
+    probabilities; the test probability is the average of the fold models' calibrated outputs.
+
+    The models score each test row one after another in one pass, so their outputs are not joined by key."""
     from pyspark.ml.regression import IsotonicRegression
 
     f = train.withColumn("_fold", F.pmod(F.xxhash64(*keys), F.lit(folds)))
-    out = None
+    out = test.select(*keys, label, *[c for c in features if c not in (*keys, label)])
     for k in range(folds):  # a fixed number of folds (parameter), not a loop over data
         fit_part, cal_part = f.filter(F.col("_fold") != k), f.filter(F.col("_fold") == k)
         base = logistic(features, label, fit_part.count()).fit(fit_part)
         iso = IsotonicRegression(featuresCol="p", labelCol=label, predictionCol="p_cal").fit(
             probability(base, cal_part).select("p", F.col(label).cast("double").alias(label)))
-        pk = iso.transform(probability(base, test).select(*keys, label, "p")).select(
-            *keys, label, F.col("p_cal").alias(f"p{k}"))
-        out = pk if out is None else out.join(pk.drop(label), list(keys))
-    return out.withColumn("p", sum(F.col(f"p{k}") for k in range(folds)) / F.lit(float(folds)))
+        out = iso.transform(probability(base, out).select(*out.columns, "p")).select(*out.columns, F.col("p_cal").alias(f"p{k}"))
+    parts = [f"p{k}" for k in range(folds)]
+    return out.select(*keys, label, *parts).withColumn("p", sum(F.col(c) for c in parts) / F.lit(float(folds)))

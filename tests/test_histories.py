@@ -92,6 +92,31 @@ def test_shuffles_are_removed_and_the_setting_kept(spark, tmp_path):
     assert spark.conf.get(key) == was
 
 
+def test_frame_drops_nulls_and_nans_without_a_second_label(spark):
+    df = spark.createDataFrame([("A", 1, 1.0), ("A", 2, None), ("A", 3, float("nan")), (None, 4, 1.0)], "symbol string, ts int, x double")
+    df = df.withColumn("y", F.when(F.col("ts") > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")).withColumn("z", F.lit(float("nan")))
+    assert [r.ts for r in ml.training_frame(df, ["x"], "y").collect()] == [1]
+    assert ml.training_frame(df, ["z"], "y").count() == 0  # never null, but no number
+    assert ml.training_frame(df, ["x"], "y")._jdf.queryExecution().analyzed().toString().count("atleastnnonnulls(3") == 1
+
+
+def test_window_functions_are_planned_once(spark, sf_dir):
+    bars, most = fixtures.panel_histories(spark, sf_dir)
+    text = features_core.compute(lay.layout(bars, most=most)).df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("lag(vwap#") == 1 and text.count("lag(c#") == 1
+
+
+def test_calibrated_rows_are_not_joined(spark):
+    r = random.Random(3)
+    rows = [("S", i, x := r.gauss(0, 1), int(x + r.gauss(0, 1) > 0)) for i in range(300)]
+    train = spark.createDataFrame(rows, "symbol string, ts int, a double, y int")
+    test = spark.createDataFrame([("S", 1, 0.5, 1), ("S", 1, -0.5, 0), (None, 2, 0.1, 1)], train.schema)
+    got = ml.isotonic_calibrated(train, test, ["a"], "y")
+    assert got.columns == ["symbol", "ts", "y", "p0", "p1", "p2", "p"]
+    assert got.count() == 3 and all(abs(x.p - (x.p0 + x.p1 + x.p2) / 3) < 1e-12 for x in got.collect())  # a row each, two of one key
+    assert "Join" not in _final(got)
+
+
 def test_bins_do_not_depend_on_how_rows_are_stored(spark, monkeypatch):
     monkeypatch.setattr(boost, "BIN_ROWS", 100)
     r = random.Random(5)
