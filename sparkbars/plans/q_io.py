@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import rnd
 from ..operators import normalize, resample
 from ..params import DEFAULT, DURATION_LIMITS
-from ..session import scratch_path
+from ..session import scratch_path, shuffles_removed
 from ..sources import files, fixtures, logs
 from . import sqlparts as S
 from .layout import index
@@ -18,8 +18,8 @@ from .registry import query
 BAR_D = ["o", "h", "l", "c", "vwap"]
 
 
-def _bars_out(df: DataFrame) -> DataFrame:
-    return df.select("symbol", "ts", *[rnd(c).alias(c) for c in BAR_D], F.col("v").cast("long").alias("v"))
+def _bars_out(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("symbol", "ts", *[rnd(c).alias(c) for c in BAR_D], F.col("v").cast("long").alias("v"), *more)
 
 
 def _bars_sql(src: str, symbol: str = "symbol", ts: str = "ts") -> str:
@@ -348,10 +348,14 @@ def q_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ review sinks
 
 def _review_rows(spark, sf_dir, bars=fixtures.bars_panel) -> DataFrame:
+    return _reviewed(bars(spark, sf_dir))
+
+
+def _reviewed(bars: DataFrame, most: int | None = None) -> DataFrame:
     from ..operators import labels
     from .q_features import regime_panel
 
-    return labels.meta_labels(regime_panel(bars(spark, sf_dir))).core()
+    return labels.meta_labels(regime_panel(bars, most=most)).core()
 
 
 def _review_ctes(bars: str = "bars_panel") -> list[str]:
@@ -364,14 +368,16 @@ def _review_ctes(bars: str = "bars_panel") -> list[str]:
 @query("export_bars", lambda: S.with_(*_review_ctes()) + (
     "SELECT symbol, ts, " + ", ".join(f"{S.R(c)} AS {c}" for c in BAR_D) + ", CAST(v AS BIGINT) AS v, regime FROM ml"))
 def q_export_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars with their regime exported as CSV (ts, symbol, o, h, l, c, v, vwap, regime) and read back."""
+    """Bars with their regime exported as CSV (ts, symbol, o, h, l, c, v, vwap, regime), gzipped, and read back."""
     path = scratch_path(spark, "export")
-    files.write_csv(_review_rows(spark, sf_dir).select("ts", "symbol", *["o", "h", "l", "c", "v", "vwap"], "regime"),
-                    path)
+    bars, most = fixtures.panel_histories(spark, sf_dir)
+    with shuffles_removed(spark):
+        files.write_csv(_reviewed(bars, most).select("ts", "symbol", *["o", "h", "l", "c", "v", "vwap"], "regime"),
+                        path, compression="gzip")
     back = (spark.read.option("header", True).option("timestampNTZFormat", files.TS_TEXT)
             .schema("ts timestamp_ntz, symbol string, o double, h double, l double, c double, v long, vwap double, "
                     "regime string").csv(path))
-    return _bars_out(back).join(back.select("symbol", "ts", "regime"), ["symbol", "ts"])
+    return _bars_out(back, "regime")
 
 
 @query("sink_trades_review", lambda: S.with_(*_review_ctes()) + (

@@ -136,8 +136,9 @@ def catalog(stored: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     return cat.join(models, "symbol", "left").withColumn("has_model", F.coalesce("has_model", F.lit(False)))
 
 
-def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite").option("header", True).option("escape", '"').option("timestampNTZFormat", TS_TEXT)
+def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str = "none") -> None:
+    w = (df.write.mode("overwrite").option("header", True).option("escape", '"').option("timestampNTZFormat", TS_TEXT)
+         .option("compression", compression))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)

@@ -106,6 +106,17 @@ def test_window_functions_are_planned_once(spark, sf_dir):
     assert text.count("lag(vwap#") == 1 and text.count("lag(c#") == 1
 
 
+def test_export_is_packed_and_not_joined(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(q_io, "scratch_path", lambda *_: str(tmp_path / "export"))
+    out = q_io.q_export_bars(spark, sf_dir)
+    want = fixtures.bars_panel(spark, sf_dir).filter("symbol IS NOT NULL AND ts IS NOT NULL").select("symbol", "ts")
+    assert _rows(out.select("symbol", "ts")) == _rows(want) and out.filter("regime IS NULL").count() == 0
+    plan = _final(out)
+    assert "Join" not in plan and "Exchange" not in plan
+    parts = [f for f in os.listdir(tmp_path / "export") if f.startswith("part-")]
+    assert parts and all(f.endswith(".csv.gz") for f in parts)
+
+
 def test_calibrated_rows_are_not_joined(spark):
     r = random.Random(3)
     rows = [("S", i, x := r.gauss(0, 1), int(x + r.gauss(0, 1) > 0)) for i in range(300)]
