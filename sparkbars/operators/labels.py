@@ -59,15 +59,13 @@ def triple_barrier(panel: Panel, side: str = "long", p: Params = DEFAULT, entry:
             tp_hit, sl_hit = h_i >= tp_px, l_i <= sl_px
         else:
             tp_hit, sl_hit = l_i <= tp_px, h_i >= sl_px
-        tp_v = F.struct(F.lit(i).alias("off"), F.lit("tp").alias("why"))
-        sl_v = F.struct(F.lit(i).alias("off"), F.lit("sl").alias("why"))
-        hit = (F.when(tp_hit, tp_v) if hit is None else hit.when(tp_hit, tp_v)).when(sl_hit, sl_v)
+        hit = (F.when(tp_hit, F.lit(i)) if hit is None else hit.when(tp_hit, F.lit(i))).when(sl_hit, F.lit(-i))
     last_close = F.coalesce(*[F.lead("c", i).over(w) for i in range(H, 0, -1)])
     df = panel.df.select("*", hit.alias("_hit"), last_close.alias("_last_c"))
     rn, n = F.col("rn"), F.col("n")
-    why = F.col("_hit.why")
+    hit = F.col("_hit")  # bars until the first touch, below 0 of the stop loss
     last_off = F.least(F.lit(H), n - 1 - rn)
-    exit_px = F.when(why == "tp", tp_px).when(why == "sl", sl_px).otherwise(F.col("_last_c"))
+    exit_px = F.when(hit > 0, tp_px).when(hit < 0, sl_px).otherwise(F.col("_last_c"))
     if side == "long":
         ret = ieee_div(exit_px - e, e) - F.lit(k)
     else:
@@ -75,10 +73,10 @@ def triple_barrier(panel: Panel, side: str = "long", p: Params = DEFAULT, entry:
     at_end = rn >= n - 1
     df = df.select(
         *panel.df.columns,
-        F.when(at_end, rn).when(why.isNotNull(), rn + F.col("_hit.off")).otherwise(rn + last_off)
+        F.when(at_end, rn).when(hit.isNotNull(), rn + F.abs(hit)).otherwise(rn + last_off)
         .alias(f"{prefix}exit_rn"),
         F.when(at_end, F.lit(0.0)).otherwise(ret).alias(f"{prefix}realized_return"),
-        F.when(at_end, F.lit("no_exit")).when(why.isNotNull(), why).otherwise(F.lit("timeout"))
+        F.when(at_end, F.lit("no_exit")).when(hit > 0, F.lit("tp")).when(hit < 0, F.lit("sl")).otherwise(F.lit("timeout"))
         .alias(f"{prefix}exit_reason"),
     )
     return panel.with_df(df)

@@ -64,10 +64,12 @@ def index(bars: DataFrame, key: str = "symbol", order: str = "ts", days: int = D
     )
 
 
-def numbered(bars: DataFrame, key: str = "symbol", order: str = "ts") -> DataFrame:
+def numbered(bars: DataFrame, key: str = "symbol", order: str = "ts", distinct: bool = False) -> DataFrame:
     """``index`` where every history fits a task: the same ``rn`` and ``n`` from windows over whole histories. Bars go
-    through one exchange by ``key``, or none where they are dealt by it, and are read once."""
-    ties = [c for c in ("o", "h", "l", "c", "v") if c in bars.columns]
+    through one exchange by ``key``, or none where they are dealt by it, and are read once.
+
+    ``distinct``: no two bars of a history have one time, so bars in order of time are not sorted again."""
+    ties = [] if distinct else [c for c in ("o", "h", "l", "c", "v") if c in bars.columns]
     own = Window.partitionBy(key)
     b = bars.filter(F.col(key).isNotNull()).select(
         "*", F.count(F.lit(1)).over(own).cast("long").alias("n"), (F.row_number().over(own.orderBy(order, *ties)) - 1).cast("long").alias("rn"))
@@ -139,14 +141,15 @@ class Panel:
 
 
 def layout(bars: DataFrame, params: Params = DEFAULT, key: str = "symbol", order: str = "ts",
-           indexed: bool = False, most: int | None = None) -> Panel:
+           indexed: bool = False, most: int | None = None, distinct: bool = False) -> Panel:
     """Index the bars (unless ``indexed``) and lay them out in blocks with halo.
 
     ``most``: bars that no history exceeds, if that is known. Where a block has room for them every history is one block,
-    numbered where its bars lie (``numbered``), and there is no halo."""
+    numbered where its bars lie (``numbered``), and there is no halo. ``distinct``: no two bars of a history have one time;
+    whole histories then stay sorted by it."""
     p = params
     whole = not indexed and most is not None and most <= p.block_rows
-    df = bars if indexed else numbered(bars, key, order) if whole else index(bars, key, order)
+    df = bars if indexed else numbered(bars, key, order, distinct) if whole else index(bars, key, order)
     B = F.lit(p.block_rows)
     rn, n = F.col("rn"), F.col("n")
     first = F.greatest(F.floor((rn - F.lit(p.halo_ahead)) / B), F.lit(0)).cast("long")
@@ -163,4 +166,4 @@ def layout(bars: DataFrame, params: Params = DEFAULT, key: str = "symbol", order
         most, rows = sizes.first()
         return most or 0, rows or 0
 
-    return Panel(df, key, "rn", p, lambda: most if whole else counts()[0], lambda: counts()[1])
+    return Panel(df, key, order if whole and distinct else "rn", p, lambda: most if whole else counts()[0], lambda: counts()[1])

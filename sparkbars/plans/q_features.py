@@ -14,12 +14,13 @@ from .layout import Panel, layout
 from .registry import query
 
 
-def featured_panel(bars: DataFrame, p: Params = DEFAULT, most: int | None = None) -> Panel:
-    return features_core.compute(layout(bars, p, most=most), p)
+def featured_panel(bars: DataFrame, p: Params = DEFAULT, **known) -> Panel:
+    """``known``: what ``layout`` may know of the bars (``most``, ``distinct``)."""
+    return features_core.compute(layout(bars, p, **known), p)
 
 
-def regime_panel(bars: DataFrame, p: Params = DEFAULT, most: int | None = None) -> Panel:
-    return regime.classify(featured_panel(bars, p, most), p)
+def regime_panel(bars: DataFrame, p: Params = DEFAULT, **known) -> Panel:
+    return regime.classify(featured_panel(bars, p, **known), p)
 
 
 DOUBLE_FEATURES = ["vwap_dist", "vwap_slope", "tr", "atr", "atr_pct", "returns", "realized_vol",

@@ -351,11 +351,11 @@ def _review_rows(spark, sf_dir, bars=fixtures.bars_panel) -> DataFrame:
     return _reviewed(bars(spark, sf_dir))
 
 
-def _reviewed(bars: DataFrame, most: int | None = None) -> DataFrame:
+def _reviewed(bars: DataFrame, **known) -> DataFrame:
     from ..operators import labels
     from .q_features import regime_panel
 
-    return labels.meta_labels(regime_panel(bars, most=most)).core()
+    return labels.meta_labels(regime_panel(bars, **known)).core()
 
 
 def _review_ctes(bars: str = "bars_panel") -> list[str]:
@@ -372,7 +372,7 @@ def q_export_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "export")
     bars, most = fixtures.panel_histories(spark, sf_dir)
     with shuffles_removed(spark):
-        files.write_csv(_reviewed(bars, most).select("ts", "symbol", *["o", "h", "l", "c", "v", "vwap"], "regime"),
+        files.write_csv(_reviewed(bars, most=most, distinct=True).select("ts", "symbol", *["o", "h", "l", "c", "v", "vwap"], "regime"),
                         path, compression="gzip")
     back = (spark.read.option("header", True).option("timestampNTZFormat", files.TS_TEXT)
             .schema("ts timestamp_ntz, symbol string, o double, h double, l double, c double, v long, vwap double, "

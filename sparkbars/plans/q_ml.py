@@ -29,7 +29,7 @@ TARGET = "meta_label"
 def train_frame(spark, sf_dir) -> tuple[DataFrame, int]:
     """Features and target per bar, and rows that no symbol exceeds."""
     bars, most = fixtures.panel_histories(spark, sf_dir)
-    pan = labels.meta_labels(featured_panel(bars, most=most))
+    pan = labels.meta_labels(featured_panel(bars, most=most, distinct=True))
     return ml.training_frame(pan.core(), FEATURES, TARGET), most
 
 
@@ -260,4 +260,4 @@ def q_isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     sp = split_frame(spark, sf_dir)
     train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
     cal = ml.isotonic_calibrated(train, test, FEATURES, TARGET)
-    return ml.score_metrics(cal.select(F.col(TARGET).alias("y"), "p"))
+    return ml.score_metrics(written(cal.select(F.col(TARGET).alias("y"), "p"), "calibrated"))  # read several times

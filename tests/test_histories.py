@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import os
 import random
+import time
 
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -60,6 +61,13 @@ def test_bars_of_one_time_and_without_time(spark):
     assert [(r.c, r.rn, r.n) for r in lay.numbered(df).orderBy("rn").collect()] == [(1.0, 1, 4), (3.0, 2, 4), (2.0, 3, 4)]
 
 
+def test_distinct_times_need_no_order_of_their_own(spark, sf_dir):
+    bars, most = fixtures.panel_histories(spark, sf_dir)
+    one, other = (features_core.compute(lay.layout(bars, most=most, distinct=d)).core() for d in (True, False))
+    blocks = features_core.compute(lay.layout(fixtures.bars_panel(spark, sf_dir))).core()
+    assert _rows(one) == _rows(other) == _rows(blocks)
+
+
 def test_split_and_scale_move_rows_once(spark, sf_dir):
     frame, most = q_ml.train_frame(spark, sf_dir)
     split = ml.purged_split(frame, most=most)
@@ -68,26 +76,37 @@ def test_split_and_scale_move_rows_once(spark, sf_dir):
     files = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/*"))
     plan = _final(ml.purged_split(q_ml.train_frame(spark, sf_dir)[0], most=most).filter("split = 'train'"))
     assert plan.count("+- Exchange") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
+    assert plan.count(" Sort [") == 1  # of the rows, by symbol and time; bars stay in that order
     assert len(q_ml.q_scale_features(spark, sf_dir).collect()) == len(q_ml.FEATURES)
     assert set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/*")) == files  # nothing written
 
 
+def _shuffled(spark, before=(), most=0):
+    """Shuffle files on disk but those of ``before``; waits for their removal, which is not part of the action, until they have ``most`` bytes."""
+    dirs = [d.getPath() for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    for _ in range(100):
+        found = {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")} - set(before)
+        if sum(os.path.getsize(f) for f in found if os.path.exists(f)) <= most:
+            break
+        time.sleep(0.1)
+    return found
+
+
 def test_split_frame_is_a_table_and_leaves_no_shuffle(spark, sf_dir):
-    known = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
-    before = known()
+    before = _shuffled(spark, most=1 << 60)
     sp = q_ml.split_frame(spark, sf_dir)
-    assert known() <= before + 2  # of the count of rows a symbol; none of the split's
+    left = _shuffled(spark, before, 20_000)
+    assert sum(os.path.getsize(f) for f in left if os.path.exists(f)) <= 20_000  # of the count of rows a symbol; none of the split's rows
     assert sp.inputFiles() and "Scan ExistingRDD" not in _final(sp)  # a checkpoint has whole rows, a table is read by column
     assert sp.columns == ["symbol", "ts", *q_ml.FEATURES, q_ml.TARGET, "split"]
 
 
 def test_shuffles_are_removed_and_the_setting_kept(spark, tmp_path):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    known = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
-    before, was = known(), spark.conf.get(key)
+    before, was = _shuffled(spark, most=1 << 60), spark.conf.get(key)
     with pytest.raises(ZeroDivisionError), shuffles_removed(spark):
         spark.range(100).repartition(3, "id").write.parquet(str(tmp_path / "t"))
-        assert known() <= before
+        assert not _shuffled(spark, before)
         1 / 0
     assert spark.conf.get(key) == was
 
